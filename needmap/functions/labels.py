@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -12,13 +13,14 @@ from ..config import PLACES, Places
 from .text import clean, lookup_key, squeeze
 
 
-def _literal_map(pairs: Mapping) -> Column:
-    return F.create_map(*[item if isinstance(item, Column) else F.lit(item) for pair in pairs.items() for item in pair])
+def _lookup(table: Mapping, kind: str) -> Column:
+    """A configuration table as a map constant. One node to analyse; the optimizer folds it to a literal."""
+    return F.from_json(F.lit(json.dumps(table)), kind)
 
 
 def canonical(value: Column, aliases: Mapping[str, str] = PLACES.states) -> Column:
     """Canonical label of a spelling, NULL when the spelling is unknown."""
-    return F.try_element_at(_literal_map(aliases), lookup_key(value))
+    return F.try_element_at(_lookup(aliases, "map<string,string>"), lookup_key(value))
 
 
 def canonical_or_self(value: Column, aliases: Mapping[str, str] = PLACES.states) -> Column:
@@ -28,7 +30,7 @@ def canonical_or_self(value: Column, aliases: Mapping[str, str] = PLACES.states)
 def canonical_in_scope(scope: Column, value: Column, places: Places = PLACES) -> Column:
     """Canonical label of a name inside its scope (district in its state), else the squeezed input."""
     label = F.coalesce(canonical(scope, places.states), squeeze(scope))
-    by_scope = _literal_map({s: _literal_map(names) for s, names in places.districts.items()})
+    by_scope = _lookup(places.districts, "map<string,map<string,string>>")
     return F.coalesce(F.try_element_at(F.try_element_at(by_scope, label), lookup_key(value)), squeeze(value))
 
 

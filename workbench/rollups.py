@@ -250,7 +250,8 @@ def overview(t):
     return R.overview_counts(enriched_table(t))
 
 
-_MEANS = ", ".join(f"round(avg({c}), 1) AS {c}" for c in ("institutional_birth_pct", "stunting_pct", "anaemia_pct"))
+# Half-up mean of one-decimal indicators in whole tenths
+_MEANS = ", ".join(f"((2 * sum(round({c} * 10)::BIGINT) + count({c})) // (2 * count({c})))::DOUBLE / 10.0::DOUBLE AS {c}" for c in ("institutional_birth_pct", "stunting_pct", "anaemia_pct"))
 
 
 @query("state_summary", with_ctes(f"""
