@@ -276,7 +276,10 @@ def score_gaps(
         "data_quality_score": round1(F.col("quality")),
         "updated_at": F.current_timestamp() if as_of is None else as_of,
     }
-    return rated.select(*[served[c].alias(c) if c in served else F.col(c) for c in GAP_FIELDS])
+    row = F.struct(*[served[c].alias(c) if c in served else F.col(c) for c in GAP_FIELDS])
+    # As a one-row generator, so that filters on the served scores are evaluated on them. Through a
+    # projection the optimizer would push them down by substituting the whole scoring expression.
+    return rated.select(F.inline(F.array(row)))
 
 
 def rank_gaps(gaps: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ _TURNS = f"SELECT 'c' || conv_id || '/' || turn AS record_id, role AS entity_nam
     "SELECT record_id AS turn_id, capability, confidence, s::INT AS start, n::INT AS length FROM ("
     + S.claims("turns", DOCUMENT_TAXONOMY).split("SELECT record_id AS facility_id")[0] + "SELECT * FROM cut)", turns=_TURNS))
 def claim_positions(t):
-    turns = t.conversations.select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("turn_id"), "text")
+    turns = t.spread("conversations", "conv_id").select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("turn_id"), "text")
     return find_claims(turns, "text", taxonomy=DOCUMENT_TAXONOMY).drop("text")
 
 
@@ -75,7 +75,7 @@ SELECT position::INT AS position, capability, (SELECT count(*) FROM conversation
 FROM (SELECT unnest([{', '.join(S.quote(k.key) for k in cfg.CAPABILITIES)}]) AS capability, unnest(range(9)) AS position,
              unnest([{', '.join(S.quote('(?i)' + '|'.join((*k.strong, *k.partial))) for k in cfg.CAPABILITIES)}]) AS p)""")
 def health_coverage(t):
-    turns = t.conversations.select(F.concat_ws("/", "conv_id", "turn").alias("facility_id"), "text")
+    turns = t.spread("conversations", "conv_id").select(F.concat_ws("/", "conv_id", "turn").alias("facility_id"), "text")
     return coverage(find_claims(turns, "text"))
 
 

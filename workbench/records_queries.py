@@ -255,7 +255,7 @@ FROM pages"""
 
 def damaged(t):
     i = C("page_id")
-    return t.pages.select(
+    return t.spread("pages", "page_id").select(
         F.concat(F.lit("facility:"), F.when(i % 7 == 0, i.cast("string")).otherwise(src.uuid_of(i.cast("string")))).alias("record_id"),
         F.when(i % 11 == 0, F.lit("clinic")).when(i % 13 != 0, F.lit(" facility ")).alias("record_type"),
         F.when(i % 5 == 0, F.lit("  ")).when(i % 5 == 1, F.lit('{"name": 1}')).when(i % 5 == 2, F.concat(F.lit("* "), "url"))

@@ -21,7 +21,7 @@ SELECT doc_id, md5(cleaned) AS cleaned_md5, length(cleaned)::INT AS cleaned_leng
 FROM (SELECT doc_id, {S.clean('text')} AS cleaned, {S.squeeze('text')} AS squeezed, {S.strip('text')} <> '' AS has_text FROM documents)
 """)
 def clean_text(t):
-    return t.documents.select(
+    return t.spread("documents", "doc_id").select(
         "doc_id", F.md5(N.clean(C("text"))).alias("cleaned_md5"), F.length(N.clean(C("text"))).alias("cleaned_length"),
         F.md5(N.squeeze(C("text"))).alias("squeezed_md5"), N.present(C("text")).alias("has_text"),
     )
@@ -213,7 +213,7 @@ def _tokens(x: str) -> str:
 SELECT page_id, len(a)::INT AS url_tokens, len(b)::INT AS html_tokens, len(a) > 0 AND NOT list_has_any(a, b) AS nothing_shared
 FROM (SELECT page_id, {_tokens('url')} AS a, {_tokens('html')} AS b FROM pages)""")
 def token_overlap(t):
-    return t.pages.select(
+    return t.spread("pages", "page_id").select(
         "page_id", F.size(N.name_tokens(C("url"))).alias("url_tokens"), F.size(N.name_tokens(C("html"))).alias("html_tokens"),
         N.no_shared_token(C("url"), C("html")).alias("nothing_shared"),
     )

@@ -57,7 +57,7 @@ def uuid_sql(text: str) -> str:
 
 def facilities(t: Tables) -> DataFrame:
     c = F.col
-    return t.customer.select(
+    return t.spread("customer", "c_custkey").select(
         F.when(c("c_acctbal") < 0, c("c_name"))
         .otherwise(uuid_of(F.concat_ws("/", c("c_nationkey").cast("string"), "c_mktsegment")))
         .alias("unique_id"),
@@ -93,7 +93,7 @@ FROM customer"""
 
 def directory(t: Tables) -> DataFrame:
     c = F.col
-    return t.orders.select(
+    return t.spread("orders", "o_orderkey").select(
         F.lpad(c("o_custkey").cast("string"), 8, "0").alias("pincode"),
         pick(c("o_orderstatus"), STATUS_STATES).alias("statename"),
         F.when(c("o_orderpriority") != "5-LOW", c("o_orderpriority")).alias("district"),
@@ -172,7 +172,7 @@ def document_records(t: Tables) -> DataFrame:
     """Documents as facility records, (language, source) and nations as district records."""
     c = F.col
     labels = t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    facility = t.documents.join(labels, "doc_id", "left").select(
+    facility = t.spread("documents", "doc_id").join(labels, "doc_id", "left").select(
         F.concat(F.lit("facility:"), uuid_of(c("doc_id").cast("string"))).alias("record_id"),
         F.lit("facility").alias("record_type"),
         F.concat(F.lit("Document "), c("doc_id").cast("string")).alias("entity_name"),
