@@ -12,6 +12,13 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Lists per key are built by object aggregates; past this many keys in a task they start to sort.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
+    # The JVM does not compile methods over 8000 bytes of code. A stage with many text expressions that would
+    # become one such method runs operator by operator instead, where the expressions are split up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording a call site for every column expression doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
