@@ -75,12 +75,12 @@ def first_nonblank(df: DataFrame, key: Sequence[str], columns: Sequence[str], or
     return df.groupBy(*key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns])
 
 
-def rank_in_key(df: DataFrame, key: str, signature: str, count: str, rank: str, prefix: int = 2) -> DataFrame:
+def rank_in_key(df: DataFrame, key: str, signature: str, count: str, rank: str, prefix: int = 4) -> DataFrame:
     """Group size and ``row_number`` over (key order by signature), without putting a key in one task.
 
     The signature is a hex digest, so its prefix cuts every key into ordered slices of even size.
     Rows are numbered inside a slice and shifted by the sizes of the slices before it; only the
-    slice sizes (at most ``16 ** prefix`` rows per key) meet in one place.
+    slice sizes (at most ``16 ** prefix`` small rows per key) meet in one place.
     """
     sliced = df.withColumn("_slice", F.substring(signature, 1, prefix))
     in_slice = Window.partitionBy(key, "_slice").orderBy(signature)

@@ -95,6 +95,6 @@ def test_inspection(enriched):
 
 def test_export(spark, raw, tmp_path):
     valid, _ = P.rebuild_records(*raw)
-    with pytest.raises(GateError):  # 'Govt' became public, but a doctor without operator is fine: the uuid-less names fail
+    with pytest.raises(GateError):  # no such record type
         wr.export_snapshot(valid.withColumn("record_type", F.lit("odd")), str(tmp_path / "x"))
     assert wr.export_snapshot(valid.where("record_type <> 'facility'"), str(tmp_path / "y"))["errors"] == 0

@@ -237,9 +237,11 @@ def noncanonical(t):
 @query("grain_check", with_ctes("""
 SELECT count(*) AS rows, count(DISTINCT facility_id) AS ids, (SELECT count(*) FROM cleaned) AS expected FROM enriched""", **CTES))
 def grain_check(t):
-    facilities = E.clean_facilities(src.facilities(t))
-    counted = enriched_table(t).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("facility_id").alias("ids"))
-    return counted.join(facilities.agg(F.count(F.lit(1)).alias("expected")))
+    before = E.clean_facilities(src.facilities(t)).select(F.lit(None).cast("string").alias("id"), F.lit(0).alias("after"))
+    after = enriched_table(t).select(C("facility_id").alias("id"), F.lit(1).alias("after"))
+    return before.unionByName(after).agg(
+        F.count_if(C("after") == 1).alias("rows"), F.countDistinct("id").alias("ids"), F.count_if(C("after") == 0).alias("expected")
+    )
 
 
 @query("overview", with_ctes("""
