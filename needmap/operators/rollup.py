@@ -82,21 +82,27 @@ def rank_in_key(df: DataFrame, key: str, signature: str, count: str, rank: str,
     Rows are numbered inside a slice and shifted by the sizes of the slices before it; only the
     slice sizes (at most ``16 ** prefix`` small rows per key) meet in one place.
     """
-    sliced = df.withColumn("_slice", F.substring(signature, 1, prefix))
-    in_slice = Window.partitionBy(key, "_slice").orderBy(signature)
+    # Neither join column can be NULL. Else a not-null filter would be inferred for one side of the join only, and
+    # the sides could no longer share the shuffle below them: the input would be read and cleaned twice.
+    sliced = df.withColumns(
+        {
+            "_key": F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")),
+            "_slice": F.coalesce(F.substring(signature, 1, prefix), F.lit("")),
+        }
+    )
+    in_slice = Window.partitionBy("_key", "_slice").orderBy(signature)
     numbered = sliced.withColumn("_at", F.row_number().over(in_slice))
 
-    sizes = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sliced.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        key,
+        "_key",
         "_slice",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
-        F.sum("_n").over(Window.partitionBy(key)).alias(count),
+        F.sum("_n").over(Window.partitionBy("_key")).alias(count),
     )
-    # a left join, so that no key filter is inferred and pushed to the scan through the digest
-    ranked = numbered.join(shifts, [key, "_slice"], "left").withColumn(rank, (F.col("_at") + F.col("_shift")).cast("int"))
-    return ranked.select(*df.columns, count, rank)
+    ranked = numbered.join(shifts, ["_key", "_slice"], "left")
+    return ranked.withColumn(rank, (F.col("_at") + F.col("_shift")).cast("int")).select(*df.columns, count, rank)
 
 
 def samples_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
