@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,7 +235,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
         for batch in batches:
             # Row by row within bounds: a slice has about SLICE_BYTES ids.
             column = batch.column(0)
-            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), dtype=np.int64)
+            counts = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
             ends = np.cumsum(counts)
             low = 0
             while low < batch.num_rows:
