@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,5 +153,17 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, n: int = 5) -> tuple[n
 # --- queries ----------------------------------------------------------------------------------------------------
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they do not find it by themselves.
+
+    Where executors have it elsewhere, or not at all, it is shipped with ``--py-files`` as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    have = environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (have, root)))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
-from .common import table
+from . import bpe, classifier, html, token_counts
+from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +21,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            importable(spark)
+            return build(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return build
@@ -50,3 +54,16 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = classifier.with_scores(docs, table(spark, folder, "labels"), keep_text=False)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_html_main_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html.with_main_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
