@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, perplexity, token_counts
+from . import bpe, classifier, html, perplexity, substrings, token_counts
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.with_verdicts(docs, keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper"
     )
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    spans = substrings.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    return spans.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", "removed", F.col("first_doc").alias("first_doc_id"))
