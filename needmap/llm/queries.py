@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, perplexity, substrings, token_counts
+from . import bpe, classifier, html, licences, line_chunks, near_duplicates, perplexity, substrings, token_counts
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,23 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     spans = substrings.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
     return spans.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", "removed", F.col("first_doc").alias("first_doc_id"))
+
+
+@query("op2_near_duplicates")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.with_components(table(spark, folder, "documents"))
+
+
+@query("op4_line_dedup", line_chunks.SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    return line_chunks.deduplicated(docs, removed="n_removed_lines").select(
+        "doc_id", "n_lines", "n_removed_lines", F.char_length(text).cast("long").alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5")
+    )
+
+
+@query("op6_licence_scan", licences.SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.with_licences(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("licence_sentences", ",").alias("licence_sentences"))
