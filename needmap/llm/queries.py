@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, licences, line_chunks, near_duplicates, perplexity, substrings, token_counts
+from . import bpe, classifier, decontamination, html, licences, line_chunks, near_duplicates, perplexity, substrings, token_counts
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.with_licences(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("licence_sentences", ",").alias("licence_sentences"))
+
+
+@query("op1_decontamination")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    doc = F.when(F.col("doc") != (1 << 63) - 1, F.col("doc"))
+    return found.select(doc.alias("doc_id"), "item_id", F.col("similarity"), F.col("start").cast("long").alias("start_word"), F.col("n").cast("long").alias("n_words")).distinct()
