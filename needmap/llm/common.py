@@ -20,15 +20,13 @@ SLICE_BYTES = 4 << 20
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a frame that several jobs read.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; a session without one is refused,
-    as a folder of the driver's own machine would not be seen by the executors.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where none is named it is one below the
+    warehouse, which driver and executors share as well.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
 
 

@@ -4,8 +4,9 @@ A text is cut into sentences, sentences are normalised (lower case, letters and
 licence sentences. Ordered rules then match sequences of identifiers: a rule that finds its sequence names its licence and takes the
 sequence out, so a rule for a whole licence goes before those for single sentences. Identifiers that no rule takes are reported.
 
-Sentences end at a full stop, colon, semicolon or mark followed by white space. The text is read twice, with line feeds as ends and
-as spaces, so that notices wrapped over lines and notices on a line of their own are both found; a licence is named once.
+Sentences end at a full stop, colon, semicolon or mark followed by white space. The text is read twice, with each line feed as an end
+and with empty lines as ends, so that notices on a line of their own and notices wrapped over lines are both found; a licence is
+named once.
 NULL and empty texts have no sentences. All rows and columns stay; repeated rows are read each.
 """
 
@@ -72,13 +73,15 @@ RULES = (
     ("CC-BY-4.0", ("cc-by4.notice",)),
 )
 #: Each known sentence has one of these words, so a text without them has no known sentence.
-WORDS = ("licen", "software", "redistribution", "copyright")
+WORDS = ("licen", "software", "redistribution", "copyright", "warranty")
+#: Ends of sentences without a mark: each line feed, or an empty line.
+LINE, EMPTY_LINE = r"\n", r"\n\s*\n"
 
 
-def sequence(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+def sequence(text: Column, line_end: str) -> Column:
+    """The identifiers of the known sentences of a text, in order; ``line_end`` is a pattern that ends sentences as well."""
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    sentences = F.split(text, r"[.:;!?]+(?=\s|$)|\n")
+    sentences = F.split(text, r"[.:;!?]+(?=\s|$)|" + line_end)
     plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
 
@@ -103,7 +106,7 @@ def with_licences(df: DataFrame, text: str = "text", licences: str = "licences",
         worth = worth | F.contains(lower, F.lit(word))
     none = F.array().cast("array<string>")
     rest = [f"`{c}`" for c in df.columns if c.lower() not in (licences.lower(), sentences.lower())]
-    read = df.select("*", F.when(worth, sequence(value)).otherwise(none).alias(lined), F.when(worth, sequence(F.translate(value, "\n", " "))).otherwise(none).alias(wrapped))
+    read = df.select("*", F.when(worth, sequence(value, LINE)).otherwise(none).alias(lined), F.when(worth, sequence(value, EMPTY_LINE)).otherwise(none).alias(wrapped))
     read = read.select("*", matched(F.col(lined)).alias(of_lines), matched(F.col(wrapped)).alias(of_text))
     named = F.array_sort(F.array_union(F.col(of_lines)["licences"], F.col(of_text)["licences"]))
     longer = F.when(F.size(wrapped) > F.size(lined), F.col(wrapped)).otherwise(F.col(lined))
@@ -113,8 +116,8 @@ def with_licences(df: DataFrame, text: str = "text", licences: str = "licences",
 def _sql() -> str:
     """The same result in SQL."""
     known = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
-    ids = lambda text: (
-        f"list_filter(list_transform(string_split_regex({text}, '[.:;!?]+(?:\\s|$)|\\n'), lambda s: {known}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda s: s IS NOT NULL)"
+    ids = lambda line_end: (
+        f"list_filter(list_transform(string_split_regex(coalesce(text, chr(32)), '[.:;!?]+(?:\\s|$)|{line_end}'), lambda s: {known}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda s: s IS NOT NULL)"
     )
     steps, last = [], "read"
     for k, (name, parts) in enumerate(RULES):
@@ -126,7 +129,7 @@ def _sql() -> str:
         steps.append(f"step{k} AS MATERIALIZED (SELECT doc_id, a, b, {columns} FROM {last})")
         last = f"step{k}"
     return (
-        f"WITH ids AS MATERIALIZED (SELECT doc_id, {ids('coalesce(text, chr(32))')} AS a, {ids('replace(coalesce(text, chr(32)), chr(10), chr(32))')} AS b FROM documents),\n"
+        f"WITH ids AS MATERIALIZED (SELECT doc_id, {ids(LINE)} AS a, {ids(EMPTY_LINE)} AS b FROM documents),\n"
         "read AS (SELECT *, list_aggregate(list_transform(a, lambda s: '<' || s || '>'), 'string_agg', '') AS ra, list_aggregate(list_transform(b, lambda s: '<' || s || '>'), 'string_agg', '') AS rb, "
         "CAST([] AS VARCHAR[]) AS na, CAST([] AS VARCHAR[]) AS nb FROM ids),\n" + ",\n".join(steps)
         + f"\nSELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(na, nb))), ',') AS licences, "

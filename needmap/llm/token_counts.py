@@ -247,4 +247,5 @@ def total(counts: Column) -> Column:
 def longest_prefix(counts: Column, budget: Column | int) -> Column:
     """Characters of the longest prefix of at most ``budget`` tokens; -1 for a negative budget."""
     budget = budget if isinstance(budget, Column) else F.lit(budget)
-    return F.size(counts) - F.array_position(F.reverse(F.transform(counts, lambda c: c <= budget)), True).cast("int")
+    from_end = F.array_position(F.reverse(F.transform(counts, lambda c: c <= budget)), True).cast("int")
+    return F.when(from_end > 0, F.size(counts) - from_end).otherwise(-1)
