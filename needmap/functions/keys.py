@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .text import join_clean
 
 UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-NULL_KEY_BUCKETS = 256
 
 
 def valid_uuid(value: Column) -> Column:
@@ -42,8 +41,8 @@ def salted_key(key: Column, *spread: Column, missing: Column | None = None) -> C
     """Join key whose NULLs are spread over many values that no dimension row carries.
 
     A left join sends every NULL key to one task. The control character cannot occur in a cleaned
-    key, so these rows still match nothing, but they land in ``NULL_KEY_BUCKETS`` places.
+    key, so these rows still match nothing, but each lands where the whole hash of ``spread`` puts it.
     """
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(NULL_KEY_BUCKETS)).cast("string")
+    bucket = F.xxhash64(*spread).cast("string")
     missing = key.isNull() if missing is None else missing
     return F.when(missing, F.concat(F.lit("\u0000"), bucket)).otherwise(key)

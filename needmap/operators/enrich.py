@@ -63,9 +63,10 @@ def location_confidence(source: Column) -> Column:
 def infer_location(records: DataFrame, places: Places = PLACES) -> DataFrame:
     """Give facility records a district and its provenance: pincode pair, own district, city, nothing.
 
-    Records of other types pass unchanged with a NULL provenance.
+    Only facilities go through the join; records of other types, most of the table, pass beside it unchanged with
+    a NULL provenance.
     """
-    is_facility = F.col("record_type") == "facility"
+    is_facility = F.coalesce(F.col("record_type") == "facility", F.lit(False))
     with_state = F.coalesce(canonical(F.col("state"), places.states), squeeze(F.col("state")))
 
     directory = (
@@ -80,9 +81,8 @@ def infer_location(records: DataFrame, places: Places = PLACES) -> DataFrame:
     index = canonical_pair(directory, ["_pin"], ["_state", "_district"])
 
     own_source = F.col("district_source") if "district_source" in records.columns else F.lit(None).cast("string")
-    keyed = records.withColumn("district_source", own_source).withColumn(
-        "_pin", F.when(is_facility, blank_to_null(squeeze(F.col("pincode"))))
-    )
+    whole = records.withColumn("district_source", own_source)
+    keyed = whole.where(is_facility).withColumn("_pin", blank_to_null(squeeze(F.col("pincode"))))
     located = enrich_left(keyed, index, ["_pin"], ["record_id"])
 
     inferred = F.col("_district").isNotNull()
@@ -93,11 +93,10 @@ def infer_location(records: DataFrame, places: Places = PLACES) -> DataFrame:
     ).otherwise(source)
     own_district = canonical_in_scope(with_state, F.col("district"), places)
     new = {
-        "state": F.when(is_facility & inferred & (F.col("_state") != ""), F.col("_state")).otherwise(F.col("state")),
-        "district": F.when(is_facility & inferred, F.col("_district"))
-        .when(is_facility & own, own_district)
-        .otherwise(F.col("district")),
-        "district_source": F.when(is_facility, kept).otherwise(F.col("district_source")),
+        "state": F.when(inferred & (F.col("_state") != ""), F.col("_state")).otherwise(F.col("state")),
+        "district": F.when(inferred, F.col("_district")).when(own, own_district).otherwise(F.col("district")),
+        "district_source": kept,
     }
     columns = [*records.columns, *(["district_source"] if "district_source" not in records.columns else [])]
-    return located.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+    facilities = located.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+    return facilities.unionByName(whole.where(~is_facility).select(*columns))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PLACES, RECORD_TYPES, VALID_FACILITY_TYPES, VALID_OPERATOR_TYPES
-from ..functions import blank_to_null, no_shared_token, strip
+from ..functions import blank_to_null, canonical, no_shared_token, strip
 from ..functions.keys import UUID_PATTERN
 
 
@@ -59,8 +59,11 @@ def in_domain(value: Column, allowed: Sequence[str]) -> Column:
     return F.lower(strip(value)).isin(*allowed)
 
 
-def record_rules() -> list[Rule]:
-    """Rules of the mixed record table."""
+def record_rules(opening: int = 180) -> list[Rule]:
+    """Rules of the mixed record table.
+
+    A description is expected to name its facility within its first ``opening`` characters; the other rules read it whole.
+    """
     kind = strip(F.col("record_type"))
     facility = kind == "facility"
     name, text = strip(F.col("entity_name")), strip(F.col("description"))
@@ -114,7 +117,7 @@ def record_rules() -> list[Rule]:
         ),
         warning(
             "possible_description_mismatch",
-            (text != "") & (name != "") & text.rlike(FACILITY_KIND) & no_shared_token(name, F.substring(text, 1, 180)),
+            (text != "") & (name != "") & text.rlike(FACILITY_KIND) & no_shared_token(name, F.substring(text, 1, opening)),
             "Description appears to name a different facility.",
         ),
     ]
@@ -215,29 +218,31 @@ def type_counts(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, rules: Sequence[Rule] | None = None, examples: int = 10) -> dict:
-    """Totals of a validation: one aggregate for the numbers, one small take for the examples."""
+    """Totals of a validation, in one scan.
+
+    What is collected is one row per rule: its number of issues and, as its example, the broken row that comes first by id and
+    name. ``types`` are the rows per record type, a lazy frame, as a drifted table can hold any number of types.
+    """
     rules = record_rules() if rules is None else rules
     checked = check_rows(df, rules)
     first_or_none = F.col("pos").isNull() | (F.col("pos") == 0)
-    rows = (
-        checked.select(strip(F.col("record_type")).alias("kind"), F.posexplode_outer("issues").alias("pos", "issue"))
-        .groupBy("kind", "issue.severity", "issue.rule")
-        .agg(F.count(F.lit(1)).alias("issues"), F.count_if(first_or_none).alias("rows"))
+    found = (
+        checked.select("record_id", "entity_name", F.posexplode_outer("issues").alias("pos", "issue"))
+        .groupBy("issue.severity", "issue.rule")
+        .agg(
+            F.count(F.lit(1)).alias("issues"), F.count_if(first_or_none).alias("rows"),
+            F.min(F.struct("record_id", "entity_name", F.col("issue.message").alias("message"))).alias("first"),
+        )
         .collect()
     )
-    by_rule: dict[str, int] = {}
-    by_type: dict[str, int] = {}
+    broken = sorted((r for r in found if r["rule"] is not None), key=lambda r: r["rule"])
     totals = {"error": 0, "warning": 0}
-    for row in rows:
-        by_type[row["kind"] or "<blank>"] = by_type.get(row["kind"] or "<blank>", 0) + row["rows"]
-        if row["rule"] is not None:
-            by_rule[row["rule"]] = by_rule.get(row["rule"], 0) + row["issues"]
-            totals[row["severity"]] = totals.get(row["severity"], 0) + row["issues"]
-    shown = validate(df, rules).limit(examples).collect() if by_rule and examples else []
-    types = dict(sorted(by_type.items()))
+    for row in broken:
+        totals[row["severity"]] = totals.get(row["severity"], 0) + row["issues"]
     return {
-        "rows": sum(types.values()), "types": types, "errors": totals["error"], "warnings": totals["warning"],
-        "rules": dict(sorted(by_rule.items())), "examples": [r.asDict() for r in shown],
+        "rows": sum(r["rows"] for r in found), "types": type_counts(df), "errors": totals["error"], "warnings": totals["warning"],
+        "rules": {r["rule"]: r["issues"] for r in broken},
+        "examples": [{"rule": r["rule"], "severity": r["severity"], **r["first"].asDict()} for r in broken[:examples]],
     }
 
 
@@ -264,6 +269,12 @@ def noncanonical(df: DataFrame, column: str, allowed: Sequence[str] = PLACES.can
     return df.where(outside).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def unknown_labels(df: DataFrame, column: str, aliases: dict[str, str]) -> DataFrame:
+    """Values that are no known spelling of any label, with their number of rows; blank ones are left out."""
+    unknown = (strip(F.col(column)) != "") & canonical(F.col(column), aliases).isNull()
+    return df.where(unknown).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def check_grain(before: DataFrame, after: DataFrame, key: str, label: str | None = None, allowed: Sequence[str] = ()) -> dict:
     """Fail unless ``after`` has the rows of ``before``, unique keys and canonical labels only."""
     groups = after.groupBy(key).agg(
@@ -281,8 +292,13 @@ def check_grain(before: DataFrame, after: DataFrame, key: str, label: str | None
 
 
 def check_split(total: DataFrame, valid: DataFrame, rejected: DataFrame) -> dict:
-    """Fail unless the two parts add up to the whole."""
-    got = {"total": total.count(), "valid": valid.count(), "quarantine": rejected.count()}
+    """Fail unless the two parts add up to the whole; one job over the three, which are best stored tables."""
+    parts = None
+    for name, frame in (("total", total), ("valid", valid), ("quarantine", rejected)):
+        rows = frame.select(F.lit(name).alias("part"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    names = ("total", "valid", "quarantine")
+    got = parts.agg(*[F.count_if(F.col("part") == n).alias(n) for n in names]).first().asDict()
     if got["valid"] + got["quarantine"] != got["total"]:
         raise GateError(f"split does not add up: {got}")
     return got

@@ -79,9 +79,14 @@ def facility_evidence(
     A need nobody defined falls back to the first one.
     """
     model = next((n for n in needs if n.key == need), needs[0])
-    found = overlay_facilities(claims.where(F.col("capability").isin(*model.capabilities)), enriched).where(
-        (F.col("state") == state) & (F.lower(F.trim("district_or_city")) == district.strip().lower())
-    )
+    wanted = district.strip().lower()
+    here = lambda place, area: (F.col(area) == state) & (F.lower(F.trim(place)) == wanted)
+    relevant = claims.where(F.col("capability").isin(*model.capabilities))
+    # Either the claim or the facility's current row names the place, in part at least: only these ids need the join.
+    named = lambda frame, place, area: frame.where((F.col(area) == state) | (F.lower(F.trim(place)) == wanted)).select("facility_id")
+    ids = named(relevant, "district_or_city", "state").unionByName(named(enriched, "analysis_district", "analysis_state"))
+    narrowed = relevant.join(ids.distinct(), "facility_id", "left_semi")
+    found = overlay_facilities(narrowed, enriched.join(ids.distinct(), "facility_id", "left_semi")).where(here("district_or_city", "state"))
     return found.orderBy(F.desc(rank_label(F.col("confidence"))), "facility_name", "capability", "facility_id")
 
 

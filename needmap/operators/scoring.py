@@ -276,10 +276,12 @@ def score_gaps(
         "data_quality_score": round1(F.col("quality")),
         "updated_at": F.current_timestamp() if as_of is None else as_of,
     }
-    row = F.struct(*[served[c].alias(c) if c in served else F.col(c) for c in GAP_FIELDS])
-    # As a one-row generator, so that filters on the served scores are evaluated on them. Through a
-    # projection the optimizer would push them down by substituting the whole scoring expression.
-    return rated.select(F.inline(F.array(row)))
+    plain = ("district_id", "district_name", "state", "care_need")
+    row = F.struct(*[served[c].alias(c) if c in served else F.col(c) for c in GAP_FIELDS if c not in plain])
+    # The computed columns come out of a one-row generator, so that filters on the served scores are evaluated on them:
+    # through a projection the optimizer would push them down by substituting the whole scoring expression. The keys stay
+    # outside, and filters on them reach the rows before they are scored.
+    return rated.select(*plain, F.inline(F.array(row))).select(*GAP_FIELDS)
 
 
 def rank_gaps(gaps: DataFrame) -> DataFrame:

@@ -26,6 +26,12 @@ FACILITY_FIELDS = (
     "description", "source_state", "source_district", "source_city", "source_pincode", "pincode_key", "latitude",
     "longitude", "source_quality_flags",
 )
+# Columns in the order in which a facility row is signed (fixed values).
+SIGNED_FIELDS = (
+    "source_unique_id", "facility_name", "raw_facility_type", "facility_type", "raw_operator_type", "operator_type",
+    "phone", "website", "description", "source_state", "source_district", "source_city", "source_pincode",
+    "pincode_key", "latitude", "longitude", "source_quality_flags",
+)
 # Directory list columns: output -> cleaned input column (fixed values).
 DIRECTORY_LISTS = {
     "pincode_office_names": "office_name", "pincode_office_types": "office_type",
@@ -101,13 +107,15 @@ def admitted(flagged: DataFrame) -> DataFrame:
 
 
 def clean_facilities(df: DataFrame) -> DataFrame:
-    """One row per distinct facility row, ids made unique where a uuid has several.
+    """One row per (uuid, signature), ids made unique where a uuid has several.
 
-    Exact copies go first (they combine before the shuffle and spread over all columns), the
-    signature is computed on what is left.
+    Copies combine before the shuffle. Of different rows with one signature (the separator inside a value) the
+    least in column order stays.
     """
-    base = admitted(flagged_facilities(df))
-    signed = base.distinct().withColumn("source_row_signature", row_signature(base.columns))
+    base = admitted(flagged_facilities(df)).select(*SIGNED_FIELDS)
+    signed = one_per_key(
+        base.withColumn("source_row_signature", row_signature(SIGNED_FIELDS)), ["source_unique_id", "source_row_signature"]
+    )
     ranked = rank_in_key(
         signed, "source_unique_id", "source_row_signature", "source_duplicate_count", "source_duplicate_rank"
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning is what copes with hot join keys and with partition counts nobody can guess.
@@ -12,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A join on two keys shuffles on both of them; on one, all slices of a hot key would meet again.
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
     # Lists per key are built by object aggregates; past this many keys in a task they start to sort.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # The JVM does not compile methods over 8000 bytes of code. A stage with many text expressions that would
@@ -29,15 +29,21 @@ def build_session(app: str = "needmap", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that the driver and all executors see: below the named checkpoint folder, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a frame that several actions read.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without one
-    (tests) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is named it is
+    one below the warehouse, which driver and executors share as well.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="needmap-checkpoint-"))
+        context.setCheckpointDir(named or shared_folder(spark, "_checkpoints"))
     return df.checkpoint(eager=True)

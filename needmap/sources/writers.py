@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from ..config import CLAIM_FIELDS, GAP_FIELDS, MIRROR_FIELDS, RECORD_FIELDS
 from ..functions import without_nul
 from ..operators.quality import GateError, gate, report
 from ..operators.review import GAP_COUNTS, GAP_SCORES
+from .readers import read_csv
 
 CLAIMS_SCHEMA = T.StructType(
     [T.StructField(c, T.TimestampType() if c == "updated_at" else T.StringType(), False) for c in CLAIM_FIELDS]
@@ -57,15 +58,23 @@ def write_fixed(df: DataFrame, path: str, fields: Sequence[str], parts: int | No
 
 
 def mirror(enriched: DataFrame, target: str, fields: Sequence[str] = MIRROR_FIELDS) -> int:
-    """Refresh a served copy: column subset, no NUL characters, clustered for lookups by state; returns the row count."""
+    """Refresh a served copy: column subset, no NUL characters, sorted by name and id; returns the row count."""
     kinds = {f.name: f.dataType for f in enriched.schema.fields}
-    rows = enriched.select(
-        *[without_nul(F.col(c)).alias(c) if isinstance(kinds[c], T.StringType) else F.col(c) for c in fields]
-    )
-    ordered = rows.orderBy("facility_name", "facility_id")
-    write_table(ordered, target)
-    spark = enriched.sparkSession
-    return (spark.read.parquet(target) if "/" in target else spark.table(target)).count()
+
+    def plain(name: str) -> Column:
+        if isinstance(kinds[name], T.StringType):
+            return without_nul(F.col(name)).alias(name)
+        if isinstance(kinds[name], T.ArrayType) and isinstance(kinds[name].elementType, T.StringType):
+            return F.transform(name, without_nul).alias(name)
+        return F.col(name)
+
+    write_table(enriched.select(*[plain(c) for c in fields]).orderBy("facility_name", "facility_id"), target)
+    return stored(enriched.sparkSession, target).count()
+
+
+def stored(spark: SparkSession, target: str) -> DataFrame:
+    """What a path or a catalog name holds."""
+    return spark.read.parquet(target) if "/" in target else spark.table(target)
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -74,19 +83,28 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def load_prepared(claims: DataFrame, gaps: DataFrame, claims_target: str, gaps_target: str) -> dict[str, int]:
-    """Typed tables of both outputs; fails before writing if a required value is missing."""
+    """Typed tables of both outputs; fails before a target is touched if a required value is missing.
+
+    Each output is computed once: it is written as a candidate beside its target, the stored rows are checked, and the
+    stored rows are then put in place.
+    """
     loaded = {}
+    candidates = []
     for name, df, schema, target, by in (
         ("claims", claims, CLAIMS_SCHEMA, claims_target, ["capability"]),
         ("gaps", gaps, GAPS_SCHEMA, gaps_target, ["care_need"]),
     ):
-        rows = typed(df, schema)
+        candidate = f"{target}_candidate"
+        write_table(typed(df, schema), candidate)
+        rows = stored(df.sparkSession, candidate)
         missing = [F.count_if(F.col(c).isNull()).alias(c) for c in schema.names]
         counts = rows.agg(F.count(F.lit(1)).alias("_rows"), *missing).first().asDict()
         loaded[name] = counts.pop("_rows")
         bad = {c: n for c, n in counts.items() if n}
         if bad:
             raise GateError(f"{name}: required values are missing: {bad}")
+        candidates.append((rows, target, by))
+    for rows, target, by in candidates:
         write_table(rows, target, by)
     return loaded
 
@@ -128,10 +146,10 @@ def load_records(records: DataFrame, live: str, apply: bool = False, warnings_fa
 
 
 def export_snapshot(records: DataFrame, path: str, validate: bool = True, parts: int | None = None) -> dict | None:
-    """CSV of the record columns in (type, id) order, then the gate on the exported rows."""
+    """CSV of the record columns in (type, id) order, then the gate on the rows read back from it."""
     ordered = records.select(*RECORD_FIELDS).orderBy("record_type", "record_id")
     write_csv(ordered, path, parts)
-    return gate(report(records)) if validate else None
+    return gate(report(read_csv(records.sparkSession, path))) if validate else None
 
 
 def drop_table(spark: SparkSession, name: str) -> None:

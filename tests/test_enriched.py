@@ -77,3 +77,18 @@ def test_rebuild_and_projection(raw):
     replaced = P.records_from(build(raw), supplied)
     assert replaced.where("record_type = 'district'").count() == 3
     assert P.records_from(valid) is valid
+
+
+def test_signature_and_duplicate_ids_by_hand(spark, raw):
+    import hashlib
+
+    rows = {r["facility_name"]: r for r in E.clean_facilities(raw[0]).where(F.col("source_unique_id").startswith("1111")).collect()}
+    clinic, hospital = rows["Asha Clinic"], rows["Asha Hospital"]
+    digest = lambda *parts: hashlib.sha256("||".join(parts).encode()).hexdigest()
+    uid = "11111111-1111-1111-1111-111111111111"
+    assert hospital["source_row_signature"] == digest(
+        uid, "Asha Hospital", "Nursing Home", hospital["facility_type"], "Private", hospital["operator_type"], "", "", "Has a NICU and blood bank.",
+        "Orissa", "", "Cuttack", "753 001", "753001", "18.0", "85.0", "unexpected_facility_type",
+    )
+    first, second = sorted((clinic, hospital), key=lambda r: r["source_row_signature"])
+    assert (first["facility_id"], second["facility_id"]) == (f"facility:{uid}:dup-001", f"facility:{uid}:dup-002")

@@ -10,6 +10,7 @@ QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 TWINS = (
     "one_decimal", "canonical_pair_by_key", "directory_rollup", "dedupe_ranked", "clean_facilities", "enriched_facilities", "infer_location",
     "validate_issues", "claims_extract", "gap_scores", "review_queue", "overlay_queue", "upsert", "csv_round_trip",
+    "repair_split", "merged_actions", "grain_check", "split_counts", "report", "publish", "build_job", "rebuild_job", "claims_of_phrases", "unknown_states",
 )
 
 
@@ -19,7 +20,7 @@ def con():
 
 
 def test_contract(spark):
-    assert set(ORACLE) == set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) and set(TWINS) <= set(ORACLE)
     assert entry.entry(spark).columns
 
 
@@ -33,3 +34,14 @@ def test_plan_stays_on_the_jvm_and_joins_on_keys(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan
+
+
+def test_every_phrase_matches_its_pattern():
+    import re
+
+    from needmap.config import CAPABILITIES
+    from workbench.job_queries import PHRASES
+
+    patterns = {(k.key, s, n): p for k in CAPABILITIES for s, ps in (("strong", k.strong), ("partial", k.partial)) for n, p in enumerate(ps)}
+    assert PHRASES.keys() == patterns.keys()
+    assert not [(k, PHRASES[k]) for k, p in patterns.items() if not re.search(p, PHRASES[k], re.I)]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from needmap.operators.columns import resolve, resolve_scalar
 from needmap.sources.readers import best_table, first_available, read_csv, read_table
+from needmap.session import shared_folder
 from needmap.sources.writers import GAPS_SCHEMA, typed, write_csv, write_fixed, write_table
 
 from .evidence_queries import GAPS, document_gaps
@@ -18,9 +18,7 @@ C = F.col
 
 
 def _folder(t: Tables) -> str:
-    """Under the shared folder of the cluster where it names one, else a temporary one (local runs)."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/needmap-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="needmap-")
+    return shared_folder(t.spark, f"needmap-{uuid.uuid4().hex}")
 
 
 @query("csv_round_trip", "SELECT doc_id::VARCHAR AS doc_id, text, lang, source FROM documents")
@@ -88,7 +86,7 @@ def resolve_nested(t):
 
 @query("discover_tables", """
 SELECT 'pincode' AS role, count(*) AS rows FROM orders UNION ALL SELECT 'facility', count(*) FROM customer UNION ALL
-SELECT 'district', count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_orderpriority <> '3-MEDIUM')""")
+SELECT 'district', count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders)""")
 def discover(t):
     from . import sources as src
 

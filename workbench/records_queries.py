@@ -88,14 +88,14 @@ def shaped(t):
 
 
 @query("split_counts", with_ctes("""
-SELECT record_type, coalesce(record_type = 'facility' AND (entity_name IS NULL OR trim(entity_name) = ''
+SELECT count(*) AS total, count(*) FILTER (NOT rejected) AS valid, count(*) FILTER (rejected) AS quarantine
+FROM (SELECT coalesce(record_type = 'facility' AND (entity_name IS NULL OR trim(entity_name) = ''
          OR regexp_matches(entity_name, '^\\s*(?:[\\[{]|\\*|__|>|#)')
-         OR regexp_matches(description, '^\\s*(?:-?\\d+(?:\\.\\d+)?|true|false|null|\\[|\\{)\\s*$')), false) AS rejected, count(*) AS rows
-FROM rebuilt GROUP BY ALL""", **SOURCE_CTES, rebuilt=REBUILT_SQL))
+         OR regexp_matches(description, '^\\s*(?:-?\\d+(?:\\.\\d+)?|true|false|null|\\[|\\{)\\s*$')), false) AS rejected FROM rebuilt)""", **SOURCE_CTES, rebuilt=REBUILT_SQL))
 def split_counts(t):
-    valid, rejected = Q.split(rebuilt(t), Q.rebuild_rule())
-    both = valid.withColumn("rejected", F.lit(False)).unionByName(rejected.withColumn("rejected", F.lit(True)))
-    return both.groupBy("record_type", "rejected").agg(F.count(F.lit(1)).alias("rows"))
+    whole = rebuilt(t)
+    got = Q.check_split(whole, *Q.split(whole, Q.rebuild_rule()))
+    return t.spark.createDataFrame([got], "total long, valid long, quarantine long")
 
 
 _SAME = "(SELECT *, NULL::VARCHAR AS officialPhone, NULL::VARCHAR AS phone_numbers, '[\"https://a.org\"]' AS officialWebsite, NULL AS websites FROM fac)"
@@ -255,7 +255,7 @@ FROM pages"""
 
 def damaged(t):
     i = C("page_id")
-    return t.spread("pages", "page_id").select(
+    return t.pages.select(
         F.concat(F.lit("facility:"), F.when(i % 7 == 0, i.cast("string")).otherwise(src.uuid_of(i.cast("string")))).alias("record_id"),
         F.when(i % 11 == 0, F.lit("clinic")).when(i % 13 != 0, F.lit(" facility ")).alias("record_type"),
         F.when(i % 5 == 0, F.lit("  ")).when(i % 5 == 1, F.lit('{"name": 1}')).when(i % 5 == 2, F.concat(F.lit("* "), "url"))
@@ -330,15 +330,15 @@ _B = {c: f"trim(coalesce({c}, ''))" for c in ("entity_name", "facility_type", "o
 
 
 @query("repair_split", with_ctes(f"""
-SELECT record_id, trim(record_type) = 'facility' AND (
+SELECT record_id, coalesce(trim(record_type) = 'facility' AND (
   NOT regexp_matches(record_id, '^facility:{_UUID}$') OR {_B['entity_name']} = '' OR regexp_matches({_B['entity_name']}, '^(?:[\\[{{]|\\*|__|>|#)')
   OR lower({_B['facility_type']}) NOT IN ({', '.join(S.quote(k) for k in cfg.VALID_FACILITY_TYPES if k != 'nursing_home')})
   OR lower({_B['operator_type']}) NOT IN ({_STRICT_OPERATORS}) OR starts_with({_B['phone']}, '{{"coordinates":')
   OR (NOT regexp_matches({_B['website']}, '(?i)^https?://') AND regexp_matches({_B['website']}, '^[\\[{{]|{_LOOSE}|^\\d{{4}}-\\d{{2}}-\\d{{2}}$'))
-  OR regexp_matches({_B['description']}, '^(?:true|false|null)$|^[\\[{{]|{_LOOSE}|^\\d{{4}}-\\d{{2}}-\\d{{2}}$|^-?\\d+(?:\\.\\d+)?$')) AS rejected
-FROM damaged WHERE record_type IS NOT NULL""", damaged=DAMAGED_SQL))
+  OR regexp_matches({_B['description']}, '^(?:true|false|null)$|^[\\[{{]|{_LOOSE}|^\\d{{4}}-\\d{{2}}-\\d{{2}}$|^-?\\d+(?:\\.\\d+)?$')), false) AS rejected
+FROM damaged""", damaged=DAMAGED_SQL))
 def repair_split(t):
-    rows = damaged(t).where(C("record_type").isNotNull()).withColumn("record_type", F.trim("record_type"))
+    rows = damaged(t).withColumn("record_type", F.trim("record_type"))
     whole = conform(rows)
     valid, rejected = P.repair_records(whole)
     both = valid.withColumn("rejected", F.lit(False)).unionByName(rejected.withColumn("rejected", F.lit(True)))

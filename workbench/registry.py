@@ -19,16 +19,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str, key: str) -> DataFrame:
-        """A table whose rows are expensive to work on, over all cores.
-
-        The given tables are one file with one row group, which is one task. Tables of many splits
-        are left as they are: no shuffle.
-        """
-        table = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
-
 
 def query(name: str, sql: str | None = None):
     """Register ``build(tables) -> DataFrame`` under ``name``."""

