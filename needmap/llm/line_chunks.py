@@ -51,7 +51,8 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", average: in
     texts = F.transform(multi, lambda c: F.struct(c["number"].alias("number"), body(F.col("lines"), c).alias("body")))
     bodies = cut_up.select("doc", "part", texts.alias("own"))
     bodies = bodies.select("doc", "part", "own", F.transform("own", lambda c: F.md5(c["body"].cast("binary"))).alias("digests"))
-    single = bodies.select("doc", "part", "digests", F.posexplode("own").alias("at", "chunk")).select(
+    # An outer explode: for a plain one, a filter on the whole chain of expressions would be put below it and repeat them in its loops.
+    single = bodies.select("doc", "part", "digests", F.posexplode_outer("own").alias("at", "chunk")).where("chunk IS NOT NULL").select(
         "doc", "part", F.col("chunk.number").alias("number"), F.col("chunk.body").alias("body"), F.get("digests", F.col("at")).alias("digest"),
         (F.array_position("digests", F.get("digests", F.col("at"))) <= F.col("at")).alias("again"),
     )
