@@ -168,9 +168,15 @@ def test_decontamination_is_exact(spark, folder):
         words = (text or "").lower().split()
         if words:
             known[i] = (len(words), Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))))
+    sharing = defaultdict(set)
+    for i, (_, own) in known.items():
+        for x in own:
+            sharing[x].add(i)
     for d, text in docs:
         words = (text or "").lower().split()
-        for i, (n, own) in known.items():
+        pieces = {tuple(words[k : k + size]) for size in {len(x) for x in sharing} for k in range(len(words) - size + 1)}
+        for i in set().union(*(sharing[x] for x in pieces & sharing.keys())):
+            n, own = known[i]
             for start in range(max(1, len(words) - n + 1)):
                 part = words[start : start + n]
                 seen = Counter(tuple(part[k : k + 5]) for k in range(max(1, len(part) - 4))) if part else Counter()
