@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 # Record schema
 # --------------------------------------------------------------------------
 
+# Columns of the record, claim, gap and mirror tables, in order (fixed values).
 TEXT_FIELDS = (
     "record_id", "record_type", "entity_name", "state", "district", "city", "pincode",
     "facility_type", "operator_type", "phone", "website", "description", "office_type", "delivery",
@@ -253,6 +254,7 @@ OPERATOR_TYPE_RULES = (
     ("government|govt|public", "public"),
     ("private|trust|charitable|ngo", "private"),
 )
+# Values the sources are expected to hold, and values the record table may hold (fixed values).
 EXPECTED_FACILITY_TYPES = (
     "hospital", "clinic", "dentist", "doctor", "pharmacy", "farmacy", "nursing_home", "medical college",
 )
@@ -260,6 +262,12 @@ EXPECTED_OPERATOR_TYPES = ("private", "public", "government", "trust", "charitab
 VALID_FACILITY_TYPES = ("", "hospital", "clinic", "dentist", "doctor", "pharmacy", "farmacy", "nursing_home", "null")
 VALID_OPERATOR_TYPES = ("", "private", "public", "government", "null")
 
+# Sentences of the facility profile: label of an indicator -> its column (fixed values).
+PROFILE_RATES = {
+    "Institutional birth rate": "institutional_birth_pct", "Child stunting": "stunting_pct", "Anaemia": "anaemia_pct",
+    "Health insurance coverage": "health_insurance_pct",
+}
+
 # Location provenance -> confidence of the location (fixed values).
 LOCATION_CONFIDENCE = {"source_district": 1.0, "pincode_inferred": 0.85, "city_fallback": 0.45}
 

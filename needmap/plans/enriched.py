@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import (
     DIRECTORY_COLUMNS, DISTRICT_COLUMNS, EXPECTED_FACILITY_TYPES, EXPECTED_OPERATOR_TYPES, FACILITY_COLUMNS,
-    FACILITY_TYPE_RULES, INDICATORS, OPERATOR_TYPE_RULES, PLACES, Places,
+    FACILITY_TYPE_RULES, INDICATORS, OPERATOR_TYPE_RULES, PLACES, PROFILE_RATES, Places,
 )
 from ..functions import (
     blank_to_null, canonical, canonical_in_scope, clean, digits_key, join_clean, json_name, listing_sentence, location_key, name_key,
@@ -20,6 +20,7 @@ from ..operators.enrich import attach_indicators, enrich_left, location_confiden
 from ..operators.quality import check_grain
 from ..operators.rollup import one_per_key, rank_in_key, rollup_directory
 
+# Columns of the cleaned and of the enriched facilities, in order (fixed values).
 FACILITY_FIELDS = (
     "facility_id", "source_unique_id", "source_duplicate_count", "source_duplicate_rank", "source_row_signature",
     "facility_name", "raw_facility_type", "facility_type", "raw_operator_type", "operator_type", "phone", "website",
@@ -188,10 +189,7 @@ def profile_text() -> Column:
         F.concat(
             F.lit("District health indicators for "), F.col("district_name"), F.lit(", "), F.col("district_state"), F.lit(".")
         ),
-        rate("Institutional birth rate", "institutional_birth_pct"),
-        rate("Child stunting", "stunting_pct"),
-        rate("Anaemia", "anaemia_pct"),
-        rate("Health insurance coverage", "health_insurance_pct"),
+        *[rate(label, column) for label, column in PROFILE_RATES.items()],
     )
 
 

@@ -92,3 +92,14 @@ def test_signature_and_duplicate_ids_by_hand(spark, raw):
     )
     first, second = sorted((clinic, hospital), key=lambda r: r["source_row_signature"])
     assert (first["facility_id"], second["facility_id"]) == (f"facility:{uid}:dup-001", f"facility:{uid}:dup-002")
+
+
+def test_only_facilities_are_joined_to_places(spark, raw):
+    from needmap.operators.enrich import infer_location
+    from needmap.session import SETTINGS
+
+    valid, _ = P.rebuild_records(*raw)
+    plan = infer_location(valid)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union") and plan.count("Join LeftOuter") == 1
+    # The ranks of a hot key stay spread only if a join on two keys shuffles on both.
+    assert SETTINGS["spark.sql.requireAllClusterKeysForCoPartition"] == "true"
