@@ -53,17 +53,15 @@ def with_fingerprint(df: DataFrame, own: str, out: str) -> DataFrame:
 
     Sixteen sums count four bits each, in lanes of 16 bits of one number.
     """
-    sums = fresh(df, *(f"sum_{k}" for k in range(16)))
-    counted = lambda k: F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(_LANES))
-    summed = df.withColumns({name: counted(k) for k, name in enumerate(sums)})
-    bit = lambda lane, k: F.when(F.shiftrightunsigned(F.col(sums[k]), 16 * lane).bitwiseAND(0xFFFF) * 2 > F.size(own), F.shiftleft(F.lit(1).cast("long"), 16 * lane + k)).otherwise(F.lit(0).cast("long"))
-    lanes = []
-    for lane in range(4):
-        value = bit(lane, 0)
-        for k in range(1, 16):
-            value = value.bitwiseOR(bit(lane, k))
-        lanes.append(value)
-    return summed.withColumn(out, lanes[0].bitwiseOR(lanes[1]).bitwiseOR(lanes[2]).bitwiseOR(lanes[3])).drop(*sums)
+    (sums,) = fresh(df, "lane_sums")
+    shifted = lambda value, by: F.call_function("shiftrightunsigned", value, by)
+    zero = F.lit(0).cast("long")
+    counted = lambda k: F.aggregate(own, zero, lambda a, h: a + shifted(h, k).bitwiseAND(_LANES))
+    # Behind a one-row generator: in a projection the sums would be put into the loop over the bits, and made again for each.
+    summed = df.select("*", F.inline(F.array(F.struct(F.transform(F.sequence(F.lit(0), F.lit(15)), counted).alias(sums)))))
+    count = lambda b: shifted(F.get(sums, b % 16), b - b % 16).bitwiseAND(0xFFFF)
+    bit = lambda b: F.when(count(b) * 2 > F.size(own), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero)
+    return summed.withColumn(out, F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, b: a.bitwiseOR(bit(b))), zero)).drop(sums)
 
 
 def with_blocks(df: DataFrame, fingerprint: str) -> DataFrame:
@@ -98,18 +96,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str
     hits = None
     for width in sorted(r[0] for r in items.select(F.least("n", F.lit(WIDTH))).distinct().collect()):
         known = items.where(F.least("n", F.lit(WIDTH)) == width).select("n", F.explode("own").alias("h")).distinct()
-        at = hashed.where(F.size("w") >= width).select("doc", "part", "w", F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("p"))
+        # Outer explodes: a filter for a plain one would hash the words a second time.
+        positions = F.when(F.size("w") >= width, F.sequence(F.lit(0), F.size("w") - width))
+        at = hashed.select("doc", "part", "w", F.explode_outer(positions).alias("p")).where("p IS NOT NULL")
         found = at.select("doc", "part", "p", shingle(F.col("w"), F.col("p"), width).alias("h")).join(known, "h").select("doc", "part", "p", "n")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = hashed.select("doc", "part", F.lit(0).alias("p"), F.lit(0).alias("n")).where(F.lit(False))
     near = hits.groupBy("doc", "part").agg(F.collect_set(F.struct("n", "p")).alias("hits"))
-    placed = read.distinct().join(near, ["doc", "part"]).select("doc", "part", "hits", words(F.col("text")).alias("w"))
+    # Repeated rows give repeated windows, which the last grouping joins again.
+    placed = read.join(near, ["doc", "part"]).select("doc", "part", "hits", words(F.col("text")).alias("w"))
     last = lambda n: F.greatest(F.size("w") - n, F.lit(0))
     starts = lambda x: F.transform(
         F.sequence(F.least(F.greatest(x["p"] - x["n"] + 1, F.lit(0)), last(x["n"])), F.least(x["p"], last(x["n"]))), lambda s: F.struct(x["n"].alias("n"), s.alias("start"))
     )
-    window = placed.select("doc", "part", "w", F.explode(F.array_distinct(F.flatten(F.transform("hits", starts)))).alias("at"))
+    window = placed.select("doc", "part", "w", F.explode_outer(F.array_distinct(F.flatten(F.transform("hits", starts)))).alias("at")).where("at IS NOT NULL")
     sliced = window.select("doc", "part", F.col("at.n").alias("n"), F.col("at.start").alias("start"), F.slice("w", F.col("at.start") + 1, F.col("at.n")).alias("part_w"))
     sliced = sliced.select("doc", "part", "n", "start", shingles(F.col("part_w"), F.size("part_w")).alias("seen"))
     printed = with_blocks(with_fingerprint(sliced, "seen", "seen_print"), "seen_print")
