@@ -85,7 +85,8 @@ def leaves(sets: DataFrame) -> DataFrame:
     level = sets.select(*own, F.inline(F.array(*first)))
     done: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).where("members > 1")
+        # Cut off, so that the join below is between two plain exchanges, whose large partitions Spark can split.
+        sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).where("members > 1"))
         placed = cut(level.join(sizes, "node"))
         done.append(placed.where(F.col("members") <= LEAF).select("node", *own, "leader"))
         large = placed.where(F.col("members") > LEAF)
@@ -139,7 +140,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each greater neighbour of u is tied to the least of u and its neighbours.
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its lesser neighbours are tied to the least of them.
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -173,7 +174,7 @@ def with_components(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     found = cut(components(links))
     # Round two: pairs within a node that round one left in different components.
     member = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    apart = member.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
+    apart = cut(member.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node"))
     open_nodes = cut(member.join(apart, "node").select("node", "rep", "n", *_WORDS, "component"))
     x, y = open_nodes.alias("x"), open_nodes.alias("y")
     more = cut(
