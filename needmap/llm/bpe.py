@@ -26,9 +26,9 @@ from .common import fresh, gather, list_array, slices
 from .vocabulary import PATTERN, Store, read_ranks
 
 #: Pieces of text whose ids a Python worker keeps for its next texts; a larger store is emptied.
-CACHE = 400_000
+CACHE = 250_000
 #: Bytes of text that are replayed together, and distinct pretokens of one replay.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK = 250_000
 
 
@@ -201,13 +201,16 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", patte
             _encoders.clear()
             _encoders[key] = Encoder(ranks.value, pattern)
         encoder = _encoders[key]
-        for block, part in ((b, p) for batch in batches for b in slices(batch, limit=BLOCK_BYTES) for p in [None, *slices(b)]):
-            if part is None:
-                encoder.learn([t or "" for t in block.column(0).to_pylist()])
-            else:
-                values, lengths = encoder.encode([t or "" for t in part.column(0).to_pylist()])
-                out = list_array(values, lengths, pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], out], names=[*rest, ids])
+        try:
+            for block, part in ((b, p) for batch in batches for b in slices(batch, limit=BLOCK_BYTES) for p in [None, *slices(b)]):
+                if part is None:
+                    encoder.learn([t or "" for t in block.column(0).to_pylist()])
+                else:
+                    values, lengths = encoder.encode([t or "" for t in part.column(0).to_pylist()])
+                    out = list_array(values, lengths, pa.int32())
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], out], names=[*rest, ids])
+        finally:
+            encoder.store.forget()  # a worker lives on for other stages
 
     return source.mapInArrow(run, schema)
 

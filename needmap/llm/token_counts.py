@@ -224,12 +224,15 @@ def with_prefix_counts(df: DataFrame, path: str, text: str = "text", counts: str
         if key not in _counters:
             _counters.clear()
             _counters[key] = PrefixCounter(*vocabulary.value)
-        for block, part in ((b, p) for batch in batches for b in slices(batch, limit=BLOCK_BYTES) for p in [None, *slices(b)]):
-            if part is None:
-                _counters[key].learn([t or "" for t in block.column(0).to_pylist()] + [""])
-            else:
-                values, lengths = _counters[key].tables([t or "" for t in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], list_array(values, lengths, pa.int32())], names=[*rest, counts])
+        try:
+            for block, part in ((b, p) for batch in batches for b in slices(batch, limit=BLOCK_BYTES) for p in [None, *slices(b)]):
+                if part is None:
+                    _counters[key].learn([t or "" for t in block.column(0).to_pylist()] + [""])
+                else:
+                    values, lengths = _counters[key].tables([t or "" for t in part.column(0).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], list_array(values, lengths, pa.int32())], names=[*rest, counts])
+        finally:
+            _counters[key].store.forget()  # a worker lives on for other stages
 
     return source.mapInArrow(run, schema)
 
