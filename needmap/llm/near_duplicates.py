@@ -4,14 +4,15 @@ A document is the set of its distinct shingles of five words. Documents with the
 embedded as minwise tokens: token i is the least value of hash i over the set, so two sets share a token with the probability of
 their Jaccard similarity. A tree branches all documents by one of its tokens, then each node that is still large by the next,
 down to small nodes; similar documents take the same path with good probability, and independent trees make it near certain:
-with 16 trees and a similarity of 0.85, a pair that parts from others at the third level is missed once in 4 million times.
+with 16 trees and a similarity of 0.85, a pair that parts from others at the third level is missed once in 4 million times. Each
+tree has tokens of its own, so the trees are independent.
 
-Small nodes are compared exhaustively, in two rounds so that a group of copies does not become all its pairs. First every member
-is compared with the least member that shares a node with it; verified links join members into components. Then all pairs of
+Last nodes are compared exhaustively, in two rounds so that a group of copies does not become all its pairs. First every member
+is compared with the least member of each node that it is in; verified links join members into components. Then all pairs of
 members of a node that are not yet in one component are compared. One-bit signatures of the tokens let through what can
 reach the threshold (five standard deviations of doubt); a link counts only after an exact comparison of the full sets. A node
-that tokens cannot split is one of very similar documents; after ``DEPTH`` levels it is cut into blocks, which keep their node's least
-member in common. Components are found by alternating stars, so neither links nor documents ever meet in one place.
+that is still large after ``DEPTH`` levels is one of very similar documents; it is compared whole like the small ones, so its pairs
+grow with the square of what the first round leaves apart in it. Components are found by alternating stars, so neither links nor documents ever meet in one place.
 
 Defined cases: words are runs of other than ASCII white space, A-Z in lower case. A text of fewer than five words is one shingle;
 a NULL or empty text, or one of white space, has an empty set and is linked with nothing. Rows of one ``doc_id`` count as one
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from .common import cut, lower_ascii, mix, shingle_hashes, slices, word_hashes
 
 TREES = 16
-#: Minwise tokens for paths, and for signatures (one bit each).
-TOKENS, BITS = 64, 256
-#: A node of more members is branched further; after DEPTH levels it is cut into blocks.
+#: A node of more members is branched further, up to DEPTH levels.
 LEAF, DEPTH = 16, 8
+#: Minwise tokens for paths (DEPTH for each tree), and for signatures (one bit each).
+TOKENS, BITS = TREES * DEPTH, 256
 _RANDOM = np.random.default_rng(85)
 _FACTORS = _RANDOM.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ORDER = [np.random.default_rng(1000 + t).permutation(TOKENS).tolist() for t in range(TREES)]
+_ORDER = np.arange(TOKENS).reshape(TREES, DEPTH).tolist()
 _WORDS = [f"s{k}" for k in range(BITS // 64)]
 
 
@@ -79,7 +80,7 @@ def features(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
 
 
 def leaves(sets: DataFrame) -> DataFrame:
-    """(node, rep, n, s0..., leader): the members of all small nodes of all trees; nodes of one member are left out."""
+    """(node, rep, n, s0..., leader): the members of all last nodes of all trees; nodes of one member are left out."""
     own = ["rep", "n", *_WORDS]
     first = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[_ORDER[t][0]]).alias("node")) for t in range(TREES)]
     level = sets.select(*own, F.inline(F.array(*first)))
@@ -93,8 +94,7 @@ def leaves(sets: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         if depth == DEPTH:
-            block = F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("members") / LEAF)))
-            done.append(large.select(block.alias("node"), *own, "leader"))
+            done.append(large.select("node", *own, "leader"))
             break
         token = F.element_at(F.array(*(F.lit(o[depth]) for o in _ORDER)), F.col("tree") + 1)
         level = large.select("tree", "node", *own).join(sets.select("rep", "tokens"), "rep").select(
@@ -163,12 +163,12 @@ def with_components(df: DataFrame, text: str = "text", key: str = "doc_id", perc
         .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), *(F.first(w).alias(w) for w in _WORDS))
     )
     placed = cut(leaves(sets))
-    # Round one: each member and the least leader it may be linked with.
+    # Round one: each member and all leaders it may be linked with.
     leader = sets.select(F.col("rep").alias("leader"), "n", *_WORDS).alias("l")
     tries = placed.where("rep <> leader").select("rep", "n", *_WORDS, "leader").distinct().alias("m")
-    pairs = (
+    pairs = cut(
         tries.join(leader, F.col("m.leader") == F.col("l.leader")).where(may_link("m", "l", percent))
-        .groupBy(F.col("m.rep").alias("u")).agg(F.min("m.leader").alias("v"))
+        .select(F.col("m.rep").alias("u"), F.col("m.leader").alias("v"))
     )
     links = cut(verified(pairs, docs, percent, width))
     found = cut(components(links))

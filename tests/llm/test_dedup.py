@@ -78,6 +78,27 @@ def test_large_groups_chains_and_borderline_pairs(spark):
     assert got == brute_components(rows, 85)
 
 
+def test_pairs_within_a_dense_family_below_the_threshold(spark):
+    importable(spark)
+    chance, base = random.Random(11), prose(300)
+
+    def changed(words, at):
+        out = list(words)
+        for k in at:
+            out[k] = chance.choice(WORDS)
+        return out
+
+    rows = []
+    for k in range(60):  # three words changed in each: any two have a similarity of about 0.82, but 2k and 2k + 1 share one change
+        first = chance.sample(range(5, 295, 6), 5)
+        shared = changed(base, first[:1])
+        rows += [(2 * k, " ".join(changed(shared, first[1:3]))), (2 * k + 1, " ".join(changed(shared, first[3:])))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.with_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows, 85)
+    assert len({c for _, c in want.values()}) > 10
+    assert got == want
+
+
 def test_near_duplicates_edges(spark):
     importable(spark)
     rows = [(5, None, 1), (4, "", 1), (3, " \t\n", 1), (None, "a b c d e f", 1), (9, "A b c d e f", 2), (8, "a b c d", 2), (7, "a B c d e f", 3), (7, "a B c d e f", 3), (2, "one", 1), (6, "ONE", 1)]
