@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +21,47 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application below the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master takes one below its warehouse; on a cluster, where that could be a folder of one
+    machine, it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    folder = f"{root.rstrip('/')}/needmap-text-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.append(folder)
+    return folder
+
+
+_folders: list[str] = []
+
+
+@atexit.register
+def remove_folders() -> None:
+    """Removes what ``cut`` stored, when the Python process that asked for it ends."""
+    jvm = SparkContext._jvm
+    with contextlib.suppress(Exception):
+        while jvm is not None and _folders:
+            path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a frame that several jobs read.
+    """The frame, stored as Parquet in the shared folder and read back: for what several jobs read, or a loop extends.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where none is named it is one below the
-    warehouse, which driver and executors share as well.
+    What is read back survives lost executors and has a measured size. (A checkpoint keeps the size estimate of the plan that it
+    replaces; a join's estimate is the product of its sides, so in a loop it grows until planning takes longer than the work.)
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # names that clash but for their case cannot be stored
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -165,3 +199,11 @@ def importable(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a string: the register is shifted bit by bit, lowest bit of each byte first."""
+    byte = f"('0x' || substr(hex(encode({value})), 2 * i + 1, 2))::UBIGINT"
+    bits = f"flatten(list_transform(range(octet_length(encode({value}))), lambda i: list_transform(range(8), lambda k: ({byte} >> k) & 1::UBIGINT)))"
+    step = "lambda c, b: xor(c >> 1, 3988292384::UBIGINT * (xor(c, b) & 1::UBIGINT))"
+    return f"xor(list_reduce({bits}, {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontamination, html, licences, line_chunks, near_duplicates, perplexity, substrings, token_counts
+from . import bpe, classifier, decontamination, exact, html, licences, line_chunks, manifest, near_duplicates, perplexity, spelling, substrings, token_counts
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,30 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     doc = F.when(F.col("doc") != (1 << 63) - 1, F.col("doc"))
     return found.select(doc.alias("doc_id"), "item_id", F.col("similarity"), F.col("start").cast("long").alias("start_word"), F.col("n").cast("long").alias("n_words")).distinct()
+
+
+@query("op11_spelling_variants", spelling.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    runs = spelling.runs(table(spark, folder, "documents"), "text", 7, "doc_id")
+    words = runs.select(spelling.planted(F.col("run"), F.col("doc_id")).alias("word"))
+    return spelling.groups(spelling.vocabulary(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_merkle_manifest", manifest.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    shorter = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    changed = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    leaves = docs.select("doc_id", "source", manifest.leaf(*fields.values()).alias("leaf"), F.when(changed, manifest.leaf(*(fields | {"text": shorter}).values())).alias("tampered"))
+    proved = manifest.manifest(leaves)
+    folded = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_exact_dedup", exact.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", exact.text_digest("text").alias("text_sha256"))
+    return exact.with_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
