@@ -7,7 +7,8 @@ goes on to the next level. No digest decides anything.
 
 A level moves a row number, a group number and the bytes at hand. Bytes are counted by partial sums before the shuffle, and groups of
 one row fall away there, so texts that differ early are never read further. A group is numbered by its least row. No group meets
-in one task: the join that hands out the numbers is between a table of groups and plain rows, whose large partitions Spark splits.
+in one task: the join that hands out the numbers is between a table of groups and plain rows, whose large partitions Spark splits. Both
+sides of all joins grow with the table, so they are merged and never broadcast.
 
 Defined cases: a NULL text counts as empty, so NULL and empty texts are one group. Of equal texts the row with the largest key stays; a
 NULL key is less than any other, and of rows with the same key exactly one stays. All rows and all other columns come back,
@@ -54,8 +55,8 @@ def with_copies(
     )
     equal = _equal_rows(rows, row, key, pieces, bounds)
     best = cut(equal.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("key", "row")).alias("best")))
-    found = equal.join(best, "group").select("row", "size", "best")
-    out = rows.join(found, rows[f"`{row}`"] == found["row"], "left")
+    found = equal.join(best.hint("merge"), "group").select("row", "size", "best")
+    out = rows.join(found.hint("merge"), rows[f"`{row}`"] == found["row"], "left")
     own_key = F.col(f"`{key}`")
     values = [F.when(~F.col(absent), F.concat(*pieces).cast("string")).alias(c) if c == text else F.col(f"`{c}`") for c in own]
     return out.select(
@@ -72,12 +73,12 @@ def _equal_rows(rows: DataFrame, row: str, key: str, pieces: list[str], bounds:
     for level, (_, width) in enumerate(bounds):
         groups = cut(here.groupBy("group", "bytes").agg(F.count(F.lit(1)).alias("members"), F.min("row").alias("next")).where("members > 1").drop("members"))
         ended = F.octet_length("bytes") < width if level < len(bounds) - 1 else F.lit(True)
-        placed = cut(here.join(groups, ["group", "bytes"]).select("row", "key", F.col("next").alias("group"), ended.alias("ended")))
+        placed = cut(here.join(groups.hint("merge"), ["group", "bytes"]).select("row", "key", F.col("next").alias("group"), ended.alias("ended")))
         done.append(placed.where("ended").drop("ended"))
         together = placed.where("NOT ended").drop("ended")
         if level == len(bounds) - 1 or together.isEmpty():
             break
-        here = cut(thin(pieces[level + 1]).drop("key").join(together, "row"))
+        here = cut(thin(pieces[level + 1]).drop("key").join(together.hint("merge"), "row"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
