@@ -28,7 +28,7 @@ from .vocabulary import PATTERN, Store, read_ranks
 #: Pieces of text whose ids a Python worker keeps for its next texts; a larger store is emptied.
 CACHE = 250_000
 #: Bytes of text that are replayed together, and distinct pretokens of one replay.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK = 250_000
 
 
@@ -180,20 +180,49 @@ class Encoder:
         return store.values[gather(store.starts, store.lengths, rows)], np.diff(ends[bounds])
 
 
+class Decoder:
+    """Bytes of lists of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = sorted((i, t) for t, i in ranks.items())
+        self.last = tokens[-1][0]
+        lengths = np.full(self.last + 1, -1, dtype=np.int64)
+        lengths[[i for i, _ in tokens]] = [len(t) for _, t in tokens]
+        self.known = lengths >= 0
+        self.sizes = np.where(self.known, lengths, 0)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(t for _, t in tokens), dtype=np.uint8)
+
+    def decode(self, values: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of each list, from the joined ids and the number of ids of each."""
+        if len(values) and (values.min() < 0 or values.max() > self.last or not self.known[values].all()):
+            raise ValueError("an id is not in the vocabulary")
+        joined = self.letters[gather(self.starts, self.sizes, values)].tobytes()
+        offset = np.concatenate(([0], np.cumsum(self.sizes[values])))
+        bounds = offset[np.concatenate(([0], np.cumsum(counts)))]
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(joined)])
+
+
 _encoders: dict[int, Encoder] = {}
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
+def encode(
+    df: DataFrame, path: str, text: str = "text", ids: str = "ids", pattern: str = PATTERN, decoded: str | None = None, keep_text: bool = True
+) -> DataFrame:
     """All columns of ``df`` and ``ids`` (array of int): the text encoded by the ranks in the file ``path``.
 
     Each match of ``pattern`` is encoded by itself; there are no special tokens. A NULL text gives an empty array.
-    An existing column of the name ``ids`` is replaced.
+    An existing column of the name ``ids`` is replaced. With ``decoded`` a column of that name has the bytes that the ids stand for; both
+    are made in one pass of one Python worker. Without ``keep_text`` the text is not sent back.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    rest = [c for c in df.columns if c.lower() != ids.lower()]
+    made = {ids.lower(), decoded.lower() if decoded else ids.lower()}
+    rest = [c for c in df.columns if c.lower() not in made and (keep_text or c != text)]
     (carried,) = fresh(df, "text_to_encode")
     source = df.select(F.col(f"`{text}`").alias(carried), *(f"`{c}`" for c in rest))
     schema = T.StructType([*source.schema.fields[1:], T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    if decoded:
+        schema = T.StructType([*schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(ranks.value)
@@ -201,14 +230,17 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", patte
             _encoders.clear()
             _encoders[key] = Encoder(ranks.value, pattern)
         encoder = _encoders[key]
+        decoder = Decoder(ranks.value) if decoded else None
         try:
-            for block, part in ((b, p) for batch in batches for b in slices(batch, limit=BLOCK_BYTES) for p in [None, *slices(b)]):
+            for block, part in ((b, p) for batch in batches for b in slices(batch, limit=BLOCK_BYTES) for p in [None, *slices(b, limit=BLOCK_BYTES // 4)]):
                 if part is None:
                     encoder.learn([t or "" for t in block.column(0).to_pylist()])
                 else:
                     values, lengths = encoder.encode([t or "" for t in part.column(0).to_pylist()])
-                    out = list_array(values, lengths, pa.int32())
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], out], names=[*rest, ids])
+                    out = [list_array(values, lengths, pa.int32())]
+                    if decoder:
+                        out.append(decoder.decode(values, lengths))
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *out], names=schema.names)
         finally:
             encoder.store.forget()  # a worker lives on for other stages
 
@@ -227,14 +259,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     schema = T.StructType([*source.schema.fields[1:], T.StructField(decoded, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted((i, t) for t, i in ranks.value.items())
-        last = tokens[-1][0]
-        lengths = np.full(last + 1, -1, dtype=np.int64)
-        lengths[[i for i, _ in tokens]] = [len(t) for _, t in tokens]
-        known = lengths >= 0
-        sizes = np.where(known, lengths, 0)
-        starts = np.cumsum(sizes) - sizes
-        letters = np.frombuffer(b"".join(t for _, t in tokens), dtype=np.uint8)
+        decoder = Decoder(ranks.value)
         for batch in batches:
             # Row by row within bounds: a slice has about SLICE_BYTES ids.
             column = batch.column(0)
@@ -244,13 +269,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
             while low < batch.num_rows:
                 high = max(int(np.searchsorted(ends, ends[low] - counts[low] + (1 << 19), side="right")), low + 1)
                 part = batch.slice(low, high - low)
-                values = np.asarray(part.column(0).flatten(), dtype=np.int64)
-                if len(values) and (values.min() < 0 or values.max() > last or not known[values].all()):
-                    raise ValueError("an id is not in the vocabulary")
-                joined = letters[gather(starts, sizes, values)].tobytes()
-                offset = np.concatenate(([0], np.cumsum(sizes[values])))
-                bounds = offset[np.concatenate(([0], np.cumsum(counts[low:high])))]
-                out = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(joined)])
+                out = decoder.decode(np.asarray(part.column(0).flatten(), dtype=np.int64), counts[low:high])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], out], names=[*rest, decoded])
                 low = high
 
@@ -259,4 +278,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Encodes the texts and decodes the ids: all columns but the text, and ``ids`` and ``decoded``."""
-    return decode(encode(df, path, text).drop(text), path)
+    return encode(df, path, text, decoded="decoded", keep_text=False)
