@@ -35,13 +35,9 @@ def query(name: str, sql: str | None = None):
 
 @query("op3_token_counts")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    counted = token_counts.with_prefix_counts(table(spark, folder, "documents").select("doc_id", "text"), path)
-    n_tokens = token_counts.total(F.col("prefix_counts"))
-    return counted.select(
-        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), n_tokens.cast("long").alias("n_tokens"),
-        (n_tokens > 512).alias("over_limit"),
-    )
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    counted = token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 @query("op7_byte_bpe")

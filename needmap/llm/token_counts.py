@@ -8,7 +8,7 @@ where to cut for a budget without encoding anything again.
 
 Counts are those of the tokenizers library for the file, without begin and end tokens; special strings inside a text are one
 token, as is its default. ``prefix_counts[k]`` is the count of the first ``k`` characters (code points), from 0 to the whole
-text. NULL and empty texts have the table ``[0]``. All rows and other columns stay as they are.
+text. NULL and empty texts have the table ``[0]``; a very long text is one table, worked out piece by piece. All rows and other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -45,9 +45,32 @@ def merged(word: bytes, merges: dict[tuple[bytes, bytes], int]) -> list[bytes]:
     return parts
 
 
+def last_merges(ids: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]) -> dict[bytes, tuple[int, bytes, bytes]]:
+    """For each token that its own bytes give: the rank of its last merge (-1 for a byte) and the two parts of it.
+
+    Empty if some pair has a lower rank than a merge that makes one of its parts; then merges do not come in the order of their ranks.
+    """
+    found: dict[bytes, tuple[int, bytes, bytes]] = {}
+    for token in ids:
+        if len(token) == 1:
+            found[token] = (-1, b"", b"")
+            continue
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            best = min(((merges[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in merges), default=None)
+            if best is None:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        if len(parts) == 2 and (parts[0], parts[1]) in merges:
+            found[token] = (merges[parts[0], parts[1]], parts[0], parts[1])
+    regular = all(found[t][0] < r for pair, r in merges.items() for t in pair if t in found)
+    return found if regular else {}
+
+
 class PrefixCounter:
-    def __init__(self, ids: dict[bytes, int], merges: dict[tuple[bytes, bytes], int], special: list[str]):
+    def __init__(self, ids: dict[bytes, int], merges: dict[tuple[bytes, bytes], int], special: list[str], formed: dict[bytes, tuple[int, bytes, bytes]] | None = None):
         self.ids, self.merges, self.longest = ids, merges, max(map(len, ids))
+        self.formed = last_merges(ids, merges) if formed is None else formed
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.alone: dict[bytes, bool] = {}
@@ -58,13 +81,34 @@ class PrefixCounter:
     def may_follow(self, pair: tuple[bytes, bytes]) -> bool:
         if len(self.follows) > 300_000:
             self.follows.clear()
-        fits = self.follows[pair] = merged(pair[0] + pair[1], self.merges) == [*pair]
+        fits = self.follows[pair] = self.stay_two(*pair)
         return fits
 
+    def stay_two(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens, encoded together, stay two.
+
+        Merges come in the order of their ranks, those of one rank from the left. So the tokens on both sides of the seam are followed back in
+        time: the one that was formed later is undone, and no pair at the seam may have had its turn before that.
+        """
+        formed, merges = self.formed, self.merges
+        if left not in formed or right not in formed:
+            return merged(left + right, merges) == [left, right]
+        before = len(merges)  # ranks below this had their turn while the two stood at the seam
+        while True:
+            if merges.get((left, right), before) < before:
+                return False
+            l, r = formed[left][0], formed[right][0]
+            if l < 0 and r < 0:
+                return True
+            if l > r:
+                before, left = l, formed[left][2]
+            else:  # of equal ranks the seam has its turn before what is right of it
+                before, right = r + 1, formed[right][1]
+
     def stands(self, token: bytes) -> bool:
         found = self.alone.get(token)
         if found is None:
-            found = self.alone[token] = merged(token, self.merges) == [token]
+            found = self.alone[token] = token in self.formed or merged(token, self.merges) == [token]
         return found
 
     def byte_counts(self, words: list[bytes]) -> Iterator[list[int]]:
@@ -208,35 +252,67 @@ class PrefixCounter:
         return out, widths
 
 
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """The last entry of the table of each (learned) text; the tables of its pieces are not laid out."""
+        store = self.store
+        special = {k: self.text(t)[-1] for k, t in enumerate(texts) if self.has_special(t)}
+        rows, sizes = store.rows(["" if k in special else t for k, t in enumerate(texts)] if special else texts)
+        lengths = store.lengths[rows]
+        last = np.maximum(store.starts[rows] + lengths - 1, 0)
+        sums = np.concatenate(([0], np.cumsum(np.where(lengths > 0, store.values[last] if len(store.values) else 0, 0).astype(np.int64))))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        out = sums[bounds[1:]] - sums[bounds[:-1]]
+        for k, n in special.items():
+            out[k] = n
+        return out
+
+
 _counters: dict[int, PrefixCounter] = {}
 
 
-def with_prefix_counts(df: DataFrame, path: str, text: str = "text", counts: str = "prefix_counts") -> DataFrame:
-    """All columns of ``df`` and ``prefix_counts`` (array of int); an existing column of that name is replaced."""
-    vocabulary = df.sparkSession.sparkContext.broadcast(read_json_vocabulary(path))
-    rest = [c for c in df.columns if c.lower() != counts.lower()]
+def _counted(df: DataFrame, path: str, text: str, name: str, kind: T.DataType, work, keep_text: bool) -> DataFrame:
+    """All columns of ``df`` and what ``work`` makes of the texts of a slice; an existing column of that name is replaced."""
+    ids, merges, special = read_json_vocabulary(path)
+    vocabulary = df.sparkSession.sparkContext.broadcast((ids, merges, special, last_merges(ids, merges)))
+    rest = [c for c in df.columns if c.lower() != name.lower() and (keep_text or c != text)]
     (carried,) = fresh(df, "text_to_count")
     source = df.select(F.col(f"`{text}`").alias(carried), *(f"`{c}`" for c in rest))
-    schema = T.StructType([*source.schema.fields[1:], T.StructField(counts, T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([*source.schema.fields[1:], T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(vocabulary.value)
         if key not in _counters:
             _counters.clear()
             _counters[key] = PrefixCounter(*vocabulary.value)
+        counter = _counters[key]
         try:
             for block, part in ((b, p) for batch in batches for b in slices(batch, limit=BLOCK_BYTES) for p in [None, *slices(b)]):
                 if part is None:
-                    _counters[key].learn([t or "" for t in block.column(0).to_pylist()] + [""])
+                    counter.learn([t or "" for t in block.column(0).to_pylist()] + [""])
                 else:
-                    values, lengths = _counters[key].tables([t or "" for t in part.column(0).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], list_array(values, lengths, pa.int32())], names=[*rest, counts])
+                    out = work(counter, [t or "" for t in part.column(0).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], out], names=[*rest, name])
         finally:
-            _counters[key].store.forget()  # a worker lives on for other stages
+            counter.store.forget()  # a worker lives on for other stages
 
     return source.mapInArrow(run, schema)
 
 
+def with_prefix_counts(df: DataFrame, path: str, text: str = "text", counts: str = "prefix_counts") -> DataFrame:
+    """All columns of ``df`` and ``prefix_counts`` (array of int); an existing column of that name is replaced."""
+    work = lambda counter, texts: list_array(*counter.tables(texts), pa.int32())
+    return _counted(df, path, text, counts, T.ArrayType(T.IntegerType(), False), work, True)
+
+
+def with_token_counts(df: DataFrame, path: str, text: str = "text", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
+    """All columns of ``df`` and ``n_tokens`` (long), the last entry of each text's table; the tables stay in the worker.
+
+    An existing column of that name is replaced. Without ``keep_text`` the text is not sent back.
+    """
+    work = lambda counter, texts: pa.array(counter.totals(texts), type=pa.int64())
+    return _counted(df, path, text, count, T.LongType(), work, keep_text)
+
+
 def tokens_of_prefix(counts: Column, n_chars: Column | int) -> Column:
     """Tokens of the first ``n_chars`` characters; NULL beyond the text."""
     return F.get(counts, n_chars if isinstance(n_chars, Column) else F.lit(n_chars))

@@ -41,6 +41,29 @@ def test_counts_of_every_prefix(library):
         at += n
 
 
+def test_pairs_that_stay_two_by_their_seams():
+    vocabulary = read_json_vocabulary(JSON)
+    counter, chance = token_counts.PrefixCounter(*vocabulary), random.Random(4)
+    ids, merges, _ = vocabulary
+    assert counter.formed and len(counter.formed) == len(ids)
+    tokens = sorted(ids, key=ids.get)
+    near = [(t[:k], t[k:]) for t in chance.sample(tokens, 1500) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
+    pairs = near + [(a, a) for a in tokens[:600]] + [(chance.choice(tokens[:3000]), chance.choice(tokens)) for _ in range(3000)]
+    for a, b in pairs:
+        assert counter.stay_two(a, b) == (token_counts.merged(a + b, merges) == [a, b]), (a, b)
+
+
+def test_totals_of_whole_texts(spark, library):
+    importable(spark)
+    rows = [(k, t, k) for k, t in enumerate([*ODD, "word and word " * 30_000, None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Text_to_count int")
+    counted = token_counts.with_token_counts(df, JSON)
+    assert counted.columns == ["doc_id", "text", "Text_to_count", "n_tokens"]
+    assert {r.doc_id: r.n_tokens for r in counted.collect()} == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t, _ in rows}
+    assert token_counts.with_token_counts(df, JSON, count="Doc_id", keep_text=False).columns == ["Text_to_count", "Doc_id"]
+    assert token_counts.with_token_counts(df.limit(0), JSON).count() == 0
+
+
 def test_counts_answer_budgets(spark, library):
     importable(spark)
     text = "Counting tokens of prefixes, without encoding them again. " * 3
