@@ -145,6 +145,10 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts, and the number of words of each text.
 

@@ -89,10 +89,10 @@ def test_pairs_within_a_dense_family_below_the_threshold(spark):
         return out
 
     rows = []
-    for k in range(60):  # three words changed in each: any two have a similarity of about 0.82, but 2k and 2k + 1 share one change
-        first = chance.sample(range(5, 295, 6), 5)
-        shared = changed(base, first[:1])
-        rows += [(2 * k, " ".join(changed(shared, first[1:3]))), (2 * k + 1, " ".join(changed(shared, first[3:])))]
+    for k in range(150):  # four words changed in each: any two have a similarity of about 0.76, but 2k and 2k + 1 share two changes
+        first = chance.sample(range(5, 295, 6), 6)
+        shared = changed(base, first[:2])
+        rows += [(2 * k, " ".join(changed(shared, first[2:4]))), (2 * k + 1, " ".join(changed(shared, first[4:])))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.with_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute_components(rows, 85)
     assert len({c for _, c in want.values()}) > 10
