@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,27 +31,30 @@ def rollup_directory(
 ) -> DataFrame:
     """One row per key: row count, sorted distinct lists, means, and the most frequent pair.
 
-    ``sets`` and ``means`` map output to input columns. The rows are first reduced to distinct
-    combinations with counts, so a key that holds a large share of the table is spread over all
-    tasks and its copies are gone before the per-key lists are built; then to one row per
-    (key, pair), then to one row per key. One scan, no join of two aggregates.
+    ``sets`` and ``means`` map output to input columns. Each row is turned into one for its pair, with the numbers, and one
+    for each value of a list. These are reduced to distinct ones, copies combined before the shuffle and a key that holds a large
+    share of the table spread by its values; only then is there one row per key, whose lists have no repeats to remove.
     """
-    set_inputs = list(dict.fromkeys(sets.values()))
-    sums = [F.sum(c).alias(f"sum_{c}") for c in means.values()] + [F.count(c).alias(f"n_{c}") for c in means.values()]
-    combinations = df.groupBy(*key, *pair, *[c for c in set_inputs if c not in pair]).agg(
-        F.count(F.lit(1)).alias("n"), *sums
-    )
-
-    totals = [F.sum(f"sum_{c}").alias(f"sum_{c}") for c in means.values()]
-    totals += [F.sum(f"n_{c}").alias(f"n_{c}") for c in means.values()]
-    per_pair = combinations.groupBy(*key, *pair).agg(
-        F.sum("n").alias("n"), *[F.collect_set(c).alias(f"set_{c}") for c in set_inputs], *totals
-    )
-    per_key = per_pair.groupBy(*key).agg(
-        F.sum("n").alias("n"),
-        _most_frequent(pair, "n").alias("best"),
-        *[F.array_distinct(F.flatten(F.collect_list(f"set_{c}"))).alias(f"set_{c}") for c in set_inputs],
-        *totals,
+    inputs = list(dict.fromkeys(sets.values()))
+    sums, counts = [f"sum_{c}" for c in means.values()], [f"n_{c}" for c in means.values()]
+    types = dict(df.dtypes)
+
+    def entry(value: str | None) -> Column:
+        """The row of a pair (no value), or of one list's value."""
+        own = value is None
+        return F.struct(
+            *[(F.col(c) if own else F.lit(None).cast(types[c])).alias(f"pair_{c}") for c in pair],
+            *[(F.col(c) if c == value else F.lit(None).cast(types[c])).alias(f"set_{c}") for c in inputs],
+            F.lit(1 if own else 0).cast("long").alias("n"),
+            *[(F.col(c) if own else F.lit(None).cast(types[c])).alias(s) for c, s in zip(means.values(), sums)],
+            *[(F.when(F.col(c).isNotNull(), 1).otherwise(0) if own else F.lit(0)).cast("long").alias(s) for c, s in zip(means.values(), counts)],
+        )
+
+    entries = F.array(entry(None), *[F.when(F.col(c).isNotNull(), entry(c)) for c in inputs])
+    unpivoted = df.select(*key, F.inline(F.array_compact(entries)))
+    distinct = unpivoted.groupBy(*key, *[f"pair_{c}" for c in pair], *[f"set_{c}" for c in inputs]).agg(*[F.sum(c).alias(c) for c in ("n", *sums, *counts)])
+    per_key = distinct.withColumnsRenamed({f"pair_{c}": c for c in pair if c not in key}).groupBy(*key).agg(
+        _most_frequent(pair, "n").alias("best"), *[F.collect_list(f"set_{c}").alias(f"set_{c}") for c in inputs], *[F.sum(c).alias(c) for c in ("n", *sums, *counts)],
     )
     return per_key.select(
         *key,

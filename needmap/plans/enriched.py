@@ -19,6 +19,7 @@ from ..operators.columns import prune, resolve, resolve_scalar
 from ..operators.enrich import attach_indicators, enrich_left, location_confidence, location_source
 from ..operators.quality import check_grain
 from ..operators.rollup import one_per_key, rank_in_key, rollup_directory
+from ..session import cut_lineage
 
 # Columns of the cleaned and of the enriched facilities, in order (fixed values).
 FACILITY_FIELDS = (
@@ -241,9 +242,13 @@ def build_enriched(
 
 
 def enrich(facilities: DataFrame, directory: DataFrame, districts: DataFrame, **options) -> DataFrame:
-    """The whole chain from the three raw tables."""
+    """The whole chain from the three raw tables.
+
+    Both dimensions are stored first, so the joins know their measured sizes: a dimension below the broadcast threshold goes to the
+    facts, which then stay where they are; beyond it the facts are exchanged once for each join key.
+    """
     return build_enriched(
-        clean_facilities(facilities), pincode_rollup(directory), clean_districts(districts), **options
+        clean_facilities(facilities), cut_lineage(pincode_rollup(directory)), cut_lineage(clean_districts(districts)), **options
     )
 
 

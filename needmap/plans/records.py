@@ -174,16 +174,18 @@ def project_enriched(enriched: DataFrame, places: Places = PLACES) -> DataFrame:
 
 
 def replace_universe(records: DataFrame, supplied: DataFrame | None, places: Places = PLACES) -> DataFrame:
-    """Use the supplied district rows instead of the derived ones; without any, nothing changes."""
+    """Use the supplied district rows instead of the derived ones; without any, nothing changes.
+
+    Whether there are any is one number worked out within the plan; no job runs while it is built.
+    """
     if supplied is None:
         return records
     districts = supplied.where(F.col("record_type") == "district")
-    if districts.isEmpty():
-        return records
+    none_supplied = districts.agg(F.count(F.lit(1))).scalar() == 0
     state = F.coalesce(canonical(F.col("state"), places.states), F.coalesce("state", F.lit("")))
     own = F.when(F.coalesce("district", F.lit("")) != "", F.col("district")).otherwise(F.col("entity_name"))
     named = conform(districts, records.schema, state=state, district=canonical_in_scope(state, own, places))
-    return union_records(named, records.where(F.col("record_type") == "facility"))
+    return union_records(named, records.where((F.col("record_type") == "facility") | none_supplied))
 
 
 def records_from(df: DataFrame, supplied: DataFrame | None = None, places: Places = PLACES) -> DataFrame:

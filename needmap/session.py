@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning is what copes with hot join keys and with partition counts nobody can guess.
@@ -30,20 +35,41 @@ def build_session(app: str = "needmap", **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder that the driver and all executors see: below the named checkpoint folder, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}"
+    """A folder that the driver and all executors see, below the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master takes one below its warehouse; on a cluster, where that could be a folder of one
+    machine, it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/needmap-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.append(folder)
+    return f"{folder}/{name}"
+
+
+_folders: list[str] = []
+
+
+@atexit.register
+def remove_folders() -> None:
+    """Removes the shared folders of this process when it ends."""
+    jvm = SparkContext._jvm
+    with contextlib.suppress(Exception):
+        while jvm is not None and _folders:
+            path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a frame that several actions read.
+    """The frame, stored as Parquet in the shared folder and read back: for what several actions read, or a join should know the size of.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is named it is
-    one below the warehouse, which driver and executors share as well.
+    What is read back survives lost executors and has a measured size; a checkpoint would keep the size estimate of its plan.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or shared_folder(spark, "_checkpoints"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(spark, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

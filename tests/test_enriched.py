@@ -4,6 +4,7 @@ from needmap.operators import quality as Q
 from needmap.operators.rollup import canonical_pair, rank_in_key, rollup_directory
 from needmap.plans import enriched as E
 from needmap.plans import records as P
+from needmap.session import cut_lineage
 import pytest
 
 from conftest import A, B, C
@@ -103,3 +104,47 @@ def test_only_facilities_are_joined_to_places(spark, raw):
     assert plan.lstrip().startswith("Union") and plan.count("Join LeftOuter") == 1
     # The ranks of a hot key stay spread only if a join on two keys shuffles on both.
     assert SETTINGS["spark.sql.requireAllClusterKeysForCoPartition"] == "true"
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_facts_are_exchanged_once_for_each_join_key_at_most(spark, raw):
+    facilities, directory, districts = raw
+    stored = [cut_lineage(f) for f in (E.clean_facilities(facilities), E.pincode_rollup(directory), E.clean_districts(districts))]
+    settings = {"spark.sql.adaptive.enabled": "false"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        assert exchanges(E.build_enriched(*stored)) == 0  # measured sizes: both dimensions are sent to the facts
+        assert exchanges(E.enrich(*raw)) == exchanges(E.clean_facilities(facilities))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert exchanges(E.build_enriched(*stored)) == 4  # facts and dimension, for each of two keys
+    finally:
+        for name in (*settings, "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+
+
+def test_rollup_has_no_repeats_to_remove(spark):
+    rows = [("k", f"s{i % 3}", f"d{i % 2}", f"o{i % 5}", None if i % 4 else "t", float(i)) for i in range(60)] + [("k", None, "d0", "o9", None, None), (None, "s", "d", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, s string, d string, o string, t string, x double")
+    rolled = rollup_directory(df, ["k"], ["s", "d"], {"os": "o", "ts": "t", "ss": "s"}, {"mean": "x"}, "rows")
+    assert "flatten" not in rolled._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: (r.rows, r.os, r.ts, r.ss, r["mean"], r.s, r.d) for r in rolled.collect()}
+    assert got["k"] == (61, ["o0", "o1", "o2", "o3", "o4", "o9"], ["t"], ["s0", "s1", "s2"], 29.5, "s0", "d0")
+    assert got[None] == (1, [], [], ["s"], 1.0, "s", "d")
+
+
+def test_universe_is_replaced_without_a_job_before_an_action(spark, raw):
+    records = P.project_enriched(build(raw))
+    supplied = P.union_records(P.facility_records(raw[0]), P.district_records(raw[2]))
+    spark.sparkContext.setJobGroup("universe", "no job may run")
+    try:
+        frames = [P.replace_universe(records, supplied.where("record_type <> 'district'")), P.replace_universe(records, supplied), P.replace_universe(records, None)]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("universe")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    key = lambda df: sorted((r.record_type, r.record_id) for r in df.collect())
+    assert key(frames[0]) == key(records) == key(frames[2])
+    assert [k for k in key(frames[1]) if k[0] == "district"] == [k for k in key(supplied) if k[0] == "district"]
