@@ -176,7 +176,7 @@ def check_rows(df: DataFrame, rules: Sequence[Rule], into: str = "issues") -> Da
 def validate(
     df: DataFrame, rules: Sequence[Rule] | None = None, columns: Sequence[str] = ("record_id", "entity_name")
 ) -> DataFrame:
-    """One row per (row, broken rule). ``columns`` say which row; add a line-number column there if you have one."""
+    """One row per (row, broken rule). ``columns`` say which row; of a CSV file, ``read_csv_lines`` has the line number."""
     checked = check_rows(df, record_rules() if rules is None else rules)
     return checked.select(*columns, F.explode("issues").alias("issue")).select(*columns, "issue.*")
 

@@ -45,12 +45,14 @@ def run_all(
 ) -> dict[str, int]:
     """Validate, locate, extract, score and write both tables.
 
-    The texts are searched once: the gaps are scored from the written claims.
+    The records are stored once and checked as stored, the located ones once for claims and scores. The texts are searched once: the gaps
+    are scored from the written claims.
     """
     records = records_from(source, districts, places)
     if not skip_validation:
+        records = cut_lineage(records)
         gate(report(records))
-    located = infer_location(records, places)
+    located = cut_lineage(infer_location(records, places))
     write_table(extract_claims(located, taxonomy, as_of).select(*CLAIM_FIELDS), claims_target)
     stored = _stored(source.sparkSession, claims_target)
     write_table(score_gaps(located, stored, needs, places, as_of).select(*GAP_FIELDS), gaps_target, ["care_need"])

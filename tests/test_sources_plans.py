@@ -98,3 +98,31 @@ def test_export(spark, raw, tmp_path):
     with pytest.raises(GateError):  # no such record type
         wr.export_snapshot(valid.withColumn("record_type", F.lit("odd")), str(tmp_path / "x"))
     assert wr.export_snapshot(valid.where("record_type <> 'facility'"), str(tmp_path / "y"))["errors"] == 0
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for name, rows in (("a", 900), ("b", 1), ("c", 0), ("d", 333)):
+        (folder / f"{name}.csv").write_text("id,text\n" + "".join(f"{k},value {k} of {name}\n" for k in range(rows)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = rd.read_csv_lines(spark, str(folder), breaks=False)
+        assert got.select("source_file", "source_line_number").distinct().count() == 1234
+        split = [(r.source_file[-5], int(r.id), r.source_line_number) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(split) == sorted((name, k, k + 2) for name, rows in (("a", 900), ("b", 1), ("d", 333)) for k in range(rows))
+    (tmp_path / "one.csv").write_text('\ufeffid,text\n1,"two\nlines"\n2,"a ""word"""\n')
+    assert [(r.id, r.text, r.source_line_number) for r in rd.read_csv_lines(spark, str(tmp_path / "one.csv"), first=1).collect()] == [("1", "two\nlines", 1), ("2", 'a "word"', 2)]
+
+
+def test_export_files_follow_each_other_in_order(spark, raw, tmp_path):
+    rows = P.union_records(P.facility_records(raw[0]), P.pincode_records(raw[1]), P.district_records(raw[2]))
+    wr.export_snapshot(rows.repartition(7), str(tmp_path / "out"), validate=False)
+    seen = []
+    for file in sorted((tmp_path / "out").glob("part-*.csv")):
+        seen += [(r.record_type or "", r.record_id or "") for r in rd.read_csv(spark, str(file)).collect()]
+    assert seen == sorted(seen) and len(seen) == rows.count()

@@ -15,7 +15,7 @@ from needmap.plans import gaps as N
 from needmap.plans import jobs as J
 from needmap.session import shared_folder
 from needmap.sources import writers as W
-from needmap.sources.readers import read_csv
+from needmap.sources.readers import read_csv, read_csv_lines
 
 from . import evidence_queries as evidence
 from . import records_queries as records
@@ -46,12 +46,12 @@ def _path(t) -> str:
     return shared_folder(t.spark, _table())
 
 
-@query("publish", "SELECT n_nationkey, n_name, 25 AS rows FROM nation")
+@query("publish", "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders) AS rows FROM orders")
 def publish(t):
     name = _table()
-    W.publish_candidate(t.nation.limit(0), name, apply=True)
-    done = W.publish_candidate(t.nation, name, lambda stored: Q.check_grain(t.nation, stored, "n_nationkey"), apply=True)
-    return t.spark.table(name).select("n_nationkey", "n_name", F.lit(done["rows"]).alias("rows"))
+    W.publish_candidate(t.orders.where("o_orderkey < 0"), name, apply=True)
+    done = W.publish_candidate(t.orders, name, lambda stored: Q.check_grain(t.orders, stored, "o_orderkey"), apply=True)
+    return t.spark.table(name).select("o_orderkey", "o_orderstatus", F.lit(done["rows"]).alias("rows"))
 
 
 @query("build_job", with_ctes("SELECT * FROM enriched", **rollups.CTES))
@@ -75,11 +75,24 @@ def rebuild_job(t):
     return parts[0].unionByName(parts[1])
 
 
-@query("export", with_ctes("SELECT record_id, record_type, district FROM rebuilt WHERE record_type <> 'facility'", **records.SOURCE_CTES, rebuilt=records.REBUILT_SQL))
+_EXPORTED = ", ".join(f"coalesce({c}::VARCHAR, '') AS {c}" for c in cfg.RECORD_FIELDS)
+
+
+@query("export", with_ctes(f"SELECT {_EXPORTED}, (SELECT count(*) FROM issues WHERE severity = 'error') AS errors FROM damaged", **records.SOURCE_CTES, **(records.ISSUE_CTES | {"damaged": records.REBUILT_SQL})))
 def export(t):
     path = _path(t)
-    W.export_snapshot(records.rebuilt(t).where("record_type <> 'facility'"), path)
-    return read_csv(t.spark, path).select("record_id", "record_type", "district")
+    W.export_snapshot(records.rebuilt(t), path, validate=False)  # the gate would stop here: its errors are counted instead
+    rows = read_csv(t.spark, path)
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in cfg.RECORD_FIELDS], F.lit(Q.report(rows)["errors"]).cast("long").alias("errors"))
+
+
+@query("line_numbers", with_ctes(
+    "SELECT source_line_number, rule, record_id FROM issues JOIN (SELECT record_id AS id, row_number() OVER (ORDER BY record_id) + 1 AS source_line_number FROM damaged) ON id IS NOT DISTINCT FROM record_id",
+    **records.ISSUE_CTES))
+def line_numbers(t):
+    path = _path(t)
+    W.write_csv(records.damaged(t).orderBy("record_id"), path, 1)
+    return Q.validate(read_csv_lines(t.spark, path), columns=("record_id", "source_line_number")).select("source_line_number", "rule", "record_id")
 
 
 @query("load_prepared", with_ctes("SELECT district_id, care_need, relevant_claims::INT AS relevant_claims, (SELECT count(*) FROM claims) AS claims FROM gaps", **evidence.GAPS))
