@@ -1,14 +1,15 @@
 """Capability claims from free text, with the cited snippet.
 
-Everything is one Catalyst expression per capability: its patterns in order, the first hit winning,
-each behind a plain substring test that is far cheaper than the pattern. No UDF, no shuffle, whole
-texts.
+Everything is one Catalyst expression per capability: its patterns in order, the first hit winning. A text is cut into words once, and
+only patterns whose words are among them are run. No UDF, no shuffle, whole texts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,27 @@ def plain_part(pattern: str) -> str | None:
     return longest or None
 
 
+_TOKEN = re.compile(r"\\s\+|\\[A-Za-z]|\[[^\]]*\]|\\.|[A-Za-z0-9 ',-]+|.")
+
+
+def whole_words(pattern: str) -> tuple[str, ...]:
+    """Words, in upper case, that stand as whole words in every match of the pattern; those that are plain to see."""
+    if re.search(r"[()|{]", pattern):
+        return ()
+    tokens, found = _TOKEN.findall(pattern), []
+    for i, run in enumerate(tokens):
+        if not re.fullmatch(r"[A-Za-z0-9 ',-]+", run):
+            continue
+        before = tokens[i - 1] if i else ""
+        after = tokens[i + 1] if i + 1 < len(tokens) else ""
+        for word in re.finditer(r"[A-Za-z0-9]+", run):
+            begins = word.start() > 0 or before in (r"\b", r"\s+")
+            ends = word.end() < len(run) - (after[:1] in ("?", "*")) or (word.end() == len(run) and after in (r"\b", r"\s+"))
+            if begins and ends:
+                found.append(word[0].upper())
+    return tuple(dict.fromkeys(found))
+
+
 def match_start(text: Column, pattern: Column) -> Column:
     """Characters before the first match. Code points, where ``regexp_instr`` counts UTF-16 units."""
     return F.length(F.split(text, pattern, 2)[0])
@@ -52,12 +74,13 @@ def match_length(text: Column, pattern: Column) -> Column:
 
 
 def find_capability(
-    text: Column, folded: Column, capability: Capability, hinted: Column | None = None
+    text: Column, folded: Column, words: Column, capability: Capability, hinted: Column | None = None
 ) -> Column:
     """(capability, confidence, pattern to cite), NULL without a claim.
 
-    Strong patterns are tried first, then partial ones, then the type hint. A pattern is only run
-    where its plain part occurs in the folded (upper-case) text. The results are constants; the position is
+    Strong patterns are tried first, then partial ones, then the type hint. A pattern is only run where all its whole words are among
+    ``words``, those of the text that any pattern needs; one without such words only where its plain part occurs in the
+    folded (upper-case) text. The results are constants; the position is
     worked out only for the one pattern that won.
     """
 
@@ -69,8 +92,11 @@ def find_capability(
         )
 
     def hit(pattern: str) -> Column:
-        plain = plain_part(pattern)
         found = text.rlike(FLAGS + pattern)
+        needed = whole_words(pattern)
+        if needed:
+            return reduce(and_, (F.array_contains(words, w) for w in needed)) & found
+        plain = plain_part(pattern)
         return found if plain is None else folded.contains(plain) & found
 
     ordered = [("strong", p) for p in capability.strong] + [("partial", p) for p in capability.partial]
@@ -98,7 +124,10 @@ def find_claims(df: DataFrame, text: str, kind: str | None = None, taxonomy: Tax
     # Upper case, and the two letters that only match I and K when case is ignored.
     folded = F.replace(F.upper(F.col(text)), F.lit("\u0130"), F.lit("I"))
     folded = F.replace(folded, F.lit("\u212a"), F.lit("K"))
-    with_folded = df.withColumn("_folded", folded)
+    # The text is cut into words once; what stays of them is what patterns need, so each pattern looks into a short list.
+    needed = sorted({w for k in taxonomy.capabilities for p in (*k.strong, *k.partial) for w in whole_words(p)})
+    found_words = F.array_intersect(F.split("_folded", r"(?U)\W+"), F.array(*map(F.lit, needed)).cast("array<string>"))
+    with_folded = df.withColumn("_folded", folded).withColumn("_words", found_words)
     label = F.lower(strip(F.col(kind))) if kind else None
 
     def hinted(key: str) -> Column | None:
@@ -106,7 +135,7 @@ def find_claims(df: DataFrame, text: str, kind: str | None = None, taxonomy: Tax
         return label.isin(types) if label is not None and types else None
 
     claims = F.array(
-        *[find_capability(F.col(text), F.col("_folded"), c, hinted(c.key)) for c in taxonomy.capabilities]
+        *[find_capability(F.col(text), F.col("_folded"), F.col("_words"), c, hinted(c.key)) for c in taxonomy.capabilities]
     )
     found = with_folded.select(*df.columns, F.inline(F.array_compact(claims)))
     return found.withColumns(

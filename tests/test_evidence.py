@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from needmap.config import CAPABILITIES, TAXONOMY
 from needmap.operators.enrich import infer_location
-from needmap.operators.evidence import coverage, extract_claims, find_claims, plain_part
+from needmap.operators.evidence import coverage, extract_claims, find_claims, plain_part, whole_words
 
 
 def brute(text):
@@ -98,3 +98,17 @@ def test_infer_location(spark):
     assert got["f1"] == ("Odisha", "Cuttack", "pincode_inferred") and got["f2"] == ("karnataka", "Mysore", "source_district")
     assert got["f3"] == ("karnataka", None, "city_fallback") and got["f4"][2] == "missing_location"
     assert got["p1"] == ("orissa", "Cuttack", None) and len(got) == 7
+
+
+def test_whole_words_stand_in_every_match():
+    assert whole_words(r"\bblood bank\b") == ("BLOOD", "BANK") and whole_words(r"\blabou?r room\b") == ("ROOM",)
+    assert whole_words(r"\bgynaec") == () and whole_words(r"\b24\s*hour\b.*\bemergency\b") == ("EMERGENCY",) and whole_words(r"a (b|c)") == ()
+    assert whole_words(r"\bintensive\s+care") == ("INTENSIVE",)
+    chance = random.Random(7)
+    parts = ["blood", "bank", "24", "hour", "emergency", "care", "unit", "icu", "labor", "room", " ", "  ", "-", ",", "\n", "x", "7", "/", "é", "_"]
+    patterns = [p for k in CAPABILITIES for p in (*k.strong, *k.partial)]
+    for _ in range(4000):
+        text = "".join(chance.choices(parts, k=9))
+        words = set(re.split(r"\W+", text.upper()))
+        for p in patterns:
+            assert not re.search(p, text, re.I) or words.issuperset(whole_words(p)), (p, text)
