@@ -3,18 +3,16 @@
 A document is the set of its distinct shingles of five words. Documents with the same set are one from the start. Each set is
 embedded as minwise tokens: token i is the least value of hash i over the set, so two sets share a token with the probability of
 their Jaccard similarity. A tree branches all documents by one of its tokens, then each node that is still large by the next,
-down to small nodes; similar documents take the same path with good probability, and independent trees make it near certain. A pair of
-similarity s that parts from others at level d is missed by all 16 trees with probability (1 - s**d)**16: at 0.85 once in 4 million for
-three levels and 0.6 % for all eight, at 0.80 5 % for eight. Each tree has tokens of its own, so the trees are independent.
-
-At the first level every member of a node is compared with the least member of one of its nodes, and verified links join components. A
-node whose members are all in one component goes no further, so a group of copies ends there, whatever its size. The others
-branch on; in their last nodes every member is compared with the least ones, one of them first, then those still in another
-component. Small nodes that still hold several components are compared exhaustively at the end; so is a node that is still large after
-``DEPTH`` levels: its pairs grow with the square of what is apart in it, and none is left out. One-bit signatures of the tokens let
-through what can reach the threshold (five standard deviations of doubt); a link counts only after an exact comparison of the full
-sets. Components are found by alternating stars, so neither links nor documents ever meet in one place. Levels carry no more than
-node, tree and document number.
+down to small nodes; similar documents take the same path with good probability, and independent trees make it near certain. A pair
+of similarity s that parts from others at level d is missed by all 16 trees with probability (1 - s**d)**16: at 0.85 once in 4
+million for three levels and 0.6 % for all eight, at 0.80 5 % for eight. Each tree has tokens of its own, so the trees are independent.
+
+Last nodes are compared exhaustively, in two rounds so that a group of copies does not become all its pairs. First every member
+is compared with the least member of each node that it is in; verified links join members into components. Then all pairs of
+members of a node that are not yet in one component are compared. One-bit signatures of the tokens let through what can
+reach the threshold (five standard deviations of doubt); a link counts only after an exact comparison of the full sets. A node
+that is still large after ``DEPTH`` levels is one of very similar documents; it is compared whole like the small ones, so its pairs
+grow with the square of what the first round leaves apart in it. Components are found by alternating stars, so neither links nor documents ever meet in one place.
 
 Defined cases: words are runs of other than ASCII white space, A-Z in lower case. A text of fewer than five words is one shingle;
 a NULL or empty text, or one of white space, has an empty set and is linked with nothing. Rows of one ``doc_id`` count as one
@@ -89,6 +87,33 @@ def features(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
     return df.select(F.col(f"`{text}`"), F.col(f"`{key}`").cast("long").alias("doc_id")).mapInArrow(run, schema)
 
 
+def leaves(sets: DataFrame) -> DataFrame:
+    """(node, rep, n, s0..., leader): the members of all last nodes of all trees; nodes of one member are left out."""
+    own = ["rep", "n", *_WORDS]
+    first = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[_ORDER[t][0]]).alias("node")) for t in range(TREES)]
+    level = sets.select(*own, F.inline(F.array(*first)))
+    done: list[DataFrame] = []
+    for depth in range(1, DEPTH + 1):
+        # Cut off, so that the join below is between two plain exchanges, whose large partitions Spark can split.
+        sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).where("members > 1"))
+        placed = cut(level.join(sizes, "node"))
+        done.append(placed.where(F.col("members") <= LEAF).select("node", *own, "leader"))
+        large = placed.where(F.col("members") > LEAF)
+        if large.isEmpty():
+            break
+        if depth == DEPTH:
+            done.append(large.select("node", *own, "leader"))
+            break
+        token = F.element_at(F.array(*(F.lit(o[depth]) for o in _ORDER)), F.col("tree") + 1)
+        level = large.select("tree", "node", *own).join(sets.select("rep", "tokens"), "rep").select(
+            *own, "tree", F.xxhash64("node", F.get("tokens", token)).alias("node")
+        )
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def may_link(left: str, right: str, percent: int) -> Column:
     """Whether sizes and signatures leave it open that two sets reach the similarity."""
     similarity = percent / 100
@@ -142,53 +167,6 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sizes and signatures leave a link open."""
-    one = sets.select("rep", "n", *_WORDS)
-    return (
-        pairs.alias("p").join(one.alias("x"), F.col("p.u") == F.col("x.rep")).join(one.alias("y"), F.col("p.v") == F.col("y.rep"))
-        .where(may_link("x", "y", percent)).select("p.u", "p.v")
-    )
-
-
-def merged(component: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, component) after links between sets; only links between different components are looked at."""
-    own = lambda end: component.select(F.col("rep").alias(end), F.col("component").alias(f"component_{end}"))
-    edges = cut(
-        links.join(own("u"), "u").join(own("v"), "v").where("component_u <> component_v").select(F.col("component_u").alias("u"), F.col("component_v").alias("v")).distinct()
-    )
-    if edges.isEmpty():
-        return component
-    found = components(edges).select(F.col("id").alias("component"), F.col("component").alias("least"))
-    return cut(component.join(found, "component", "left").select("rep", F.coalesce("least", "component").alias("component")))
-
-
-def apart(nodes: DataFrame, component: DataFrame) -> DataFrame:
-    """The rows of nodes whose members are in several components; the others have no more to tell."""
-    member = nodes.join(component, "rep")
-    several = cut(member.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node"))
-    return cut(member.drop("component").join(several, "node"))
-
-
-def joined(component: DataFrame, nodes: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, width: int, everyone: bool) -> DataFrame:
-    """(rep, component) after the members of nodes are compared with the least members, one partner of each first.
-
-    With ``everyone`` the partners that are then still in other components follow.
-    """
-    tries = nodes.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
-    open_ = cut(linked(tries, sets, percent))
-    first = cut(open_.groupBy("u").agg(F.min("v").alias("v")))
-    if first.isEmpty():
-        return component
-    component = merged(component, verified(first, docs, percent, width))
-    if not everyone:
-        return component
-    own = lambda end: component.select(F.col("rep").alias(end), F.col("component").alias(f"component_{end}"))
-    rest = open_.join(first, ["u", "v"], "left_anti").join(own("u"), "u").join(own("v"), "v")
-    rest = cut(rest.where("component_u <> component_v").select("u", "v"))
-    return component if rest.isEmpty() else merged(component, verified(rest, docs, percent, width))
-
-
 def with_components(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``df``; links have 100 * intersection >= percent * union."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -198,50 +176,33 @@ def with_components(df: DataFrame, text: str = "text", key: str = "doc_id", perc
         known.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity)
         .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), *(F.first(w).alias(w) for w in _WORDS))
     )
-    component = cut(sets.select("rep", F.col("rep").alias("component")))
-    first = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[_ORDER[t][0]]).alias("node")) for t in range(TREES)]
-    level = sets.select("rep", F.inline(F.array(*first)))
-    done: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
-        # Cut off, so that the join below is between two plain exchanges, whose large partitions Spark can split.
-        sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).where("members > 1"))
-        placed = cut(level.join(sizes, "node"))
-        if depth == 1:  # groups of copies end here
-            component = joined(component, placed, sets, docs, percent, width, everyone=False)
-            placed = apart(placed, component)
-        last = depth == DEPTH
-        done.append(placed.where(F.lit(last) | (F.col("members") <= LEAF)).select("node", "rep", "leader"))
-        large = placed.where(F.col("members") > LEAF).select("rep", "tree", "node")
-        if last or large.isEmpty():
-            break
-        token = F.element_at(F.array(*(F.lit(o[depth]) for o in _ORDER)), F.col("tree") + 1)
-        level = large.join(sets.select("rep", "tokens"), "rep").select("rep", "tree", F.xxhash64("node", F.get("tokens", token)).alias("node"))
-    nodes = done[0]
-    for more in done[1:]:
-        nodes = nodes.unionByName(more)
-    component = joined(component, nodes, sets, docs, percent, width, everyone=True)
-    nodes = apart(nodes.drop("leader"), component)
-    # Pairs within the last nodes that are not yet in one component.
-    member = cut(nodes.join(component, "rep").join(sets.select("rep", "n", *_WORDS), "rep"))
-    x, y = member.alias("x"), member.alias("y")
+    placed = cut(leaves(sets))
+    # Round one: each member and all leaders it may be linked with.
+    leader = sets.select(F.col("rep").alias("leader"), "n", *_WORDS).alias("l")
+    tries = placed.where("rep <> leader").select("rep", "n", *_WORDS, "leader").distinct().alias("m")
     pairs = cut(
+        tries.join(leader, F.col("m.leader") == F.col("l.leader")).where(may_link("m", "l", percent))
+        .select(F.col("m.rep").alias("u"), F.col("m.leader").alias("v"))
+    )
+    links = cut(verified(pairs, docs, percent, width))
+    found = cut(components(links))
+    # Round two: pairs within a node that round one left in different components.
+    member = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = cut(member.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node"))
+    open_nodes = cut(member.join(apart, "node").select("node", "rep", "n", *_WORDS, "component"))
+    x, y = open_nodes.alias("x"), open_nodes.alias("y")
+    more = cut(
         x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent))
         .select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
     )
-    if not pairs.isEmpty():
-        component = merged(component, verified(pairs, docs, percent, width))
-    # A document is in the component of its set; one with several texts ties their components together.
-    ties = known.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", *identity).distinct().join(sets.select(*identity, "rep"), identity)
-    ties = cut(ties.join(component, "rep").select("doc_id", "component").distinct())
-    least = ties.groupBy("doc_id").agg(F.min("component").alias("least"))
-    several = cut(ties.join(least, "doc_id").where("component <> least").select(F.col("component").alias("u"), F.col("least").alias("v")).distinct())
-    found = least.withColumnRenamed("least", "component")
-    if not several.isEmpty():
-        tied = components(several).select(F.col("id").alias("component"), F.col("component").alias("least"))
-        found = found.join(tied, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
-    own = F.coalesce("component", "doc_id")
-    rows = known.select("doc_id", "n").join(found, "doc_id", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    # Documents are tied to the document that stands for their set; one with several texts ties their sets together.
+    ties = known.where("n > 0 AND doc_id IS NOT NULL").join(sets.select(*identity, "rep"), identity).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    if not more.isEmpty():
+        links = links.unionByName(verified(more, docs, percent, width))
+    found = components(links.unionByName(ties))
+    component = F.coalesce("component", "doc_id")
+    rows = known.select("doc_id", "n").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 80, width: int = 5) -> DataFrame:
