@@ -110,9 +110,11 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates.with_components(df.limit(0)).count() == 0
 
 
-def test_repeated_passages_are_found_and_clean_texts_left(spark):
+@pytest.mark.parametrize("seed", [3, 5, 8])
+def test_repeated_passages_are_found_and_clean_texts_left(spark, seed):
     importable(spark)
-    rows, planted, clean = [], set(), set()
+    random.seed(seed)
+    rows, planted, clean, passages = [], set(), set(), {}
     for k in range(60):
         rows.append((k, " ".join(prose(200))))
         clean.add(k)
@@ -121,20 +123,23 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
         for d in (100 + 3 * k, 101 + 3 * k, 102 + 3 * k):
             rows.append((d, " ".join(prose(random.randint(0, 90))) + " " + passage + " " + " ".join(prose(random.randint(0, 90)))))
             planted.add(d)
+            passages[d] = passage
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = substrings.repeated_spans(df).collect()
     docs = {r.doc for r in found}
-    assert len(planted - docs) <= 0.04 * len(planted) and not clean & docs
+    assert planted <= docs and not clean & docs
     text = dict(rows)
     assert all(sum(text[r.doc][r.start : r.end] in t for t in text.values()) >= 2 for r in found)
     assert {r.doc for r in found if not r.removed} <= {100 + 3 * k for k in range(40)}
     after = {r.doc_id: r.text for r in substrings.deduplicated(df).collect()}
-    assert all(after[d] == text[d] for d in clean) and all(len(after[d]) < len(text[d]) for d in planted if d % 3 != 1 and d in docs)
+    assert all(after[d] == text[d] for d in clean) and all(len(after[d]) < len(text[d]) for d in planted if d % 3 != 1)
+    for d, passage in passages.items():  # whole in the first of the three, gone to the last word from the others
+        assert after[d] == text[d] if d % 3 == 1 else not set(passage.split()[::10]) & (set(after[d].split()) - set(text[d].replace(passage, "").split()))
 
 
 def test_boundaries_resist_shifts():
     text = " ".join(prose(600)).encode()
-    cuts = lambda t: {t.decode()[s : s + n] for s, n in zip(*substrings.chunk_slice([t], 6, 32)[1:3])}
+    cuts = lambda t: {t.decode()[s : s + n] for s, n in zip(*substrings.chunk_slice([t], 3, 32)[1:3])}
     one, two = cuts(text), cuts(b"two inserted words here " + text)
     assert len(one & two) >= len(one) - 3
 
