@@ -1,9 +1,10 @@
 """Line deduplication by content-defined chunks of lines; built-in functions only.
 
-The lines of a text are hashed, and a rolling hash over the last two line hashes decides where a chunk ends. Boundaries depend on
-the lines around them alone, so an insertion or a removal shifts none further away. Chunks of at least two lines that stand at more
-than one place are removed from all but the first (lowest ``doc_id``, then lowest position). Chunks are grouped by digest and by
-their bytes; a digest that stood for two different texts would remove nothing.
+The lines of a text are hashed, and a rolling hash over the last two line hashes decides where a chunk may end; it does where the
+line before may not, and never so that a chunk is a single line (but for texts of one line). Boundaries depend on the few lines
+around them alone, so an insertion or a removal shifts none further away. Chunks that stand at more than one place are removed from
+all but the first (lowest ``doc_id``, then lowest position). Chunks are grouped by digest and by their bytes; a digest that stood
+for two different texts would remove nothing.
 
 Defined cases: lines end at each line feed; an empty line is a line. NULL texts stay NULL, empty texts have one empty line. Rows
 without ``doc_id`` count as one document after all others. Rows with the same ``doc_id`` and text are one document and lose the
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, text_of
 
-#: A chunk has this many lines on average.
-AVERAGE_LINES = 3
+#: One line in so many may end a chunk; chunks have about twice as many lines.
+DIVISOR = 2
 _LAST = (1 << 63) - 1
 
 
@@ -27,14 +28,15 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def with_chunks(df: DataFrame, text: str, lines: str, chunks: str, average: int = AVERAGE_LINES) -> DataFrame:
+def with_chunks(df: DataFrame, text: str, lines: str, chunks: str, divisor: int = DIVISOR) -> DataFrame:
     """Adds the lines of the text and its chunks, an array of (from, to), line numbers from 0, both inclusive."""
     hashes, ends = fresh(df, "hashes_of_lines", "ends_of_chunks")
     out = df.withColumn(lines, F.split(text_of(text), "\n", -1))
     out = out.withColumn(hashes, F.transform(lines, line_hash))
     n = F.size(hashes)
     rolling = lambda i: F.get(hashes, i) * 31 + F.when(i > 0, F.get(hashes, i - 1)).otherwise(0)
-    out = out.withColumn(ends, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | (rolling(i) % average == 0)))
+    may = lambda i: rolling(i) % divisor == 0
+    out = out.withColumn(ends, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | ((i > 0) & (i < n - 2) & may(i) & ~may(i - 1))))
     begin = lambda j: F.when(j > 0, F.get(ends, j - 1) + 1).otherwise(0)
     return out.withColumn(chunks, F.transform(ends, lambda e, j: F.struct(begin(j).alias("from"), e.alias("to")))).drop(hashes, ends)
 
@@ -43,10 +45,10 @@ def body(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, chunk["from"] + 1, chunk["to"] - chunk["from"] + 1), "\n")
 
 
-def removals(df: DataFrame, text: str = "text", key: str = "doc_id", average: int = AVERAGE_LINES) -> DataFrame:
+def removals(df: DataFrame, text: str = "text", key: str = "doc_id", divisor: int = DIVISOR) -> DataFrame:
     """(doc, part, gone): the numbers of the chunks that each text loses; ``part`` tells the texts of one ``doc`` apart."""
     source = df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_of(text)).alias("part"), text_of(text).alias("text"))
-    cut_up = with_chunks(source, "text", "lines", "chunks", average)
+    cut_up = with_chunks(source, "text", "lines", "chunks", divisor)
     multi = F.filter(F.transform("chunks", lambda c, j: F.struct(c["from"], c["to"], j.alias("number"))), lambda c: c["to"] > c["from"])
     texts = F.transform(multi, lambda c: F.struct(c["number"].alias("number"), body(F.col("lines"), c).alias("body")))
     bodies = cut_up.select("doc", "part", texts.alias("own"))
@@ -66,12 +68,12 @@ def removals(df: DataFrame, text: str = "text", key: str = "doc_id", average: in
     return later.groupBy("doc", "part").agg(F.collect_set("number").alias("gone"))
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", average: int = AVERAGE_LINES, removed: str | None = None) -> DataFrame:
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", divisor: int = DIVISOR, removed: str | None = None) -> DataFrame:
     """All rows and columns of ``df``, the repeated chunks taken out of ``text``; ``removed``, if named, is the number of lines taken."""
     doc, part, gone, lines, chunks = fresh(df, "doc_of_row", "part_of_row", "gone_chunks", "lines_of_row", "chunks_of_row")
-    lost = removals(df, text, key, average).select(F.col("doc").alias(doc), F.col("part").alias(part), F.col("gone").alias(gone))
+    lost = removals(df, text, key, divisor).select(F.col("doc").alias(doc), F.col("part").alias(part), F.col("gone").alias(gone))
     keyed = df.withColumns({doc: F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST)), part: F.xxhash64(text_of(text))})
-    joined = with_chunks(keyed.join(lost, [doc, part], "left"), text, lines, chunks, average)
+    joined = with_chunks(keyed.join(lost, [doc, part], "left"), text, lines, chunks, divisor)
     left = F.filter(F.transform(chunks, lambda c, j: F.struct(c["from"], c["to"], j.alias("number"))), lambda c: ~F.array_contains(gone, c["number"]))
     kept = F.array_join(F.flatten(F.transform(left, lambda c: F.slice(lines, c["from"] + 1, c["to"] - c["from"] + 1))), "\n")
     out = {c: F.col(f"`{c}`") if c != text else F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(kept) for c in df.columns}
@@ -87,8 +89,10 @@ SQL = f"""
 WITH line AS (
   SELECT doc_id, i, l, CAST('0x' || substr(md5(l), 1, 8) AS BIGINT) AS h
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), may AS (
+  SELECT *, (h * 31 + coalesce(lag(h) OVER d, 0)) % {DIVISOR} = 0 AS may, count(*) OVER (PARTITION BY doc_id) AS lines FROM line WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), ended AS (
-  SELECT *, CASE WHEN (h * 31 + coalesce(lag(h) OVER d, 0)) % {AVERAGE_LINES} = 0 THEN 1 ELSE 0 END AS ends FROM line WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, CASE WHEN i > 1 AND i < lines - 1 AND may AND NOT lag(may) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS ends FROM may
 ), numbered AS (
   SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ended
 ), chunk AS (
