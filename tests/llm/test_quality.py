@@ -126,3 +126,19 @@ def test_rules_edges(spark):
     out = perplexity.with_verdicts(df.drop("Kept"))
     assert sorted((r.doc_id, r.base_failed, r.kept) for r in out.collect()) == [(1, True, False)] * 2 + [(2, True, False), (3, True, False)]
     assert perplexity.with_verdicts(df.limit(0).drop("Kept")).count() == 0
+
+
+def test_groups_of_languages_give_the_same_rows(spark):
+    importable(spark)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, "fr"), (-2, "", "zz"), (-3, "é" * 200_000, "ES")], docs.schema))
+    rows = lambda **given: sorted(tuple(r) for r in perplexity.with_verdicts(docs, keep_text=False, **given).select("doc_id", "kept", "log_perplexity", "lower", "upper").collect())
+    counted = perplexity.count_trigrams(docs, "text", "lang")
+    assert len(perplexity.language_groups(counted)) == 1 < len(perplexity.language_groups(counted, 9000))
+    assert rows() == rows(at_once=1)
+
+
+def test_medians_are_exact_to_the_histogram(spark):
+    values = [(k, float(x)) for k in "ab" for x in np.random.default_rng(ord(k)).normal(3, 1, 501)]
+    got = perplexity.medians(spark.createDataFrame(values, "k string, v double").repartition(7), "k", F.col("v"))
+    assert all(abs(got[k] - np.median([v for key, v in values if key == k])) <= perplexity.WIDTH for k in "ab")
