@@ -30,6 +30,16 @@ def test_given_pages_give_their_articles(spark):
     ("<article><header><h1>Title</h1></header><p>x</p><div class='share'>share me</div><section id=comments><p>" + LONG + "</p></section></article>", "Title x"),
     ("<ul class=menu><li><a>Home</a><li><a>News of all the kinds there are and more</a></ul><div>" + LONG * 2 + "</div><p>Short.</p><p>" + LONG + "</p><form>Mail</form><div class='cookie-notice'>" + LONG + "</div><footer>c</footer>", (LONG * 2 + "Short. " + LONG).strip()),
     ("<div><a href=x>" + "link words here " * 9 + "</a></div><p>" + LONG + "</p>", LONG.strip()),
+    ("<body><div class='layout has-sidebar'><article><p>" + LONG + "</p></article><div class=sidebar>side</div></div>", LONG.strip()),
+    ("<div class='layout sidebar-left'><div class=menu><a>Home</a></div><article><p>" + LONG + "</p></article></div>", LONG.strip()),
+    ("<div id='search-page'><p>" + LONG + "</p><p>" + LONG + "</p></div>", (LONG * 2).strip()),
+    ("<div id='search-page'><p>" + LONG + "</p><div class=related><p>More</p></div><p>" + LONG + "</p></div><p class=share>x</p>", (LONG * 2).strip()),
+    ("<article><p>one</p><svg class=x /><p>two</p><math/><p>three</p></article>", "one two three"),
+    ("<form><select><option>1</form><article><p>one</p></article>", "one"),
+    ("<select><option>1<article><p>one</p></article><select><option>2</select>", "one"),
+    ("<title>T<body><p>" + LONG, LONG.strip()),
+    ("<canvas><p>" + LONG + "</p><object data=x><p>" + LONG, (LONG * 2).strip()),
+    ("<p>" + LONG + "</p><p><a href=x>a link</a></p><p>" + LONG + "</p><div class='reader-comments'><p>" + LONG * 9 + "</p></div>", LONG + "a link " + LONG.strip()),
     ("<main>one<br>two\n three&nbsp;four<svg><text>no</text></svg></main><aside>five</aside>", "one two three four"),
 ])
 def test_page_parts(page, text):
