@@ -85,3 +85,21 @@ def test_whole_licences_notices_and_edges(spark):
     assert got[2] == (["CC-BY-NC-4.0", "MIT"], ["mit.notice", "cc-by-nc4.notice"])
     assert got[3] == got[4] == got[5] == ([], []) and got[6] == ([], ["bsd.grant"]) and got[7][0] == ["Apache-2.0"]
     assert out.count() == len(rows) and licences.with_licences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("This code is released under the MIT License.", "MIT"), ("Some words. This software is licensed under the terms of the MIT licence, see the LICENSE file.", "MIT"),
+    ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", "GPL-2.0-only"), ("# SPDX-License-Identifier: LGPL-2.1+\n", "LGPL-2.1-or-later"), ("SPDX-License-Identifier:  CC-BY-SA-3.0", "CC-BY-SA-3.0"),
+    ("All code in this repository is distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This data is made available under the Eclipse Public License v2.0", "EPL-2.0"), ("Licensed under CC0 1.0", "CC0-1.0"), ("The work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Zlib"),
+    ("I was licensed under the sea, and released under the terms of my bail.", ""), ("The licence under which we sail", ""), ("x " * 200_000 + "\nlicensed under the MIT license", "MIT"),
+])
+def test_notices(spark, tmp_path, text, names):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert ",".join(licences.with_licences(df).first().licences) == names
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert con.execute(licences.SQL).fetchall()[0][1] == names
