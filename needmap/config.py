@@ -454,3 +454,14 @@ NAME_STOPWORDS = (
     "and", "the", "of", "in", "at", "for", "near", "road", "west", "east", "north", "south", "clinic",
     "hospital", "medical", "health", "care", "centre", "center", "dental", "doctor", "dr",
 )
+
+# Indicator columns of the fixed source schema (fixed values).
+STRICT_INDICATORS = {
+    "households_surveyed": "households_surveyed",
+    "institutional_birth_pct": "institutional_birth_5y_pct",
+    "stunting_pct": "child_u5_who_are_stunted_height_for_age_18_pct",
+    "anaemia_pct": "all_w15_49_who_are_anaemic_pct",
+    "improved_water_pct": "hh_improved_water_pct",
+    "improved_sanitation_pct": "hh_use_improved_sanitation_pct",
+    "health_insurance_pct": "hh_member_covered_health_insurance_pct",
+}

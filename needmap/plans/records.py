@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..config import (
     DIRECTORY_COLUMNS, DISTRICT_COLUMNS, FACILITY_COLUMNS, FACILITY_TYPE_RULES, INDICATORS, OPERATOR_TYPE_RULES,
-    PLACES, RECORD_FIELDS, VALID_FACILITY_TYPES, VALID_OPERATOR_TYPES, Places,
+    PLACES, RECORD_FIELDS, STRICT_INDICATORS, VALID_FACILITY_TYPES, VALID_OPERATOR_TYPES, Places,
 )
 from ..functions import (
     blank_to_null, canonical, canonical_in_scope, clean, first_of_list_text, first_quoted, join_clean, json_name, listing_sentence,
@@ -136,6 +136,45 @@ def strict_facility_records(df: DataFrame) -> DataFrame:
     return conform(staged, record_type=F.lit("facility"), description=sentence)
 
 
+def _raw_hash(prefix: str, *values: Column) -> Column:
+    text = F.concat_ws("||", *[F.coalesce(v, F.lit("")) for v in values])
+    return F.concat(F.lit(f"{prefix}:"), F.sha2(text, 256))
+
+
+def strict_pincode_records(df: DataFrame) -> DataFrame:
+    """Postal directory rows of the fixed source schema. Ids hash the values as they come, blanks and spaces included."""
+    c = F.col
+    return conform(
+        df.select(
+            _raw_hash("pincode", c("officename"), c("statename"), c("district"), c("pincode")).alias("record_id"),
+            _blank_null(c("officename")).alias("entity_name"), _blank_null(c("statename")).alias("state"),
+            *[_blank_null(c(n)).alias(n) for n in ("district", "pincode", "delivery")], _blank_null(c("officetype")).alias("office_type"),
+            *[c(n).try_cast("double").alias(n) for n in ("latitude", "longitude")],
+            F.concat_ws(" / ", *[_blank_null(c(n)) for n in ("circlename", "regionname", "divisionname")]).alias("description"),
+        ),
+        record_type=F.lit("pincode"),
+    )
+
+
+def strict_district_records(df: DataFrame) -> DataFrame:
+    """District indicator rows of the fixed source schema, with ids like those of :func:`strict_pincode_records`."""
+    c = F.col
+    return conform(
+        df.select(
+            _raw_hash("district", c("state_ut"), c("district_name")).alias("record_id"),
+            _blank_null(c("district_name")).alias("district"), _blank_null(c("state_ut")).alias("state"),
+            F.concat(F.lit("NFHS district indicators for "), c("district_name"), F.lit(", "), c("state_ut")).alias("description"),
+            *[c(source).try_cast("double").alias(name) for name, source in STRICT_INDICATORS.items()],
+        ),
+        record_type=F.lit("district"), entity_name=c("district"),
+    )
+
+
+def strict_records(facilities: DataFrame, directory: DataFrame, districts: DataFrame) -> DataFrame:
+    """The mixed record table of the three sources in their fixed schema; unordered, as an export orders it when it writes."""
+    return union_records(strict_pincode_records(directory), strict_facility_records(facilities), strict_district_records(districts))
+
+
 def is_enriched(df: DataFrame) -> bool:
     """Whether a frame has the shape of the enriched facility table."""
     return {"facility_id", "facility_name", "analysis_state", "analysis_district"} <= set(df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
@@ -119,25 +120,51 @@ def publish_candidate(
 ) -> dict[str, object]:
     """Write ``<live>_candidate``, check what was written, and only with ``apply`` put it in place.
 
-    The check reads the stored candidate, so nothing is computed twice. The live table is kept
-    under a UTC-stamped name. Both steps are renames: the name is free for a moment between them.
+    The check reads the stored candidate, so nothing is computed twice. ``live`` is a view over tables that are never changed: the
+    candidate becomes the table of a version, and one statement turns the view to it, so that a reader finds the old rows or the
+    new ones at any moment. The former version stays as the backup. A ``live`` that is still a table of its own is renamed once,
+    when its first version is published.
     """
     spark = df.sparkSession
     candidate = f"{live}_candidate"
-    spark.sql(f"DROP TABLE IF EXISTS {candidate}")
+    drop_table(spark, candidate)
     write_table(df, candidate)
     stored = spark.table(candidate)
     if check is not None:
         check(stored)
     result: dict[str, object] = {"candidate": candidate, "rows": stored.count(), "applied": apply, "backup": None}
     if apply:
-        if spark.catalog.tableExists(live):
-            result["backup"] = backup or f"{live}_backup_{utc_stamp()}"
-            spark.sql(f"ALTER TABLE {live} RENAME TO {result['backup']}")
-        spark.sql(f"ALTER TABLE {candidate} RENAME TO {live}")
+        version = f"{live}_version_{utc_stamp()}_{uuid.uuid4().hex[:8]}"
+        former = live_version(spark, live)
+        spark.sql(f"ALTER TABLE {candidate} RENAME TO {version}")
+        if former is None and spark.catalog.tableExists(live):
+            former = backup or f"{live}_backup_{utc_stamp()}"
+            spark.sql(f"ALTER TABLE {live} RENAME TO {former}")
+        elif former is not None and backup is not None:
+            spark.sql(f"CREATE OR REPLACE VIEW {backup} TBLPROPERTIES ('{_VERSION}' = '{former}') AS SELECT * FROM {former}")
+        spark.sql(f"CREATE OR REPLACE VIEW {live} TBLPROPERTIES ('{_VERSION}' = '{version}') AS SELECT * FROM {version}")
+        result |= {"candidate": version, "backup": former if backup is None else backup if former else None}
     return result
 
 
+_VERSION = "needmap.version"
+
+
+def live_version(spark: SparkSession, live: str) -> str | None:
+    """The table that a published name shows, or None if nothing has been published under it."""
+    if not spark.catalog.tableExists(live):
+        return None
+    found = [r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {live}").collect() if r["key"] == _VERSION]
+    return found[0] if found else None
+
+
+def restore_version(spark: SparkSession, live: str, version: str) -> None:
+    """Turns a published name back to an earlier version, in one statement."""
+    if not spark.catalog.tableExists(version):
+        raise ValueError(f"no table {version}")
+    spark.sql(f"CREATE OR REPLACE VIEW {live} TBLPROPERTIES ('{_VERSION}' = '{version}') AS SELECT * FROM {version}")
+
+
 def load_records(records: DataFrame, live: str, apply: bool = False, warnings_fail: bool = False) -> dict[str, object]:
     """Validated publication of the mixed record table."""
     return publish_candidate(

@@ -11,6 +11,7 @@ TWINS = (
     "one_decimal", "canonical_pair_by_key", "directory_rollup", "dedupe_ranked", "clean_facilities", "enriched_facilities", "infer_location",
     "validate_issues", "claims_extract", "gap_scores", "review_queue", "overlay_queue", "upsert", "csv_round_trip",
     "repair_split", "merged_actions", "grain_check", "split_counts", "report", "publish", "build_job", "rebuild_job", "claims_of_phrases", "unknown_states",
+    "strict_records", "strict_facility_records", "export_order", "inspect", "run_all",
 )
 
 

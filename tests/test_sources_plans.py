@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,39 @@ def test_publish_is_a_dry_run_until_applied(spark):
         wr.publish_candidate(new, "pub.live", refuse, apply=True)
     done = wr.publish_candidate(new, "pub.live", apply=True)
     assert spark.table("pub.live").count() == 5 and spark.table(done["backup"]).count() == 3
+    # From here on the name is a view over versions, turned in one statement.
+    again = wr.publish_candidate(spark.range(7).withColumn("more", F.lit(1)), "pub.live", apply=True)
+    assert spark.table("pub.live").columns == ["id", "more"] and spark.table("pub.live").count() == 7
+    assert again["backup"] == done["candidate"] and spark.table(again["backup"]).count() == 5
+    assert wr.publish_candidate(new, "pub.live")["backup"] is None and spark.table("pub.live").count() == 7
+    with pytest.raises(GateError):
+        wr.publish_candidate(new, "pub.live", refuse, apply=True)
+    assert wr.live_version(spark, "pub.live") == again["candidate"]
+    named = wr.publish_candidate(new, "pub.live", apply=True, backup="pub.before")
+    assert named["backup"] == "pub.before" and spark.table("pub.before").count() == 7 and spark.table("pub.live").count() == 5
+    wr.restore_version(spark, "pub.live", again["candidate"])
+    assert spark.table("pub.live").count() == 7
+
+
+def test_a_reader_always_finds_the_published_name(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS pub")
+    wr.publish_candidate(spark.range(4), "pub.always", apply=True)
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(spark.table("pub.always").count())
+            except Exception as failure:
+                seen.append(failure)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for _ in range(3):
+        wr.publish_candidate(spark.range(4), "pub.always", apply=True)
+    stop.set()
+    reader.join()
+    assert seen and set(seen) == {4}
 
 
 def test_run_all(spark, enriched, tmp_path):

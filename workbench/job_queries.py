@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from needmap import config as cfg
@@ -86,6 +87,39 @@ def export(t):
     return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in cfg.RECORD_FIELDS], F.lit(Q.report(rows)["errors"]).cast("long").alias("errors"))
 
 
+@query("export_order", with_ctes(
+    "SELECT row_number() OVER (ORDER BY record_type NULLS FIRST, record_id NULLS FIRST) AS position, record_type, record_id FROM rebuilt",
+    **records.SOURCE_CTES, rebuilt=records.REBUILT_SQL))
+def export_order(t):
+    """Where each record stands in the exported files, read one after the other."""
+    path = _path(t)
+    W.export_snapshot(records.rebuilt(t), path, validate=False)
+    rows = read_csv_lines(t.spark, path, file="file", line="line")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = rows.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    return rows.join(files, "file").select((C("before") + C("line") - 1).alias("position"), "record_type", "record_id")
+
+
+_PRESENT = lambda c: f"count(*) FILTER (record_type = 'facility' AND {S.strip(f'{c}::VARCHAR')} <> '')"
+_LENGTH = f"CASE WHEN record_type = 'facility' THEN coalesce(length({S.strip('description')}), 0) END"
+_WANTED = "SELECT * FROM claims WHERE capability IN (" + ", ".join(S.quote(c) for c in cfg.NEEDS[0].capabilities) + ")"
+_UNKNOWN = lambda c: f"coalesce(nullif({S.strip(c)}, ''), 'Unknown')"
+
+
+@query("inspect", with_ctes(
+    "SELECT section, item, value::DOUBLE AS value FROM (\n" + "\nUNION ALL ".join([
+        "SELECT 'records' AS section, 'rows' AS item, count(*) AS value FROM records",
+        *[f"SELECT 'records', '{kind}', count(*) FROM records WHERE record_type = '{kind}'" for kind in ("facility", "district")],
+        *[f"SELECT 'present', '{name}', {_PRESENT(c)} FROM records" for name, c in (*((c, c) for c in ("description", "state", "city", "pincode", "district")), ("source_district", "district"))],
+        f"SELECT 'text', 'median_length', median({_LENGTH}) FROM records", f"SELECT 'text', 'short', count(*) FILTER ({_LENGTH} BETWEEN 1 AND 39) FROM records",
+        *[f"SELECT 'coverage', {S.quote(k)}, count(DISTINCT facility_id) FROM claims WHERE capability = {S.quote(k)}" for k in src.DOCUMENT_TAXONOMY.keys],
+        f"(SELECT 'state', {_UNKNOWN('state')} AS i, count(*) AS n FROM wanted GROUP BY ALL ORDER BY n DESC, i LIMIT 12)",
+        f"(SELECT 'place', {_UNKNOWN('district_or_city')} || ', ' || {_UNKNOWN('state')} AS i, count(*) AS n FROM wanted GROUP BY ALL ORDER BY n DESC, i LIMIT 12)",
+    ]) + ")", **evidence.CTES, wanted=_WANTED))
+def inspect(t):
+    return N.inspection(src.document_records(t), taxonomy=src.DOCUMENT_TAXONOMY)
+
+
 @query("line_numbers", with_ctes(
     "SELECT source_line_number, rule, record_id FROM issues JOIN (SELECT record_id AS id, row_number() OVER (ORDER BY record_id) + 1 AS source_line_number FROM damaged) ON id IS NOT DISTINCT FROM record_id",
     **records.ISSUE_CTES))

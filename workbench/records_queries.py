@@ -103,7 +103,7 @@ _STRICT_KINDS = ", ".join(S.quote(k) for k in cfg.VALID_FACILITY_TYPES)
 _STRICT_OPERATORS = ", ".join(S.quote(k) for k in cfg.VALID_OPERATOR_TYPES)
 
 
-@query("strict_facility_records", with_ctes(f"""
+_STRICT_FACILITIES = f"""
 SELECT {_row(record_id="('facility:' || unique_id)", record_type="'facility'", entity_name='nm', state='st', city='ct', pincode='pc',
              latitude='try_cast(latitude AS DOUBLE)', longitude='try_cast(longitude AS DOUBLE)', facility_type='kind',
              website="'https://a.org'", description='(' + S.listing('nm', 'kind', 'NULL::VARCHAR', 'ct', 'st', 'pc') + ')')}
@@ -111,16 +111,51 @@ FROM (SELECT *, trim(regexp_replace(CASE WHEN name LIKE '{{%' THEN json_extract_
              trim(address_stateOrRegion) AS st, trim(address_city) AS ct, trim(address_zipOrPostcode) AS pc,
              CASE lower(facilityTypeId) WHEN 'nursing_home' THEN 'hospital' ELSE lower(facilityTypeId) END AS kind FROM fac)
 WHERE regexp_matches(unique_id, '^[0-9a-f]{{8}}-') AND lower(facilityTypeId) IN ({_STRICT_KINDS})
-  AND lower(operatorTypeId) IN ({_STRICT_OPERATORS})""", fac=src.FACILITIES_SQL))
+  AND lower(operatorTypeId) IN ({_STRICT_OPERATORS})"""
+
+
+def strict_facilities(t):
+    return src.facilities(t).withColumns(
+        {
+            "officialPhone": F.lit(None).cast("string"), "phone_numbers": F.lit(None).cast("string"),
+            "officialWebsite": F.lit('["https://a.org"]'), "websites": F.lit(None).cast("string"),
+        }
+    )
+
+
+@query("strict_facility_records", with_ctes(_STRICT_FACILITIES, fac=src.FACILITIES_SQL))
+def strict_facility_records(t):
+    return P.strict_facility_records(strict_facilities(t))
+
+
+# The directory with offices in spaces, blank delivery and a region for some rows only, so that raw values and clean ones differ.
+_RAW_DIRECTORY = """
+SELECT * REPLACE (' ' || officename || '  ' AS officename, CASE WHEN delivery = 'HIGH' THEN ' ' ELSE delivery END AS delivery),
+       CASE WHEN officetype = 'F' THEN ' Region ' END AS regionname, ' ' AS divisionname FROM dir"""
+_STRICT_SQL = f"""
+{_STRICT_FACILITIES}
+UNION ALL
+SELECT {_row(record_id="('pincode:' || sha256(concat_ws('||', coalesce(officename, ''), coalesce(statename, ''), coalesce(district, ''), coalesce(pincode, ''))))",
+             record_type="'pincode'", entity_name="nullif(trim(officename), '')", state="nullif(trim(statename), '')", district="nullif(trim(district), '')",
+             pincode="nullif(trim(pincode), '')", latitude='try_cast(latitude AS DOUBLE)', longitude='try_cast(longitude AS DOUBLE)',
+             description="concat_ws(' / ', nullif(trim(circlename), ''), nullif(trim(regionname), ''), nullif(trim(divisionname), ''))",
+             office_type="nullif(trim(officetype), '')", delivery="nullif(trim(delivery), '')")} FROM raw
+UNION ALL
+SELECT {_row(record_id="('district:' || sha256(concat_ws('||', coalesce(state_ut, ''), coalesce(district_name, ''))))", record_type="'district'",
+             entity_name="nullif(trim(district_name), '')", state="nullif(trim(state_ut), '')", district="nullif(trim(district_name), '')",
+             description="('NFHS district indicators for ' || district_name || ', ' || state_ut)",
+             **{name: f'try_cast({source} AS DOUBLE)' for name, source in cfg.STRICT_INDICATORS.items()})} FROM dist"""
+
+
+@query("strict_records", with_ctes(_STRICT_SQL, **SOURCE_CTES, raw=_RAW_DIRECTORY))
 def strict_records(t):
-    return P.strict_facility_records(
-        src.facilities(t).withColumns(
-            {
-                "officialPhone": F.lit(None).cast("string"), "phone_numbers": F.lit(None).cast("string"),
-                "officialWebsite": F.lit('["https://a.org"]'), "websites": F.lit(None).cast("string"),
-            }
-        )
+    spaced = src.directory(t).withColumns(
+        {
+            "officename": F.concat(F.lit(" "), "officename", F.lit("  ")), "delivery": F.when(C("delivery") == "HIGH", F.lit(" ")).otherwise(C("delivery")),
+            "regionname": F.when(C("officetype") == "F", F.lit(" Region ")), "divisionname": F.lit(" "),
+        }
     )
+    return P.strict_records(strict_facilities(t), spaced, src.districts(t))
 
 
 # ---------------------------------------------------------------- projection of the enriched table
