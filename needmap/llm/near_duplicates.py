@@ -8,7 +8,8 @@ of similarity s that parts from others at level d is missed by all 16 trees with
 million for three levels and 0.6 % for all eight, at 0.80 5 % for eight. Each tree has tokens of its own, so the trees are independent.
 
 Last nodes are compared exhaustively, in two rounds so that a group of copies does not become all its pairs. First every member
-is compared with the least member of each node that it is in; verified links join members into components. Then all pairs of
+is compared with the least member of each node that it is in, the least of these first, and another only if that leaves the two apart;
+verified links join members into components. Then all pairs of
 members of a node that are not yet in one component are compared. One-bit signatures of the tokens let through what can
 reach the threshold (five standard deviations of doubt); a link counts only after an exact comparison of the full sets. A node
 that is still large after ``DEPTH`` levels is one of very similar documents; it is compared whole like the small ones, so its pairs
@@ -88,26 +89,22 @@ def features(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
 
 
 def leaves(sets: DataFrame) -> DataFrame:
-    """(node, rep, n, s0..., leader): the members of all last nodes of all trees; nodes of one member are left out."""
-    own = ["rep", "n", *_WORDS]
-    first = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[_ORDER[t][0]]).alias("node")) for t in range(TREES)]
-    level = sets.select(*own, F.inline(F.array(*first)))
+    """(node, rep, leader): the members of all last nodes of all trees; nodes of one member are left out.
+
+    A row carries what is left of its tree's path, so a further level joins nothing but the sizes of nodes.
+    """
+    first = [F.struct(F.xxhash64(F.lit(t), F.col("tokens")[o[0]]).alias("node"), F.slice("tokens", o[0] + 2, DEPTH - 1).alias("path")) for t, o in enumerate(_ORDER)]
+    level = sets.select("rep", F.inline(F.array(*first)))
     done: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         # Cut off, so that the join below is between two plain exchanges, whose large partitions Spark can split.
         sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).where("members > 1"))
         placed = cut(level.join(sizes, "node"))
-        done.append(placed.where(F.col("members") <= LEAF).select("node", *own, "leader"))
+        done.append(placed.where((F.col("members") <= LEAF) | F.lit(depth == DEPTH)).select("node", "rep", "leader"))
         large = placed.where(F.col("members") > LEAF)
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            done.append(large.select("node", *own, "leader"))
+        if depth == DEPTH or large.isEmpty():
             break
-        token = F.element_at(F.array(*(F.lit(o[depth]) for o in _ORDER)), F.col("tree") + 1)
-        level = large.select("tree", "node", *own).join(sets.select("rep", "tokens"), "rep").select(
-            *own, "tree", F.xxhash64("node", F.get("tokens", token)).alias("node")
-        )
+        level = large.select("rep", F.xxhash64("node", F.get("path", F.lit(0))).alias("node"), F.slice("path", 2, DEPTH).alias("path"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -176,20 +173,28 @@ def with_components(df: DataFrame, text: str = "text", key: str = "doc_id", perc
         known.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity)
         .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), *(F.first(w).alias(w) for w in _WORDS))
     )
-    placed = cut(leaves(sets))
-    # Round one: each member and all leaders it may be linked with.
-    leader = sets.select(F.col("rep").alias("leader"), "n", *_WORDS).alias("l")
-    tries = placed.where("rep <> leader").select("rep", "n", *_WORDS, "leader").distinct().alias("m")
-    pairs = cut(
-        tries.join(leader, F.col("m.leader") == F.col("l.leader")).where(may_link("m", "l", percent))
-        .select(F.col("m.rep").alias("u"), F.col("m.leader").alias("v"))
+    placed = leaves(sets)
+    # Round one: each member and the leaders of its nodes, one for each tree at most.
+    led = cut(placed.where("rep <> leader").groupBy("rep").agg(F.collect_set("leader").alias("leaders")))
+    left, right = (sets.select(F.col("rep").alias(name), F.struct("n", *_WORDS).alias(side)) for name, side in (("u", "x"), ("v", "y")))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        likely = cut(pairs.join(left, "u").join(right, "v").where(may_link("x", "y", percent)).select("u", "v"))
+        return cut(verified(likely, docs, percent, width))
+
+    # The least leader first. What it links has a root, and a member and a leader with the same root need no comparison.
+    least = links_of(led.select(F.col("rep").alias("u"), F.array_min("leaders").alias("v")))
+    rooted = least.select(F.col("u").alias("rep"), F.col("v").alias("root"))
+    others = led.join(rooted, "rep", "left").select(
+        F.col("rep").alias("u"), F.coalesce("root", "rep").alias("root_u"), F.explode(F.array_remove("leaders", F.array_min("leaders"))).alias("v")
     )
-    links = cut(verified(pairs, docs, percent, width))
+    roots = cut(sets.select("rep").join(rooted, "rep", "left").select(F.col("rep").alias("id"), F.coalesce("root", "rep").alias("root")))
+    links = least.unionByName(links_of(cut(others.join(roots, (F.col("v") == F.col("id")) & (F.col("root_u") != F.col("root"))).select("u", "v"))))
     found = cut(components(links))
     # Round two: pairs within a node that round one left in different components.
     member = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = cut(member.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node"))
-    open_nodes = cut(member.join(apart, "node").select("node", "rep", "n", *_WORDS, "component"))
+    open_nodes = cut(member.join(apart, "node").select("node", "rep", "component").join(sets.select("rep", "n", *_WORDS), "rep"))
     x, y = open_nodes.alias("x"), open_nodes.alias("y")
     more = cut(
         x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent))
