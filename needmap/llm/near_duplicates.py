@@ -10,10 +10,12 @@ million for three levels and 0.6 % for all eight, at 0.80 5 % for eight. Each tr
 Last nodes are compared exhaustively, in two rounds so that a group of copies does not become all its pairs. First every member
 is compared with the least member of each node that it is in, the least of these first, and another only if that leaves the two apart;
 verified links join members into components. Then all pairs of
-members of a node that are not yet in one component are compared. One-bit signatures of the tokens let through what can
-reach the threshold (five standard deviations of doubt); a link counts only after an exact comparison of the full sets. A node
-that is still large after ``DEPTH`` levels is one of very similar documents; it is compared whole like the small ones, so its pairs
-grow with the square of what the first round leaves apart in it. Components are found by alternating stars, so neither links nor documents ever meet in one place.
+members of a node that are not yet in one component are compared. Two sketches let through what can reach the threshold: one bit
+of each token (five standard deviations of doubt), and the parity of the set's hashes in 1,024 cells. Cells that differ are at most as many as
+hashes that only one set has, so for sets of up to some hundred shingles the parities rule out nothing that could link and little else gets by;
+for larger ones, where cells fill, the same five deviations hold. A link counts only after an exact comparison of the full sets. A node
+that is still large after ``DEPTH`` levels is one of very similar documents; it is compared whole like the small ones, sketch against sketch,
+so comparisons (not pairs of texts) grow with the square of what the first round leaves apart in it. Components are found by alternating stars, so neither links nor documents ever meet in one place.
 
 Defined cases: words are runs of other than ASCII white space, A-Z in lower case. A text of fewer than five words is one shingle;
 a NULL or empty text, or one of white space, has an empty set and is linked with nothing. Rows of one ``doc_id`` count as one
@@ -36,12 +38,16 @@ TREES = 16
 LEAF, DEPTH = 16, 8
 #: Minwise tokens for paths (DEPTH for each tree), and for signatures (one bit each).
 TOKENS, BITS = TREES * DEPTH, 256
+#: Cells of the parity sketch.
+CELLS = 1024
 #: Bytes of text that a worker hashes at a time.
 SLICE = 2 << 20
 _RANDOM = np.random.default_rng(85)
 _FACTORS = _RANDOM.integers(1, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = np.arange(TOKENS).reshape(TREES, DEPTH).tolist()
 _WORDS = [f"s{k}" for k in range(BITS // 64)]
+_PARITY = [f"p{k}" for k in range(CELLS // 64)]
+_SKETCH = [*_WORDS, *_PARITY]
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
@@ -50,8 +56,14 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])] if texts else []
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each cell whether it has an odd number of the hashes, 64 cells a number."""
+    cells = (mix(hashes ^ np.uint64(0x5A5A5A5A5A5A5A5A)) % np.uint64(CELLS)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=CELLS) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def features(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """(doc_id, n, a, b, tokens, s0...): size, two digests, minwise tokens and signature of each document's set."""
+    """(doc_id, n, a, b, tokens, s0..., p0...): size, two digests, minwise tokens and sketches of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -66,7 +78,7 @@ def features(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
                 sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
                 some = np.flatnonzero(sizes)
                 a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                least = np.zeros((len(sets), BITS), np.uint64)
+                least, odd = np.zeros((len(sets), BITS), np.uint64), np.zeros((len(sets), len(_PARITY)), np.int64)
                 if len(some):
                     flat = np.concatenate([sets[k] for k in some])
                     starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
@@ -74,17 +86,19 @@ def features(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
                     b[some] = np.bitwise_xor.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
                     for k in range(BITS):
                         least[some, k] = np.minimum.reduceat(flat * _FACTORS[k], starts)
+                    for k in some:
+                        odd[k] = parities(sets[k])
                 tokens = (mix(least[:, :TOKENS]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 bits = (mix(least + np.uint64(77)) & np.uint64(1)).astype(np.uint8)
                 words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
                 offsets = np.arange(0, (len(sets) + 1) * TOKENS, TOKENS, dtype=np.int32)
                 columns = [
                     part.column(1), pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.ravel())), *(pa.array(words[:, k].copy()) for k in range(words.shape[1])),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.ravel())), *(pa.array(x[:, k].copy()) for x in (words, odd) for k in range(x.shape[1])),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "a", "b", "tokens", *_WORDS])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "a", "b", "tokens", *_SKETCH])
 
-    schema = "doc_id long, n long, a long, b long, tokens array<int>, " + ", ".join(f"{w} long" for w in _WORDS)
+    schema = "doc_id long, n long, a long, b long, tokens array<int>, " + ", ".join(f"{w} long" for w in _SKETCH)
     return df.select(F.col(f"`{text}`"), F.col(f"`{key}`").cast("long").alias("doc_id")).mapInArrow(run, schema)
 
 
@@ -112,13 +126,21 @@ def leaves(sets: DataFrame) -> DataFrame:
 
 
 def may_link(left: str, right: str, percent: int) -> Column:
-    """Whether sizes and signatures leave it open that two sets reach the similarity."""
-    similarity = percent / 100
-    agree = (1 + similarity) / 2
+    """Whether sizes and sketches leave it open that two sets reach the similarity."""
+
+    def differ(words: list[str]) -> Column:
+        counts = [F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in words]
+        return sum(counts[1:], counts[0])
+
+    agree = (1 + percent / 100) / 2
     off = BITS * (1 - agree) + 5 * (BITS * agree * (1 - agree)) ** 0.5
-    differ = sum((F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in _WORDS[1:]), F.bit_count(F.col(f"{left}.{_WORDS[0]}").bitwiseXOR(F.col(f"{right}.{_WORDS[0]}"))))
-    sizes = F.least(f"{left}.n", f"{right}.n") * 100 >= F.greatest(f"{left}.n", f"{right}.n") * percent
-    return sizes & (differ <= int(off))
+    smaller, larger = F.least(f"{left}.n", f"{right}.n"), F.greatest(f"{left}.n", f"{right}.n")
+    # Of sets that link, at most this many hashes are in one of the two only; each changes one cell.
+    alone = (smaller + larger) * ((100 - percent) / (100 + percent))
+    cells = differ(_PARITY)
+    stays = F.pow(F.lit(1 - 2 / CELLS), alone)
+    expected, deviation = (1 - stays) * (CELLS / 2), F.sqrt((1 - stays * stays) * (CELLS / 4))
+    return (smaller * 100 >= larger * percent) & (differ(_WORDS) <= int(off)) & (cells <= alone + 0.01) & (cells <= expected + deviation * 5 + 1)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -171,12 +193,12 @@ def with_components(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     identity = ["n", "a", "b"]
     sets = cut(
         known.where("n > 0 AND doc_id IS NOT NULL").groupBy(*identity)
-        .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), *(F.first(w).alias(w) for w in _WORDS))
+        .agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), *(F.first(w).alias(w) for w in _SKETCH))
     )
     placed = leaves(sets)
     # Round one: each member and the leaders of its nodes, one for each tree at most.
     led = cut(placed.where("rep <> leader").groupBy("rep").agg(F.collect_set("leader").alias("leaders")))
-    left, right = (sets.select(F.col("rep").alias(name), F.struct("n", *_WORDS).alias(side)) for name, side in (("u", "x"), ("v", "y")))
+    left, right = (sets.select(F.col("rep").alias(name), F.struct("n", *_SKETCH).alias(side)) for name, side in (("u", "x"), ("v", "y")))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         likely = cut(pairs.join(left, "u").join(right, "v").where(may_link("x", "y", percent)).select("u", "v"))
@@ -194,7 +216,7 @@ def with_components(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     # Round two: pairs within a node that round one left in different components.
     member = placed.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = cut(member.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node"))
-    open_nodes = cut(member.join(apart, "node").select("node", "rep", "component").join(sets.select("rep", "n", *_WORDS), "rep"))
+    open_nodes = cut(member.join(apart, "node").select("node", "rep", "component").join(sets.select("rep", "n", *_SKETCH), "rep"))
     x, y = open_nodes.alias("x"), open_nodes.alias("y")
     more = cut(
         x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent))

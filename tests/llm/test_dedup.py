@@ -99,6 +99,25 @@ def test_pairs_within_a_dense_family_below_the_threshold(spark):
     assert got == want
 
 
+def test_sketches_let_every_link_through(spark):
+    importable(spark)
+    chance, rows = random.Random(17), []
+    for k in range(80):  # pairs on both sides of the threshold, from 6 to 5,000 words
+        text = chance.choices(WORDS, k=chance.choice([6, 30, 150, 700, 5000]))
+        rate = chance.choice([0.005, 0.015, 0.03, 0.1])
+        other = [chance.choice(WORDS) if chance.random() < rate else w for w in text]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    sets = near_duplicates.features(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id", 5)
+    x, y = sets.where("doc_id % 2 = 0").alias("x"), sets.where("doc_id % 2 = 1").alias("y")
+    for percent in (80, 85):
+        let = {r[0] for r in x.join(y, F.expr("y.doc_id = x.doc_id + 1")).where(near_duplicates.may_link("x", "y", percent)).select("x.doc_id").collect()}
+        ratio = {2 * k: len(a & b) / len(a | b) for k in range(80) for a, b in [(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1]))]}
+        linked = {i for i, r in ratio.items() if 100 * r >= percent}
+        far = {i for i, r in ratio.items() if r < percent / 100 - 0.2}
+        assert linked <= let and len(linked) > 10
+        assert len(far) > 10 and not far & let
+
+
 def test_near_duplicates_edges(spark):
     importable(spark)
     rows = [(5, None, 1), (4, "", 1), (3, " \t\n", 1), (None, "a b c d e f", 1), (9, "A b c d e f", 2), (8, "a b c d", 2), (7, "a B c d e f", 3), (7, "a B c d e f", 3), (2, "one", 1), (6, "ONE", 1)]
