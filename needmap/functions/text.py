@@ -12,6 +12,8 @@ from ..config import NAME_STOPWORDS
 # (?U): \s covers the Unicode spaces as well, not just ASCII.
 _OUTER_SPACE = r"(?U)^\s+|\s+$"
 _ANY_SPACE = r"(?U)\s+"
+# Runs of blanks and blanks other than the space: what must change to leave single spaces only. A text without them is not rebuilt.
+_UNEVEN_BLANKS = r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]"
 
 
 def blank_to_null(value: Column) -> Column:
@@ -25,7 +27,7 @@ def blank_to_null(value: Column) -> Column:
 
 def clean(value: Column) -> Column:
     """Collapse blanks and trim; blank, ``nan`` and ``null`` become NULL."""
-    text = F.trim(F.regexp_replace(value.cast("string"), r"\s+", " "))
+    text = F.trim(F.regexp_replace(value.cast("string"), _UNEVEN_BLANKS, " "))
     return blank_to_null(F.regexp_replace(text, "(?i)^(?:nan|null)$", ""))
 
 

@@ -31,30 +31,23 @@ def rollup_directory(
 ) -> DataFrame:
     """One row per key: row count, sorted distinct lists, means, and the most frequent pair.
 
-    ``sets`` and ``means`` map output to input columns. Each row is turned into one for its pair, with the numbers, and one
-    for each value of a list. These are reduced to distinct ones, copies combined before the shuffle and a key that holds a large
-    share of the table spread by its values; only then is there one row per key, whose lists have no repeats to remove.
+    ``sets`` and ``means`` map output to input columns. Rows are first reduced to one for each key and pair, copies combined before the
+    shuffle and a key that holds a large share of the table spread by its pairs. The lists of these are then laid side by side, one value of
+    each a row, so that distinct values combine a second time before those of a key meet.
     """
     inputs = list(dict.fromkeys(sets.values()))
     sums, counts = [f"sum_{c}" for c in means.values()], [f"n_{c}" for c in means.values()]
-    types = dict(df.dtypes)
-
-    def entry(value: str | None) -> Column:
-        """The row of a pair (no value), or of one list's value."""
-        own = value is None
-        return F.struct(
-            *[(F.col(c) if own else F.lit(None).cast(types[c])).alias(f"pair_{c}") for c in pair],
-            *[(F.col(c) if c == value else F.lit(None).cast(types[c])).alias(f"set_{c}") for c in inputs],
-            F.lit(1 if own else 0).cast("long").alias("n"),
-            *[(F.col(c) if own else F.lit(None).cast(types[c])).alias(s) for c, s in zip(means.values(), sums)],
-            *[(F.when(F.col(c).isNotNull(), 1).otherwise(0) if own else F.lit(0)).cast("long").alias(s) for c, s in zip(means.values(), counts)],
-        )
-
-    entries = F.array(entry(None), *[F.when(F.col(c).isNotNull(), entry(c)) for c in inputs])
-    unpivoted = df.select(*key, F.inline(F.array_compact(entries)))
-    distinct = unpivoted.groupBy(*key, *[f"pair_{c}" for c in pair], *[f"set_{c}" for c in inputs]).agg(*[F.sum(c).alias(c) for c in ("n", *sums, *counts)])
-    per_key = distinct.withColumnsRenamed({f"pair_{c}": c for c in pair if c not in key}).groupBy(*key).agg(
-        _most_frequent(pair, "n").alias("best"), *[F.collect_list(f"set_{c}").alias(f"set_{c}") for c in inputs], *[F.sum(c).alias(c) for c in ("n", *sums, *counts)],
+    totals = ("n", *sums, *counts)
+    by_pair = df.groupBy(*key, *[F.col(c).alias(f"pair_{c}") for c in pair]).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(s) for c, s in zip(means.values(), sums)], *[F.count(c).alias(s) for c, s in zip(means.values(), counts)],
+        *[F.collect_set(c).alias(f"set_{c}") for c in inputs],
+    )
+    lists = F.arrays_zip(*[F.col(f"set_{c}") for c in inputs]) if inputs else F.array(F.lit(0))
+    aside = by_pair.select(*key, *[F.col(f"pair_{c}").alias(c) for c in pair if c not in key], *totals, F.posexplode_outer(lists).alias("at", "value"))
+    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    per_key = aside.groupBy(*key).agg(
+        _most_frequent(pair, "n").alias("best"), *[F.collect_set(F.col("value")[f"set_{c}"]).alias(f"set_{c}") for c in inputs],
+        *[F.sum(F.when(first, F.col(c))).alias(c) for c in totals],
     )
     return per_key.select(
         *key,

@@ -112,12 +112,12 @@ def clean_facilities(df: DataFrame) -> DataFrame:
     """One row per (uuid, signature), ids made unique where a uuid has several.
 
     Copies combine before the shuffle. Of different rows with one signature (the separator inside a value) the
-    least in column order stays.
+    least in column order stays. The signed rows are stored: ranks read them twice, and they are cleaned once.
     """
     base = admitted(flagged_facilities(df)).select(*SIGNED_FIELDS)
-    signed = one_per_key(
+    signed = cut_lineage(one_per_key(
         base.withColumn("source_row_signature", row_signature(SIGNED_FIELDS)), ["source_unique_id", "source_row_signature"]
-    )
+    ))
     ranked = rank_in_key(
         signed, "source_unique_id", "source_row_signature", "source_duplicate_count", "source_duplicate_rank"
     )
@@ -241,15 +241,18 @@ def build_enriched(
     return prune(finished, ENRICHED_FIELDS)
 
 
-def enrich(facilities: DataFrame, directory: DataFrame, districts: DataFrame, **options) -> DataFrame:
-    """The whole chain from the three raw tables.
+def enrich_cleaned(facilities: DataFrame, directory: DataFrame, districts: DataFrame, **options) -> DataFrame:
+    """Facilities that are cleaned already, with the raw directory and districts.
 
     Both dimensions are stored first, so the joins know their measured sizes: a dimension below the broadcast threshold goes to the
     facts, which then stay where they are; beyond it the facts are exchanged once for each join key.
     """
-    return build_enriched(
-        clean_facilities(facilities), cut_lineage(pincode_rollup(directory)), cut_lineage(clean_districts(districts)), **options
-    )
+    return build_enriched(facilities, cut_lineage(pincode_rollup(directory)), cut_lineage(clean_districts(districts)), **options)
+
+
+def enrich(facilities: DataFrame, directory: DataFrame, districts: DataFrame, **options) -> DataFrame:
+    """The whole chain from the three raw tables."""
+    return enrich_cleaned(clean_facilities(facilities), directory, districts, **options)
 
 
 def check_enriched(facilities: DataFrame, enriched: DataFrame, allowed: Sequence[str] = PLACES.canonical_states) -> dict:

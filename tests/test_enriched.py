@@ -148,3 +148,31 @@ def test_universe_is_replaced_without_a_job_before_an_action(spark, raw):
     key = lambda df: sorted((r.record_type, r.record_id) for r in df.collect())
     assert key(frames[0]) == key(records) == key(frames[2])
     assert [k for k in key(frames[1]) if k[0] == "district"] == [k for k in key(supplied) if k[0] == "district"]
+
+
+def test_rollup_combines_raw_rows_before_it_makes_more(spark):
+    import random
+
+    dice = random.Random(5)
+    rows = [(dice.choice(["k", "k", "l", None]), *(dice.choice([None, "b", "a", "c"]) for _ in range(4)), dice.choice([None, 1, 2])) for _ in range(400)] + [("m", *[None] * 5)]
+    df = spark.createDataFrame(rows, "k string, s string, d string, x string, y string, v long").repartition(5)
+    given = (["k"], ["s", "d"], {"xs": "x", "ys": "y"}, {"mean": "v"}, "rows")
+    got = {r["k"]: (r["rows"], r["xs"], r["ys"], r["mean"], r["s"], r["d"]) for r in rollup_directory(df, *given).collect()}
+    want = {}
+    for key in ("k", "l", "m", None):
+        own = [r for r in rows if r[0] == key]
+        pairs = [r[1:3] for r in own if None not in r[1:3]]
+        best = min(set(pairs), key=lambda p: (-pairs.count(p), p), default=(None, None))
+        numbers = [r[5] for r in own if r[5] is not None]
+        lists = [sorted({r[at] for r in own} - {None}) for at in (3, 4)]
+        want[key] = (len(own), *lists, sum(numbers) / len(numbers) if numbers else None, *best)
+    assert got == want
+    plan = rollup_directory(df, *given)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")
+    plain = rollup_directory(df, ["k"], ["s", "d"], {}, {"mean": "v"}, "rows").collect()
+    assert {r["k"]: (r["rows"], r["mean"], r["s"], r["d"]) for r in plain} == {k: (v[0], *v[3:]) for k, v in want.items()}
+
+
+def test_facilities_are_cleaned_once(raw):
+    plan = E.clean_facilities(raw[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "address_city" not in plan

@@ -72,3 +72,12 @@ def test_null_keys_are_spread(spark):
     rows = spark.range(2000).withColumn("k", F.lit(None).cast("string"))
     assert rows.select(N.salted_key(F.col("k"), F.col("id")).alias("s")).distinct().count() > 200
     assert one(spark, N.salted_key(F.col(X), F.col(X)), "753001") == "753001"
+
+
+def test_clean_levels_all_blanks_and_leaves_even_text(spark):
+    import re
+
+    texts = ["a b", "a  b", "\ta\x0bb\n", "a\r\nb", " \t ", "x\u00a0 \u00a0y", "nan", " NULL\n", "a \f b\tc", "null x", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.clean(F.col("t")).alias("c")).collect()
+    level = lambda t: None if t is None else re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")
+    assert [r.c for r in rows] == [None if not level(t) or level(t).lower() in ("nan", "null") else level(t) for t in texts]
