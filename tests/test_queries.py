@@ -46,3 +46,13 @@ def test_every_phrase_matches_its_pattern():
     patterns = {(k.key, s, n): p for k in CAPABILITIES for s, ps in (("strong", k.strong), ("partial", k.partial)) for n, p in enumerate(ps)}
     assert PHRASES.keys() == patterns.keys()
     assert not [(k, PHRASES[k]) for k, p in patterns.items() if not re.search(p, PHRASES[k], re.I)]
+
+
+def test_split_counts_judges_rows_once(spark, monkeypatch):
+    from workbench import records_queries
+
+    plans, split = [], records_queries.Q.split
+    monkeypatch.setattr(records_queries.Q, "split", lambda df, rule: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or split(df, rule))
+    got = QUERIES["split_counts"](spark, SMALL).first()
+    assert got["valid"] + got["quarantine"] == got["total"] > 0
+    assert len(plans) == 1 and "Union" not in plans[0]
