@@ -56,3 +56,17 @@ def test_split_counts_judges_rows_once(spark, monkeypatch):
     got = QUERIES["split_counts"](spark, SMALL).first()
     assert got["valid"] + got["quarantine"] == got["total"] > 0
     assert len(plans) == 1 and "Union" not in plans[0]
+
+
+def test_line_numbers_go_on_over_files(spark, con, monkeypatch):
+    from workbench import job_queries
+
+    parts, write = [], job_queries.W.write_csv
+
+    def written(df, path, n=None):
+        parts.append(n)
+        write(df.repartitionByRange(3, "record_id").sortWithinPartitions("record_id"), path, n)
+
+    monkeypatch.setattr(job_queries.W, "write_csv", written)
+    assert difference(spark, con, QUERIES["line_numbers"], ORACLE["line_numbers"], SMALL) is None
+    assert set(parts) == {None}

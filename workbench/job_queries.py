@@ -47,6 +47,13 @@ def _path(t) -> str:
     return shared_folder(t.spark, _table())
 
 
+def numbered(rows, file, line):
+    """Rows of ordered files with the line each would have if the files were one."""
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = rows.groupBy(C(file).alias("file")).count().select(C("file").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    return rows.join(files, C(file) == C("_of")).withColumn(line, C("_before") + C(line)).drop("_of", "_before")
+
+
 @query("publish", "SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders) AS rows FROM orders")
 def publish(t):
     name = _table()
@@ -94,10 +101,8 @@ def export_order(t):
     """Where each record stands in the exported files, read one after the other."""
     path = _path(t)
     W.export_snapshot(records.rebuilt(t), path, validate=False)
-    rows = read_csv_lines(t.spark, path, file="file", line="line")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    files = rows.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    return rows.join(files, "file").select((C("before") + C("line") - 1).alias("position"), "record_type", "record_id")
+    rows = numbered(read_csv_lines(t.spark, path, file="file", line="line"), "file", "line")
+    return rows.select((C("line") - 1).alias("position"), "record_type", "record_id")
 
 
 _PRESENT = lambda c: f"count(*) FILTER (record_type = 'facility' AND {S.strip(f'{c}::VARCHAR')} <> '')"
@@ -125,8 +130,9 @@ def inspect(t):
     **records.ISSUE_CTES))
 def line_numbers(t):
     path = _path(t)
-    W.write_csv(records.damaged(t).orderBy("record_id"), path, 1)
-    return Q.validate(read_csv_lines(t.spark, path), columns=("record_id", "source_line_number")).select("source_line_number", "rule", "record_id")
+    W.write_csv(records.damaged(t).orderBy("record_id"), path)  # a file for each range of ids, so no task has them all
+    rows = numbered(read_csv_lines(t.spark, path), "source_file", "source_line_number")
+    return Q.validate(rows, columns=("record_id", "source_line_number")).select("source_line_number", "rule", "record_id")
 
 
 @query("load_prepared", with_ctes("SELECT district_id, care_need, relevant_claims::INT AS relevant_claims, (SELECT count(*) FROM claims) AS claims FROM gaps", **evidence.GAPS))
