@@ -48,6 +48,14 @@ def test_every_phrase_matches_its_pattern():
     assert not [(k, PHRASES[k]) for k, p in patterns.items() if not re.search(p, PHRASES[k], re.I)]
 
 
+def test_grain_check_cleans_facilities_once(spark, monkeypatch):
+    from workbench import rollups
+
+    calls, clean = [], rollups.E.clean_facilities
+    monkeypatch.setattr(rollups.E, "clean_facilities", lambda df: calls.append(1) or clean(df))
+    assert QUERIES["grain_check"](spark, SMALL).first()["duplicates"] == 0 and len(calls) == 1
+
+
 def test_split_counts_judges_rows_once(spark, monkeypatch):
     from workbench import records_queries
 
