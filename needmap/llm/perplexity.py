@@ -1,18 +1,25 @@
-"""Quality rules with n-gram perplexity: a modified Kneser-Ney model of byte trigrams per language, and bands.
-
-Trigrams of bytes of all documents are counted by Spark, language by language: tasks sum what they read, Spark adds the sums.
-The model is kept as sorted arrays of n-gram codes with their log probabilities, looked up by binary search. A language has
-at most 256**3 trigrams whatever the corpus holds, and languages are told apart only up to ``LANGUAGES``, so a model's size is
-bounded. Languages are fitted and scored in groups whose models have ``AT_ONCE`` entries together (a larger one is a group of its
-own), one group after the other, so a task holds one group's models at a time and none is refused or cut.
-
-A document's perplexity is the exponential of the mean negative log probability of its bytes, given the two bytes before. The
+"""Quality rules with n-gram perplexity: a modified Kneser-Ney model of word trigrams per language, and bands.
+
+Word trigrams of all documents are counted by Spark, language by language. All lengths are counted alike: trigrams and bigrams
+by the different words before them, words by the different bigrams that they end, so copies of a passage count once. Discounts
+come from the counts of counts, one small table a language. The counts are open-ended, so the model stays a table: what each
+context leaves to shorter ones and the probability of each bigram are joined to the trigrams, and the log probabilities of the
+trigrams to the words of the documents. No trigram is pruned, no word left out. Each occurrence is judged by all others: it is
+taken off the counts that judge it. Words and trigrams are named by 64-bit hashes; a word's hash takes in its language.
+
+Below the single words stands their spelling: what they leave is shared out by a Kneser-Ney model of the byte trigrams of the
+language's distinct words, each ended by a blank. It is kept as sorted arrays of n-gram codes with their log probabilities,
+looked up by binary search. A language has at most 256**3 byte trigrams whatever the corpus holds, and languages are told apart
+only up to ``LANGUAGES``, so such a model's size is bounded. Languages are spelled in groups whose models have ``AT_ONCE`` entries
+together (a larger one is a group of its own), one group after the other, so a task holds one group's models at a time.
+
+A document's perplexity is the exponential of the mean negative log probability of its words, given the two words before. The
 band of a language runs a number of robust deviations below and above the median of the documents' log perplexity. Texts
 scatter around it by a part of their own and by one that shrinks with the root of their length, so a document's difference is
-divided by the root of ``spread``² + 1 / bytes before deviations are measured. A document outside its language's band is rejected.
+divided by the root of ``spread``² + 1 / words before deviations are measured. A document outside its language's band is rejected.
 
 NULL and empty texts have no words: they fail the base rules. A NULL language, or one that is not listed, counts as one common
-language. Repeated rows are counted and judged each. All other columns stay.
+language. Repeated rows are counted and judged each. All other columns stay. A text is cut into words as a whole, however long.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, slices
+from .common import cut, fresh, mix, slices, word_hashes
 
 #: Languages with a model of their own; all others share one.
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "tr", "zh")
@@ -34,6 +41,8 @@ LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "tr", "
 AT_ONCE = 8_000_000
 #: Medians are taken over a histogram of this fixed width, so that they do not depend on how rows are partitioned.
 WIDTH = 1e-4
+#: Log probabilities are added up as whole multiples of this, so that sums do not depend on the order of rows.
+UNIT = 1e-6
 #: Symbols that are counted (fixed value of the rules).
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
 _START = b"\x02\x02"  # stands before each text
@@ -50,7 +59,7 @@ def language_of(column: Column) -> Column:
 
 
 def count_trigrams(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, code, n) over all whole texts."""
+    """(lang, code, n) of the byte trigrams over all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -78,8 +87,12 @@ def count_trigrams(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts 0, 1, 2 and more, from the counts of counts (Chen and Goodman); 0.5, 1, 1.5 where these are too few."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
+    """Discounts for counts 0, 1, 2 and more; see ``_discounts_of``."""
+    return _discounts_of(*(int((counts == k).sum()) for k in (1, 2, 3, 4)))
+
+
+def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """Discounts from the counts of counts (Chen and Goodman); 0.5, 1, 1.5 where these are too few."""
     if min(n1, n2, n3, n4) == 0:
         return np.array([0, 0.5, 1.0, 1.5])
     y = n1 / (n1 + 2 * n2)
@@ -88,7 +101,7 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """One language: sorted codes and log probabilities of trigrams, back-off weights and probabilities below them."""
+    """The spelling of one language: sorted codes and log probabilities of trigrams, back-off weights and probabilities below them."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         order = np.argsort(codes)
@@ -146,11 +159,180 @@ def language_groups(counted: DataFrame, at_once: int = AT_ONCE) -> list[list[str
 
 
 def train(counted: DataFrame, languages: list[str]) -> dict[str, Model]:
-    """A model for each of the languages, from the counts of all documents."""
+    """A spelling model for each of the languages, from the counts of all its words."""
     table = counted.where(F.col("lang").isin(*languages)).toPandas()
     return {language: Model(own["code"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) for language, own in table.groupby("lang")}
 
 
+def _word_trigrams(texts: list[bytes], languages: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Code, words and word before of all trigrams of all texts (at their start with marks), and their number by text."""
+    marks = mix(languages.astype(np.uint64) + np.uint64(1))
+    words, sizes = word_hashes(texts)
+    sizes = np.asarray(sizes, dtype=np.int64)
+    starts = np.cumsum(sizes + 3) - (sizes + 3)
+    row = np.repeat(np.arange(len(texts)), sizes + 3)
+    padded = marks[row]
+    at = np.ones(len(row), dtype=bool)
+    for k in range(3):
+        at[starts + k] = False
+    padded[at] = mix(words ^ padded[at])
+    last = np.flatnonzero(at)
+    w1, w2, w3 = padded[last - 2], padded[last - 1], padded[last]
+    code = mix(mix(mix(w1) + w2) + w3)
+    return (*(x.view(np.int64) for x in (code, w1, w2, w3, padded[last - 3])), sizes)
+
+
+def _texts(df: DataFrame, text: str, lang: str, *more: Column) -> DataFrame:
+    index = F.array_position(F.array(*(F.lit(x) for x in (*LANGUAGES, "other"))), language_of(F.col(f"`{lang}`"))) - 1
+    return df.select(F.coalesce(F.col(f"`{text}`"), F.lit("")), index, *more)
+
+
+def _each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+    for batch in batches:
+        for part in slices(batch):
+            yield part, part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_numpy().astype(np.int64)
+
+
+def _named(languages: np.ndarray) -> pa.Array:
+    return pa.array([*LANGUAGES, "other"]).take(pa.array(languages))
+
+
+def count_word_trigrams(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, code, first, middle, last, n) of the word trigrams over all whole texts; ``n`` different words stand before one.
+
+    Counted as the shorter n-grams are, and as a longer model counts its trigrams: copies of a passage count once, so they do not
+    vouch for each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, languages in _each_slice(batches):
+            *columns, sizes = _word_trigrams(texts, languages)
+            _, at = np.unique(mix(columns[0].view(np.uint64)) + columns[4].view(np.uint64), return_index=True)
+            names = _named(np.repeat(languages, sizes)[at])
+            yield pa.RecordBatch.from_arrays([names, *(pa.array(c[at]) for c in columns)], names=["lang", *made])
+
+    made = ["code", "first", "middle", "last", "before"]
+    found = _texts(df, text, lang).mapInArrow(run, "lang string, " + ", ".join(f"{m} long" for m in made)).distinct()
+    return found.groupBy("lang", *made[:4]).agg(F.count("*").alias("n"))
+
+
+def places(df: DataFrame, text: str, lang: str, key: Column) -> DataFrame:
+    """(key, code) of every word of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, languages in _each_slice(batches):
+            codes, *_, sizes = _word_trigrams(texts, languages)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(2).to_numpy(), sizes)), pa.array(codes)], names=["key", "code"])
+
+    return _texts(df, text, lang, key).mapInArrow(run, "key long, code long")
+
+
+def distinct_words(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, last, spelling) of every word, ``spelling`` ended by a blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, languages in _each_slice(batches):
+            *_, last, _, sizes = _word_trigrams(texts, languages)
+            ids, at = np.unique(last, return_index=True)
+            words = b" ".join(texts).split()
+            spelled = pa.array([words[k] + b" " for k in at.tolist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([_named(np.repeat(languages, sizes)[at]), pa.array(ids), spelled], names=["lang", "last", "spelling"])
+
+    found = _texts(df, text, lang).mapInArrow(run, "lang string, last long, spelling string")
+    return found.groupBy("lang", "last").agg(F.min("spelling").alias("spelling"))
+
+
+def with_spelling(words: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(last, spelled) for stored words: the log probability of its bytes, the blank at its end included."""
+    counted = cut(count_trigrams(words, "spelling", "lang"))
+    parts = []
+    for languages in language_groups(counted, at_once):
+        model = words.sparkSession.sparkContext.broadcast(train(counted, languages))
+
+        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, spelled = np.array(batch.column(0).to_pylist()), np.zeros(batch.num_rows)
+                raw = batch.column(2).cast(pa.binary()).to_pylist()
+                for language in np.unique(names):
+                    rows = np.flatnonzero(names == language)
+                    codes = [_trigrams(raw[k]) for k in rows]
+                    logs = model.value[str(language)].log_probabilities(np.concatenate(codes))
+                    ends = np.cumsum([len(c) for c in codes])
+                    spelled[rows] = np.add.reduceat(logs, ends - [len(c) for c in codes])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(spelled)], names=["last", "spelled"])
+
+        parts.append(words.where(F.col("lang").isin(*languages)).select("lang", "last", "spelling").mapInArrow(run, "last long, spelled double"))
+    out = parts[0] if parts else words.select("last", F.lit(0.0).alias("spelled"))
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+class Level:
+    """The discounts of n-grams of one length by language, from all their counts; a row a language and count up to 5 reaches the driver."""
+
+    def __init__(self, grams: DataFrame, count: str):
+        kinds = grams.groupBy("lang", F.least(F.col(count), F.lit(5)).alias("kind")).agg(F.count("*"), F.sum(count)).collect()
+        found, totals = {}, {}
+        for language, kind, n, total in kinds:
+            found.setdefault(language, {})[kind] = n
+            totals[language] = totals.get(language, 0) + total
+        found, totals = found or {"": {}}, totals or {"": 0}  # without n-grams no row asks for them
+        discounts = {x: _discounts_of(*(of.get(k, 0) for k in (1, 2, 3, 4))) for x, of in found.items()}
+        #: For the rows of each language: what is discounted from counts of 0, 1, 2 and more, and of all counts together; their total.
+        self.discounts = self._by_language({x: F.array(*(F.lit(float(y)) for y in d)) for x, d in discounts.items()})
+        self.held = self._by_language({x: F.lit(float(sum(discounts[x][min(k, 3)] * n for k, n in sorted(of.items())))) for x, of in found.items()})
+        self.total = self._by_language({x: F.lit(n) for x, n in totals.items()})
+
+    @staticmethod
+    def _by_language(values: dict[str, Column]) -> Column:
+        return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))[F.col("lang")]
+
+    def discount(self, count: Column) -> Column:
+        return self.discounts[F.least(count, F.lit(3)).cast("int")]
+
+    def contexts(self, grams: DataFrame, by: list[str], count: str, total: str, held: str) -> DataFrame:
+        """For each context: the total of its counts and what is discounted from them."""
+        kinds = [F.count(F.when(F.col(count) == k, 1)) for k in (1, 2)] + [F.count(F.when(F.col(count) > 2, 1))]
+        sums = grams.groupBy("lang", *by).agg(F.sum(count).alias(total), *(n.alias(f"kind_{k}") for k, n in enumerate(kinds, 1)))
+        return sums.select(*by, total, sum((self.discounts[k] * F.col(f"kind_{k}") for k in (2, 3)), self.discounts[1] * F.col("kind_1")).alias(held))
+
+    def without(self, gone: Column, count: str, total: Column, held: Column, sure: Column, share: Column) -> tuple[Column, Column]:
+        """The probability as ``sure`` + ``share`` * spelling, given those of the shorter n-gram, with ``gone`` (0 or 1) taken off the count."""
+        n = F.col(count)
+        rest, all_of = n - gone, total - gone
+        left = F.greatest(held - self.discount(n) + self.discount(rest), F.lit(0.0))
+        own = F.greatest(rest - self.discount(rest), F.lit(0.0))
+        known = all_of > 0  # a context without other counts leaves all to shorter ones
+        return F.when(known, (own + left * sure) / all_of).otherwise(sure), F.when(known, left * share / all_of).otherwise(share)
+
+
+def trigram_logs(trigrams: DataFrame, spelling: DataFrame) -> DataFrame:
+    """(code, log) for stored word trigrams: modified Kneser-Ney, interpolated down to the spelling of words.
+
+    The occurrence that is judged is left out of the counts (with its copies, which have the same word before): else a trigram
+    that the corpus has once would seem well known. Discounts are those of all counts.
+    """
+    pairs = cut(trigrams.groupBy("lang", "middle", "last").agg(F.count("*").alias("kinds")))
+    words = cut(pairs.groupBy("lang", "last").agg(F.count("*").alias("before")))
+    three, two, one = Level(trigrams, "n"), Level(pairs, "kinds"), Level(words, "before")
+    low = pairs.join(two.contexts(pairs, ["middle"], "kinds", "pair_total", "pair_held"), "middle").join(words.drop("lang").join(spelling, "last"), "last")
+    made = []
+    for gone in (0, 1):  # without a trigram seen once its bigram has one kind less, without that kind its word one bigram less
+        lost = F.when(F.col("kinds") == 1, F.lit(gone)).otherwise(F.lit(0))
+        single = one.without(lost, "before", one.total, one.held, F.lit(0.0), F.lit(1.0))
+        double = two.without(F.lit(gone), "kinds", F.col("pair_total"), F.col("pair_held"), *single)
+        made += [double[0].alias(f"sure_{gone}"), double[1].alias(f"share_{gone}")]
+    low = low.select("middle", "last", "spelled", *made)
+    high = trigrams.join(three.contexts(trigrams, ["first", "middle"], "n", "total", "held"), ["first", "middle"]).join(low, ["middle", "last"])
+    below = [F.when(F.col("n") == 1, F.col(f"{x}_1")).otherwise(F.col(f"{x}_0")) for x in ("sure", "share")]
+    sure, share = three.without(F.lit(1), "n", F.col("total"), F.col("held"), *below)
+    high = high.select("code", "spelled", sure.alias("sure"), share.alias("share"))
+    # The spelling of a very long word is too small for a number: its logarithm is added where nothing else is known.
+    log = F.when(F.col("sure") > 0, F.log(F.col("sure") + F.col("share") * F.exp("spelled"))).otherwise(F.log("share") + F.col("spelled"))
+    return high.select("code", log.alias("log"))
+
+
 def medians(df: DataFrame, key: str, value: Column) -> dict[str, float]:
     """The lower median of ``value`` for each key, to the histogram's width; exact and independent of the partitioning.
 
@@ -188,31 +370,41 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def with_perplexity(df: DataFrame, models: dict[str, Model], text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
-    """All columns of ``df``, the base counts, ``n_bytes`` and ``log_perplexity`` (NULL without bytes or model)."""
-    model = df.sparkSession.sparkContext.broadcast(models)
-    made = [*_FIELDS, "n_bytes", "log_perplexity"]
-    out = {m.lower() for m in made} | (set() if keep_text else {text.lower()})
+def with_counts(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns of ``df`` and the base counts."""
+    out = {m.lower() for m in _FIELDS} | (set() if keep_text else {text.lower()})
     rest = [c for c in df.columns if c.lower() not in out]
-    t, la = fresh(df, "text_to_judge", "language_to_judge")
-    source = df.select(F.col(f"`{text}`").alias(t), language_of(F.col(f"`{lang}`")).alias(la), *(f"`{c}`" for c in rest))
-    schema = T.StructType([*source.schema.fields[2:], *(T.StructField(m, T.LongType()) for m in made[:-1]), T.StructField(made[-1], T.DoubleType())])
+    (t,) = fresh(df, "text_to_judge")
+    source = df.select(F.col(f"`{text}`").alias(t), *(f"`{c}`" for c in rest))
+    schema = T.StructType([*source.schema.fields[1:], *(T.StructField(m, T.LongType()) for m in _FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for value, language in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    raw = (value or "").encode()
-                    own = model.value.get(language)
-                    mean = -float(own.log_probabilities(_trigrams(raw)).mean()) if raw and own else None
-                    rows.append((*base_counts(raw), len(raw), mean))
-                columns = [pa.array([r[k] for r in rows], pa.float64() if k == 6 else pa.int64()) for k in range(7)]
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], *columns], names=[*rest, *made])
+                rows = [base_counts((value or "").encode()) for value in part.column(0).to_pylist()]
+                columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(_FIELDS))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*rest, *_FIELDS])
 
     return source.mapInArrow(run, schema)
 
 
+def with_perplexity(df: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True, at_once: int = AT_ONCE) -> DataFrame:
+    """All columns of ``df``, the base counts and ``log_perplexity`` (NULL without words).
+
+    Texts are matched with their perplexity by a 64-bit hash of text and language, so repeated rows need no name of their own:
+    equal texts have equal means, and all their words together the same one.
+    """
+    trigrams = cut(count_word_trigrams(df, text, lang))
+    logs = trigram_logs(trigrams, with_spelling(cut(distinct_words(df, text, lang)), at_once))
+    of = F.xxhash64(F.col(f"`{text}`"), language_of(F.col(f"`{lang}`")))
+    steps = F.round(F.col("log") / UNIT).cast("long")
+    place, mean = fresh(df, "key_of_text", "mean_of_text")
+    found = places(df, text, lang, of).join(logs, "code").groupBy("key").agg((-F.sum(steps) * UNIT / F.count("*")).alias(mean))
+    given = df.select(*(f"`{c}`" for c in df.columns if c.lower() != "log_perplexity")).withColumn(place, of)
+    judged = with_counts(given, text, keep_text).join(found.withColumnRenamed("key", place), place, "left")
+    return judged.withColumnRenamed(mean, "log_perplexity").drop(place)
+
+
 def with_verdicts(
     df: DataFrame, text: str = "text", lang: str = "lang", deviations: float = 4.5, spread: float = 0.02, keep_text: bool = True, at_once: int = AT_ONCE,
 ) -> DataFrame:
@@ -221,23 +413,12 @@ def with_verdicts(
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated 3-word windows. Medians and deviations
     (median absolute deviation, scaled to a standard deviation) are those of all documents that pass the base rules.
     """
-    counted = cut(count_trigrams(df, text, lang))
-    groups = language_groups(counted, at_once)
-    of = language_of(F.col(f"`{lang}`"))
-    parts = []
-    for k, languages in enumerate(groups or [[]]):
-        # The first group takes the documents of languages without any trigram as well.
-        own = df if len(groups) < 2 else df.where(~of.isin(*(x for g in groups[1:] for x in g)) if k == 0 else of.isin(*languages))
-        scored = with_perplexity(own, train(counted, languages), text, lang, keep_text)
-        parts.append(scored if keep_text and len(groups) < 2 else cut(scored))
-    judged = parts[0]
-    for part in parts[1:]:
-        judged = judged.unionAll(part)
+    judged = cut(with_perplexity(df, text, lang, keep_text, at_once))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     key, share = fresh(judged, "band_of", "share_of_length")
     judged = judged.withColumns({
         "base_failed": failed, key: language_of(F.col(f"`{lang}`")),
-        share: F.sqrt(F.lit(spread * spread) + 1 / F.greatest(F.col("n_bytes"), F.lit(1)).cast("double")),
+        share: F.sqrt(F.lit(spread * spread) + 1 / F.greatest(F.col("n_words"), F.lit(1)).cast("double")),
     })
     passed = judged.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull()).select(key, share, "log_perplexity")
     middle = medians(passed, key, F.col("log_perplexity"))

@@ -142,3 +142,65 @@ def test_medians_are_exact_to_the_histogram(spark):
     values = [(k, float(x)) for k in "ab" for x in np.random.default_rng(ord(k)).normal(3, 1, 501)]
     got = perplexity.medians(spark.createDataFrame(values, "k string, v double").repartition(7), "k", F.col("v"))
     assert all(abs(got[k] - np.median([v for key, v in values if key == k])) <= perplexity.WIDTH for k in "ab")
+
+
+def plain_perplexities(rows):
+    """Mean negative log probability of the words of each (text, lang), straight from the definition: counts without the judged word's window."""
+    windows = lambda text, lang: [(lang, *w) for w in zip(*(([None] * 3 + re.findall(r"[^\x20\x09-\x0D]+", text or ""))[k:] for k in range(4)))]
+    every = {w for text, lang in rows for w in windows(text, lang)}
+
+    def tables(grams):
+        three = Counter((lang, a, b, c) for lang, _, a, b, c in grams)
+        two = Counter((lang, b, c) for lang, _, b, c in three)
+        return three, two, Counter((lang, c) for lang, _, c in two)
+
+    full, out = tables(every), []
+    discounts = {(lang, k): perplexity._discounts(np.array([n for g, n in full[k].items() if g[0] == lang])) for lang in {w[0] for w in every} for k in range(3)}
+    spelling = {}
+    for lang in {w[0] for w in every}:
+        codes, n = np.unique(np.concatenate([perplexity._trigrams((w + " ").encode()) for _, w in full[2] if _ == lang]), return_counts=True)
+        spelling[lang] = perplexity.Model(codes.astype(np.int64), n.astype(np.int64))
+    for text, lang in rows:
+        logs = []
+        for window in windows(text, lang):
+            p = float(np.exp(spelling[lang].log_probabilities(perplexity._trigrams((window[4] + " ").encode())).sum()))
+            left = tables(every - {window})
+            for k, gram in ((2, (lang, window[4])), (1, (lang, *window[3:])), (0, (lang, *window[2:]))):
+                d = discounts[lang, k]
+                own = {g: n for g, n in left[k].items() if g[:-1] == gram[:-1]}
+                total, n = sum(own.values()), own.get(gram, 0)
+                p = (max(n - d[min(n, 3)], 0) + sum(d[min(v, 3)] for v in own.values()) * p) / total if total else p
+            logs.append(np.log(p))
+        out.append(-np.mean(logs) if logs else None)
+    return out
+
+
+def test_perplexity_is_that_of_word_trigrams(spark):
+    importable(spark)
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "of", "a", "hat", "sat", "größe", "on", "mat,", "x1"]
+    rows = [(" ".join(rng.choice(words, 12, p=np.arange(10, 0, -1) / 55)), lang) for lang in ("en", "en", "de", "en", "en", "de")]
+    rows += [rows[0], (" \t" + rows[0][0].replace(" ", "\n") + "\x0b", "en"), (rows[0][0], "de"), ("lone", "fr"), ("the cat sat on a hat and so did the cat's cat", "other"), (None, "en"), (" \n", "de")]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id int, text string, lang string").repartition(5)
+    got = {r.doc_id: r.log_perplexity for r in perplexity.with_verdicts(docs).collect()}
+    want = plain_perplexities(rows)
+    assert [got[k] is None for k in range(len(rows))] == [w is None for w in want]
+    assert all(got[k] == pytest.approx(w, abs=1e-5) for k, w in enumerate(want) if w is not None)
+
+
+def test_word_order_counts_beyond_three_bytes(spark):
+    """Long words in an order that no other text has are less likely than in the usual one, though their bytes are the same."""
+    importable(spark)
+    usual = ["international", "organisations", "traditionally", "recommendation", "notwithstanding", "administration"] * 3
+    rng = np.random.default_rng(6)
+    rows = [(k, f"word{k} " + " ".join(usual[k % 6 : k % 6 + 9]), "en") for k in range(40)] + [(100, " ".join(usual[:9]), "en"), (101, " ".join(rng.permutation(usual[:9])), "en")]
+    got = {r.doc_id: r.log_perplexity for r in perplexity.with_verdicts(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
+    assert got[101] > got[100] + 1
+
+
+def test_spelling_of_a_very_long_word_is_finite(spark):
+    importable(spark)
+    letters = "".join(np.random.default_rng(7).choice(list("abcdefghijklmnopqrstuvwxyz"), 10_000))
+    rows = [(1, "é" * 100_000, "es"), (2, "a b " + letters, "es")]
+    got = {r.doc_id: r.log_perplexity for r in perplexity.with_verdicts(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
+    assert all(v is not None and np.isfinite(v) for v in got.values()) and got[2] > 100
