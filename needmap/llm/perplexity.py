@@ -286,10 +286,11 @@ class Level:
 
     @staticmethod
     def _by_language(values: dict[str, Column]) -> Column:
-        return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v)))[F.col("lang")]
+        return F.element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), F.col("lang"))
 
-    def discount(self, count: Column) -> Column:
-        return self.discounts[F.least(count, F.lit(3)).cast("int")]
+    def beside(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows with what holds for their language, looked up once a row."""
+        return df.withColumns({f"{name}_cuts": self.discounts, f"{name}_total": self.total, f"{name}_held": self.held})
 
     def contexts(self, grams: DataFrame, by: list[str], count: str, total: str, held: str) -> DataFrame:
         """For each context: the total of its counts and what is discounted from them."""
@@ -297,14 +298,16 @@ class Level:
         sums = grams.groupBy("lang", *by).agg(F.sum(count).alias(total), *(n.alias(f"kind_{k}") for k, n in enumerate(kinds, 1)))
         return sums.select(*by, total, sum((self.discounts[k] * F.col(f"kind_{k}") for k in (2, 3)), self.discounts[1] * F.col("kind_1")).alias(held))
 
-    def without(self, gone: Column, count: str, total: Column, held: Column, sure: Column, share: Column) -> tuple[Column, Column]:
-        """The probability as ``sure`` + ``share`` * spelling, given those of the shorter n-gram, with ``gone`` (0 or 1) taken off the count."""
-        n = F.col(count)
-        rest, all_of = n - gone, total - gone
-        left = F.greatest(held - self.discount(n) + self.discount(rest), F.lit(0.0))
-        own = F.greatest(rest - self.discount(rest), F.lit(0.0))
-        known = all_of > 0  # a context without other counts leaves all to shorter ones
-        return F.when(known, (own + left * sure) / all_of).otherwise(sure), F.when(known, left * share / all_of).otherwise(share)
+
+def without(gone: Column, count: str, cuts: str, total: str, held: str, sure: Column, share: Column) -> tuple[Column, Column]:
+    """The probability as ``sure`` + ``share`` * spelling, given those of the shorter n-gram, with ``gone`` (0 or 1) taken off the count."""
+    discount = lambda x: F.col(cuts)[F.least(x, F.lit(3)).cast("int")]
+    n = F.col(count)
+    rest, all_of = n - gone, F.col(total) - gone
+    left = F.greatest(F.col(held) - discount(n) + discount(rest), F.lit(0.0))
+    own = F.greatest(rest - discount(rest), F.lit(0.0))
+    known = all_of > 0  # a context without other counts leaves all to shorter ones
+    return F.when(known, (own + left * sure) / all_of).otherwise(sure), F.when(known, left * share / all_of).otherwise(share)
 
 
 def trigram_logs(trigrams: DataFrame, spelling: DataFrame) -> DataFrame:
@@ -317,16 +320,18 @@ def trigram_logs(trigrams: DataFrame, spelling: DataFrame) -> DataFrame:
     words = cut(pairs.groupBy("lang", "last").agg(F.count("*").alias("before")))
     three, two, one = Level(trigrams, "n"), Level(pairs, "kinds"), Level(words, "before")
     low = pairs.join(two.contexts(pairs, ["middle"], "kinds", "pair_total", "pair_held"), "middle").join(words.drop("lang").join(spelling, "last"), "last")
-    made = []
+    low = two.beside(one.beside(low, "one"), "two")
     for gone in (0, 1):  # without a trigram seen once its bigram has one kind less, without that kind its word one bigram less
         lost = F.when(F.col("kinds") == 1, F.lit(gone)).otherwise(F.lit(0))
-        single = one.without(lost, "before", one.total, one.held, F.lit(0.0), F.lit(1.0))
-        double = two.without(F.lit(gone), "kinds", F.col("pair_total"), F.col("pair_held"), *single)
-        made += [double[0].alias(f"sure_{gone}"), double[1].alias(f"share_{gone}")]
-    low = low.select("middle", "last", "spelled", *made)
+        single = without(lost, "before", "one_cuts", "one_total", "one_held", F.lit(0.0), F.lit(1.0))
+        low = low.withColumns({f"alone_{gone}": single[0], f"rest_{gone}": single[1]})
+        double = without(F.lit(gone), "kinds", "two_cuts", "pair_total", "pair_held", F.col(f"alone_{gone}"), F.col(f"rest_{gone}"))
+        low = low.withColumns({f"sure_{gone}": double[0], f"share_{gone}": double[1]})
+    low = low.select("middle", "last", "spelled", "sure_0", "share_0", "sure_1", "share_1")
     high = trigrams.join(three.contexts(trigrams, ["first", "middle"], "n", "total", "held"), ["first", "middle"]).join(low, ["middle", "last"])
     below = [F.when(F.col("n") == 1, F.col(f"{x}_1")).otherwise(F.col(f"{x}_0")) for x in ("sure", "share")]
-    sure, share = three.without(F.lit(1), "n", F.col("total"), F.col("held"), *below)
+    high = three.beside(high.withColumns({"sure_below": below[0], "share_below": below[1]}), "three")
+    sure, share = without(F.lit(1), "n", "three_cuts", "total", "held", F.col("sure_below"), F.col("share_below"))
     high = high.select("code", "spelled", sure.alias("sure"), share.alias("share"))
     # The spelling of a very long word is too small for a number: its logarithm is added where nothing else is known.
     log = F.when(F.col("sure") > 0, F.log(F.col("sure") + F.col("share") * F.exp("spelled"))).otherwise(F.log("share") + F.col("spelled"))
