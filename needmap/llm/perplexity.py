@@ -2,10 +2,11 @@
 
 Word trigrams of all documents are counted by Spark, language by language. All lengths are counted alike: trigrams and bigrams
 by the different words before them, words by the different bigrams that they end, so copies of a passage count once. Discounts
-come from the counts of counts, one small table a language. The counts are open-ended, so the model stays a table: what each
-context leaves to shorter ones and the probability of each bigram are joined to the trigrams, and the log probabilities of the
-trigrams to the words of the documents. No trigram is pruned, no word left out. Each occurrence is judged by all others: it is
-taken off the counts that judge it. Words and trigrams are named by 64-bit hashes; a word's hash takes in its language.
+come from the counts of counts, one small table a language. The counts are open-ended, so the model is never held as a whole: bigrams
+are stored as a table; the words of the documents are dealt, with the two words before, to where all counts of these two are,
+and on to where the bigram is that they end with. Both go round by round, over the whole texts each time, so that a round's
+share alone is on disk. No trigram is pruned, no word left out. Each occurrence is judged by all others: it is taken off the
+counts that judge it. Words and pairs are named by 64-bit hashes; a word's hash takes in its language (lowest four bits).
 
 Below the single words stands their spelling: what they leave is shared out by a Kneser-Ney model of the byte trigrams of the
 language's distinct words, each ended by a blank. It is kept as sorted arrays of n-gram codes with their log probabilities,
@@ -24,12 +25,14 @@ language. Repeated rows are counted and judged each. All other columns stay. A t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +48,11 @@ WIDTH = 1e-4
 UNIT = 1e-6
 #: Symbols that are counted (fixed value of the rules).
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
+#: Windows of words are counted in so many rounds at most, each over the whole texts, of so many bytes of text at least; each is judged in parts.
+ROUNDS, PARTS = 4, 3
+ROUND_BYTES = 24 << 20
+#: The windows of about so many bytes of text make a bucket.
+BUCKET_BYTES = 4 << 20
 _START = b"\x02\x02"  # stands before each text
 
 
@@ -164,22 +172,35 @@ def train(counted: DataFrame, languages: list[str]) -> dict[str, Model]:
     return {language: Model(own["code"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) for language, own in table.groupby("lang")}
 
 
-def _word_trigrams(texts: list[bytes], languages: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Code, words and word before of all trigrams of all texts (at their start with marks), and their number by text."""
-    marks = mix(languages.astype(np.uint64) + np.uint64(1))
+def _marks() -> np.ndarray:
+    """What stands before a text, by language."""
+    return _of_language(mix(np.arange(1, len(LANGUAGES) + 2, dtype=np.uint64)), np.arange(len(LANGUAGES) + 1))
+
+
+def _of_language(hashes: np.ndarray, languages: np.ndarray) -> np.ndarray:
+    """The hashes with the number of their language in the lowest four bits."""
+    return hashes & ~np.uint64(15) | languages.astype(np.uint64)
+
+
+def _windows(texts: list[bytes], languages: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First, middle and last word and the word before them of all trigrams of all texts (at their start with marks), and their text.
+
+    A text's last trigram ends beyond it: ``last`` is the number of the language alone.
+    """
     words, sizes = word_hashes(texts)
-    sizes = np.asarray(sizes, dtype=np.int64)
-    starts = np.cumsum(sizes + 3) - (sizes + 3)
-    row = np.repeat(np.arange(len(texts)), sizes + 3)
-    padded = marks[row]
+    sizes = np.asarray(sizes, dtype=np.int64) + 4
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    of = languages[row]
+    padded = _marks()[of]
     at = np.ones(len(row), dtype=bool)
     for k in range(3):
-        at[starts + k] = False
-    padded[at] = mix(words ^ padded[at])
+        at[ends - sizes + k] = False
     last = np.flatnonzero(at)
-    w1, w2, w3 = padded[last - 2], padded[last - 1], padded[last]
-    code = mix(mix(mix(w1) + w2) + w3)
-    return (*(x.view(np.int64) for x in (code, w1, w2, w3, padded[last - 3])), sizes)
+    at[ends - 1] = False
+    padded[at] = _of_language(mix(words ^ padded[at]), of[at])
+    padded[ends - 1] = languages.astype(np.uint64)
+    return padded[last - 2], padded[last - 1], padded[last], padded[last - 3], row[last]
 
 
 def _texts(df: DataFrame, text: str, lang: str, *more: Column) -> DataFrame:
@@ -197,34 +218,100 @@ def _named(languages: np.ndarray) -> pa.Array:
     return pa.array([*LANGUAGES, "other"]).take(pa.array(languages))
 
 
-def count_word_trigrams(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, code, first, middle, last, n) of the word trigrams over all whole texts; ``n`` different words stand before one.
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first) + second)
 
-    Counted as the shorter n-grams are, and as a longer model counts its trigrams: copies of a passage count once, so they do not
-    vouch for each other.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, languages in _each_slice(batches):
-            *columns, sizes = _word_trigrams(texts, languages)
-            _, at = np.unique(mix(columns[0].view(np.uint64)) + columns[4].view(np.uint64), return_index=True)
-            names = _named(np.repeat(languages, sizes)[at])
-            yield pa.RecordBatch.from_arrays([names, *(pa.array(c[at]) for c in columns)], names=["lang", *made])
+def _deal(keys: np.ndarray, buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket of keys: its numbers (64 bits each), column after column."""
+    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    columns, ends = [c[order] for c in columns], np.bincount(bucket, minlength=buckets).cumsum()
+    rows = [(k, low, high) for k, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if high > low]
+    data = [b"".join(c[low:high].tobytes() for c in columns) for _, low, high in rows]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
-    made = ["code", "first", "middle", "last", "before"]
-    found = _texts(df, text, lang).mapInArrow(run, "lang string, " + ", ".join(f"{m} long" for m in made)).distinct()
-    return found.groupBy("lang", *made[:4]).agg(F.count("*").alias("n"))
 
+def _dealt(table: pa.Table, columns: int) -> np.ndarray:
+    """The numbers of a bucket, a row of the array for each column."""
+    parts = [np.frombuffer(x, dtype=np.uint64).reshape(columns, -1) for x in table.column("data").to_pylist()]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), dtype=np.uint64)
 
-def places(df: DataFrame, text: str, lang: str, key: Column) -> DataFrame:
-    """(key, code) of every word of each text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts, languages in _each_slice(batches):
-            codes, *_, sizes = _word_trigrams(texts, languages)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(2).to_numpy(), sizes)), pa.array(codes)], names=["key", "code"])
+_DEALT = "bucket int, data binary"
+
+
+class Rounds:
+    """How the windows are dealt: in rounds by one of their words, one after the other; in buckets by pairs of words within a round."""
+
+    def __init__(self, n_bytes: int, rounds: int):
+        self.rounds = rounds
+        share = n_bytes // rounds
+        self.buckets = max(1, min(16, share >> 20), share // BUCKET_BYTES)
+
+    @classmethod
+    def of(cls, n_bytes: int) -> tuple[Rounds, Rounds]:
+        """To count and to judge: the words of round ``k`` of the second are among those of round ``k % rounds`` of the first."""
+        rounds = max(1, min(ROUNDS, n_bytes // ROUND_BYTES))
+        return cls(n_bytes, rounds), cls(n_bytes, rounds * PARTS if n_bytes >= ROUND_BYTES else 1)
+
+    def has(self, words: np.ndarray, k: int) -> np.ndarray:
+        return (words >> np.uint64(4)) % np.uint64(self.rounds) == np.uint64(k)
+
+    def has_column(self, word: str, k: int) -> Column:
+        return F.pmod(F.shiftrightunsigned(F.col(word), 4), F.lit(self.rounds)) == k
+
+
+def _language(word: str) -> Column:
+    """The number of a word's language."""
+    return F.col(word).bitwiseAND(F.lit(15)).cast("int")
+
 
-    return _texts(df, text, lang, key).mapInArrow(run, "key long, code long")
+def count_windows(df: DataFrame, text: str, lang: str, rounds: Rounds) -> tuple[list[DataFrame], DataFrame]:
+    """Stored (middle, last, kinds) of the pairs of words, by rounds of the first, and (lang, kind, number, total) of the trigrams, over all whole texts.
+
+    Copies of a passage count once, so they do not vouch for each other: ``kinds`` different words stand before a pair. ``number``
+    trigrams of a language have ``kind`` (5: or more) different words before them, ``total`` words together.
+    """
+
+    def find(k: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, texts, languages in _each_slice(batches):
+                *columns, _ = _windows(texts, languages)
+                own = rounds.has(columns[0], k)
+                columns = [c[own] for c in columns]
+                pair = _pair(*columns[:2])
+                _, at = np.unique(mix(mix(pair + columns[2]) + columns[3]), return_index=True)
+                yield _deal(pair[at], rounds.buckets, [c[at] for c in columns])
+
+        return run
+
+    def count(table: pa.Table) -> pa.Table:
+        first, middle, last, before = _dealt(table, 4)
+        pair = _pair(first, middle)
+        trigram = mix(pair + last)
+        _, at = np.unique(mix(trigram + before), return_index=True)
+        _, one = np.unique(mix(pair[at] + mix(before[at])), return_index=True)
+        one = at[one]
+        _, where, kinds = np.unique(pair[one], return_index=True, return_counts=True)
+        where = one[where]
+        real = middle[where] != _marks()[middle[where] & np.uint64(15)]
+        where, kinds = where[real], kinds[real]
+        at = at[last[at] > np.uint64(15)]
+        _, one, n = np.unique(trigram[at], return_index=True, return_counts=True)
+        cells = (last[at[one]] & np.uint64(15)).astype(np.int64) * 6 + np.minimum(n, 5)
+        number, total = np.bincount(cells, minlength=96), np.bincount(cells, weights=n, minlength=96).astype(np.int64)
+        cells = np.flatnonzero(number)
+        columns = [first[where].view(np.int64), cells // 6], [middle[where].view(np.int64), cells % 6], [kinds, number[cells]], [np.zeros(len(where), np.int64), total[cells]]
+        return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("middle", "last", "kinds", "total"), columns)})
+
+    parts = []
+    for k in range(rounds.rounds):
+        dealt = _texts(df, text, lang).mapInArrow(find(k), _DEALT)
+        parts.append(cut(dealt.groupBy("bucket").applyInArrow(count, "middle long, last long, kinds long, total long")))
+    out = functools.reduce(DataFrame.unionAll, parts)
+    of_trigrams = out.where("total > 0").groupBy(F.col("middle").alias("lang"), F.col("last").alias("kind")).agg(F.sum("kinds"), F.sum("total"))
+    return [part.where("total = 0").drop("total") for part in parts], of_trigrams
 
 
 def distinct_words(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -232,14 +319,15 @@ def distinct_words(df: DataFrame, text: str, lang: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts, languages in _each_slice(batches):
-            *_, last, _, sizes = _word_trigrams(texts, languages)
+            _, _, last, _, row = _windows(texts, languages)
+            last, row = last[last > np.uint64(15)], row[last > np.uint64(15)]
             ids, at = np.unique(last, return_index=True)
             words = b" ".join(texts).split()
             spelled = pa.array([words[k] + b" " for k in at.tolist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([_named(np.repeat(languages, sizes)[at]), pa.array(ids), spelled], names=["lang", "last", "spelling"])
+            yield pa.RecordBatch.from_arrays([_named(languages[row[at]]), pa.array(ids.view(np.int64)), spelled], names=["lang", "last", "spelling"])
 
     found = _texts(df, text, lang).mapInArrow(run, "lang string, last long, spelling string")
-    return found.groupBy("lang", "last").agg(F.min("spelling").alias("spelling"))
+    return found.groupBy("last").agg(F.min("lang").alias("lang"), F.min("spelling").alias("spelling")).select("lang", "last", "spelling")
 
 
 def with_spelling(words: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
@@ -269,73 +357,136 @@ def with_spelling(words: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
 
 
 class Level:
-    """The discounts of n-grams of one length by language, from all their counts; a row a language and count up to 5 reaches the driver."""
-
-    def __init__(self, grams: DataFrame, count: str):
-        kinds = grams.groupBy("lang", F.least(F.col(count), F.lit(5)).alias("kind")).agg(F.count("*"), F.sum(count)).collect()
-        found, totals = {}, {}
-        for language, kind, n, total in kinds:
-            found.setdefault(language, {})[kind] = n
-            totals[language] = totals.get(language, 0) + total
-        found, totals = found or {"": {}}, totals or {"": 0}  # without n-grams no row asks for them
-        discounts = {x: _discounts_of(*(of.get(k, 0) for k in (1, 2, 3, 4))) for x, of in found.items()}
-        #: For the rows of each language: what is discounted from counts of 0, 1, 2 and more, and of all counts together; their total.
-        self.discounts = self._by_language({x: F.array(*(F.lit(float(y)) for y in d)) for x, d in discounts.items()})
-        self.held = self._by_language({x: F.lit(float(sum(discounts[x][min(k, 3)] * n for k, n in sorted(of.items())))) for x, of in found.items()})
-        self.total = self._by_language({x: F.lit(n) for x, n in totals.items()})
+    """The discounts of n-grams of one length by language, from (language, count up to 5, number, total) rows of all of them."""
 
-    @staticmethod
-    def _by_language(values: dict[str, Column]) -> Column:
-        return F.element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), F.col("lang"))
+    def __init__(self, kinds: DataFrame):
+        found, totals = np.zeros((len(LANGUAGES) + 1, 6), dtype=np.int64), np.zeros(len(LANGUAGES) + 1, dtype=np.int64)
+        for language, kind, n, total in kinds.collect():
+            found[language, kind] = n
+            totals[language] += total
+        #: By the number of the language: what is discounted from counts of 0, 1, 2 and more, and of all counts together; their total.
+        self.discounts = np.array([_discounts_of(*of[1:5].tolist()) for of in found])
+        self.held = np.array([float(sum(d[min(k, 3)] * n for k, n in enumerate(of) if n)) for d, of in zip(self.discounts, found)])
+        self.total = totals
+
+    @classmethod
+    def of(cls, grams: DataFrame, word: str, count: str) -> Level:
+        return cls(grams.groupBy(_language(word), F.least(F.col(count), F.lit(5))).agg(F.count("*"), F.sum(count)))
 
-    def beside(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows with what holds for their language, looked up once a row."""
-        return df.withColumns({f"{name}_cuts": self.discounts, f"{name}_total": self.total, f"{name}_held": self.held})
 
-    def contexts(self, grams: DataFrame, by: list[str], count: str, total: str, held: str) -> DataFrame:
-        """For each context: the total of its counts and what is discounted from them."""
-        kinds = [F.count(F.when(F.col(count) == k, 1)) for k in (1, 2)] + [F.count(F.when(F.col(count) > 2, 1))]
-        sums = grams.groupBy("lang", *by).agg(F.sum(count).alias(total), *(n.alias(f"kind_{k}") for k, n in enumerate(kinds, 1)))
-        return sums.select(*by, total, sum((self.discounts[k] * F.col(f"kind_{k}") for k in (2, 3)), self.discounts[1] * F.col("kind_1")).alias(held))
+def without(gone: np.ndarray | int, n: np.ndarray, discounts: np.ndarray, total: np.ndarray, held: np.ndarray, sure, share) -> tuple[np.ndarray, np.ndarray]:
+    """The probability as ``sure`` + ``share`` * spelling, given those of the shorter n-gram, with ``gone`` (0 or 1) taken off the count.
 
+    ``discounts`` has a row for each count.
+    """
+    discount = lambda x: np.take_along_axis(discounts, np.minimum(x, 3)[:, None], axis=1)[:, 0]
+    rest, all_of = n - gone, total - gone
+    left = np.maximum(held - discount(n) + discount(rest), 0.0)
+    own = np.maximum(rest - discount(rest), 0.0)
+    known, over = all_of > 0, np.maximum(all_of, 1)  # a context without other counts leaves all to shorter ones
+    return np.where(known, (own + left * sure) / over, sure), np.where(known, left * share / over, share)
 
-def without(gone: Column, count: str, cuts: str, total: str, held: str, sure: Column, share: Column) -> tuple[Column, Column]:
-    """The probability as ``sure`` + ``share`` * spelling, given those of the shorter n-gram, with ``gone`` (0 or 1) taken off the count."""
-    discount = lambda x: F.col(cuts)[F.least(x, F.lit(3)).cast("int")]
-    n = F.col(count)
-    rest, all_of = n - gone, F.col(total) - gone
-    left = F.greatest(F.col(held) - discount(n) + discount(rest), F.lit(0.0))
-    own = F.greatest(rest - discount(rest), F.lit(0.0))
-    known = all_of > 0  # a context without other counts leaves all to shorter ones
-    return F.when(known, (own + left * sure) / all_of).otherwise(sure), F.when(known, left * share / all_of).otherwise(share)
 
+def pairs_with_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(middle, last, kinds, total, one, two, more, before, spelled): pairs, the counts of their first word as a context, their last word."""
+    kinds = [F.count(F.when(F.col("kinds") == k, 1)) for k in (1, 2)] + [F.count(F.when(F.col("kinds") > 2, 1))]
+    contexts = pairs.groupBy("middle").agg(F.sum("kinds").alias("total"), *(n.alias(name) for n, name in zip(kinds, ("one", "two", "more"))))
+    return pairs.join(contexts, "middle").join(words, "last").select("middle", "last", "kinds", "total", "one", "two", "more", "before", "spelled")
 
-def trigram_logs(trigrams: DataFrame, spelling: DataFrame) -> DataFrame:
-    """(code, log) for stored word trigrams: modified Kneser-Ney, interpolated down to the spelling of words.
 
-    The occurrence that is judged is left out of the counts (with its copies, which have the same word before): else a trigram
-    that the corpus has once would seem well known. Discounts are those of all counts.
+def shorter(columns: list[np.ndarray], two: Level, one: Level) -> list[np.ndarray]:
+    """The spelling and the probabilities (sure, share) of pairs with counts, interpolated down to it.
+
+    The second two are for a trigram that is seen once and left out: its pair has one kind less.
     """
-    pairs = cut(trigrams.groupBy("lang", "middle", "last").agg(F.count("*").alias("kinds")))
-    words = cut(pairs.groupBy("lang", "last").agg(F.count("*").alias("before")))
-    three, two, one = Level(trigrams, "n"), Level(pairs, "kinds"), Level(words, "before")
-    low = pairs.join(two.contexts(pairs, ["middle"], "kinds", "pair_total", "pair_held"), "middle").join(words.drop("lang").join(spelling, "last"), "last")
-    low = two.beside(one.beside(low, "one"), "two")
+    _, last, kinds, total, *held, before, spelled = columns
+    of = last & 15
+    d = two.discounts[of]
+    held = d[:, 1] * held[0] + d[:, 2] * held[1] + d[:, 3] * held[2]
+    out = [spelled]
     for gone in (0, 1):  # without a trigram seen once its bigram has one kind less, without that kind its word one bigram less
-        lost = F.when(F.col("kinds") == 1, F.lit(gone)).otherwise(F.lit(0))
-        single = without(lost, "before", "one_cuts", "one_total", "one_held", F.lit(0.0), F.lit(1.0))
-        low = low.withColumns({f"alone_{gone}": single[0], f"rest_{gone}": single[1]})
-        double = without(F.lit(gone), "kinds", "two_cuts", "pair_total", "pair_held", F.col(f"alone_{gone}"), F.col(f"rest_{gone}"))
-        low = low.withColumns({f"sure_{gone}": double[0], f"share_{gone}": double[1]})
-    low = low.select("middle", "last", "spelled", "sure_0", "share_0", "sure_1", "share_1")
-    high = trigrams.join(three.contexts(trigrams, ["first", "middle"], "n", "total", "held"), ["first", "middle"]).join(low, ["middle", "last"])
-    below = [F.when(F.col("n") == 1, F.col(f"{x}_1")).otherwise(F.col(f"{x}_0")) for x in ("sure", "share")]
-    high = three.beside(high.withColumns({"sure_below": below[0], "share_below": below[1]}), "three")
-    sure, share = without(F.lit(1), "n", "three_cuts", "total", "held", F.col("sure_below"), F.col("share_below"))
-    high = high.select("code", "spelled", sure.alias("sure"), share.alias("share"))
-    # The spelling of a very long word is too small for a number: its logarithm is added where nothing else is known.
-    log = F.when(F.col("sure") > 0, F.log(F.col("sure") + F.col("share") * F.exp("spelled"))).otherwise(F.log("share") + F.col("spelled"))
-    return high.select("code", log.alias("log"))
+        lost = np.where(kinds == 1, gone, 0)
+        below = without(lost, before, one.discounts[of], one.total[of], one.held[of], 0.0, 1.0)
+        out += without(gone, kinds, d, total, held, *below)
+    return out
+
+
+def text_logs(df: DataFrame, text: str, lang: str, key: Column, low: DataFrame, levels: tuple[Level, Level, Level], rounds: Rounds, k: int) -> DataFrame:
+    """(key, steps, n) of each text: the log probabilities of its words after middle words of a round, in ``UNIT``, and their number.
+
+    Modified Kneser-Ney. The occurrence that is judged is left out of the counts (with its copies, which have the same word
+    before): else a trigram that the corpus has once would seem well known. Discounts are those of all counts. Windows meet twice,
+    packed as numbers: by first and middle word, where all counts of a context are, and by middle and last word with ``low``.
+    """
+    buckets, (three, two, one) = rounds.buckets, levels
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, languages in _each_slice(batches):
+            *columns, row = _windows(texts, languages)
+            own = rounds.has(columns[1], k) & (columns[2] > np.uint64(15))
+            keys = part.column(2).to_numpy().view(np.uint64)[row]
+            columns = [c[own] for c in (*columns, keys)]
+            yield _deal(_pair(*columns[:2]), buckets, columns)
+
+    def weigh(table: pa.Table) -> pa.Table:
+        first, middle, last, before, keys = _dealt(table, 5)
+        pair = _pair(first, middle)
+        trigrams, at, of = np.unique(mix(pair + last), return_index=True, return_inverse=True)
+        _, one = np.unique(mix(mix(pair + last) + before), return_index=True)
+        n = np.bincount(of[one], minlength=len(trigrams))
+        _, context = np.unique(pair[at], return_inverse=True)
+        d = three.discounts[(last[at] & np.uint64(15)).astype(np.int64)]
+        total = np.bincount(context, weights=n)[context].astype(np.int64)
+        held = np.bincount(context, weights=np.take_along_axis(d, np.minimum(n, 3)[:, None], axis=1)[:, 0])[context]
+        own, share = without(1, n, d, total, held, 0.0, 1.0)
+        share = np.where(n == 1, -share, share)  # the sign tells which probability of the pair holds
+        pair = _pair(middle, last)
+        return pa.Table.from_batches([_deal(pair, buckets, [pair, own[of].view(np.uint64), share[of].view(np.uint64), keys])])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            return _deal(columns[0], buckets, columns)
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            held.append([_pair(*(c.view(np.uint64) for c in columns[:2])), *(x.view(np.uint64) for x in shorter(columns, two, one))])
+            if sum(len(h[0]) for h in held) >= 500_000:
+                yield dealt()
+        if held:
+            yield dealt()
+
+    def judge(windows: pa.Table, known: pa.Table) -> pa.Table:
+        pair, own, share, keys = _dealt(windows, 4)
+        low = _dealt(known, 6)
+        low = low[:, np.argsort(low[0])]
+        at = np.searchsorted(low[0], pair)
+        spelled, sure_0, share_0, sure_1, share_1 = (x[at] for x in low[1:].view(np.float64))
+        own, share = own.view(np.float64), share.view(np.float64)
+        lone, share = np.signbit(share), np.abs(share)
+        sure, share = own + share * np.where(lone, sure_1, sure_0), share * np.where(lone, share_1, share_0)
+        # The spelling of a very long word is too small for a number: its logarithm is added where nothing else is known.
+        with np.errstate(divide="ignore"):
+            log = np.where(sure > 0, np.log(sure + share * np.exp(spelled)), np.log(share) + spelled)
+        keys, at = np.unique(keys, return_inverse=True)
+        steps = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(steps, at, np.floor(np.abs(log) / UNIT + 0.5).astype(np.int64) * np.sign(log).astype(np.int64))
+        return pa.Table.from_batches([_deal(keys, buckets, [keys, steps.view(np.uint64), np.bincount(at, minlength=len(keys)).view(np.uint64)])])
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, steps, n = _dealt(table, 3)
+        keys, at = np.unique(keys, return_inverse=True)
+        sums = np.zeros((2, len(keys)), dtype=np.int64)
+        np.add.at(sums[0], at, steps.view(np.int64))
+        np.add.at(sums[1], at, n.view(np.int64))
+        return pa.table({"key": keys.view(np.int64), "steps": sums[0], "n": sums[1]})
+
+    windows = _texts(df, text, lang, key).mapInArrow(find, _DEALT).groupBy("bucket").applyInArrow(weigh, _DEALT)
+    judged = windows.groupBy("bucket").cogroup(low.mapInArrow(pack, _DEALT).groupBy("bucket")).applyInArrow(judge, _DEALT)
+    return judged.groupBy("bucket").applyInArrow(add, "key long, steps long, n long")
 
 
 def medians(df: DataFrame, key: str, value: Column) -> dict[str, float]:
@@ -393,18 +544,37 @@ def with_counts(df: DataFrame, text: str = "text", keep_text: bool = True) -> Da
     return source.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within, the files of a query's shuffles go when it ends, so that those of successive rounds do not add up on disk."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_perplexity(df: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True, at_once: int = AT_ONCE) -> DataFrame:
     """All columns of ``df``, the base counts and ``log_perplexity`` (NULL without words).
 
     Texts are matched with their perplexity by a 64-bit hash of text and language, so repeated rows need no name of their own:
     equal texts have equal means, and all their words together the same one.
     """
-    trigrams = cut(count_word_trigrams(df, text, lang))
-    logs = trigram_logs(trigrams, with_spelling(cut(distinct_words(df, text, lang)), at_once))
     of = F.xxhash64(F.col(f"`{text}`"), language_of(F.col(f"`{lang}`")))
-    steps = F.round(F.col("log") / UNIT).cast("long")
     place, mean = fresh(df, "key_of_text", "mean_of_text")
-    found = places(df, text, lang, of).join(logs, "code").groupBy("key").agg((-F.sum(steps) * UNIT / F.count("*")).alias(mean))
+    with shuffles_end(df.sparkSession):
+        counting, judging = Rounds.of(df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
+        parts, of_trigrams = count_windows(df, text, lang, counting)
+        pairs = functools.reduce(DataFrame.unionAll, parts)
+        words = cut(pairs.groupBy("last").agg(F.count("*").alias("before")).join(with_spelling(cut(distinct_words(df, text, lang)), at_once), "last"))
+        levels = Level(of_trigrams), Level.of(pairs, "last", "kinds"), Level.of(words, "last", "before")
+        found = []
+        for k in range(judging.rounds):
+            low = pairs_with_counts(parts[k % counting.rounds].where(judging.has_column("middle", k)), words)
+            found.append(cut(text_logs(df, text, lang, of, low, levels, judging, k)))
+    found = functools.reduce(DataFrame.unionAll, found).groupBy("key").agg((-F.sum("steps") * UNIT / F.sum("n")).alias(mean))
     given = df.select(*(f"`{c}`" for c in df.columns if c.lower() != "log_perplexity")).withColumn(place, of)
     judged = with_counts(given, text, keep_text).join(found.withColumnRenamed("key", place), place, "left")
     return judged.withColumnRenamed(mean, "log_perplexity").drop(place)

@@ -204,3 +204,37 @@ def test_spelling_of_a_very_long_word_is_finite(spark):
     rows = [(1, "é" * 100_000, "es"), (2, "a b " + letters, "es")]
     got = {r.doc_id: r.log_perplexity for r in perplexity.with_verdicts(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
     assert all(v is not None and np.isfinite(v) for v in got.values()) and got[2] > 100
+
+
+def test_rounds_and_buckets_give_the_same_rows(spark, monkeypatch):
+    importable(spark)
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 5000), ("en", "de", None)[k % 3]) for k in range(120)] + [(1000, None, "en"), (1001, "", None), (1002, "lone", "fr")]
+    docs = spark.createDataFrame(rows * 2, "doc_id int, text string, lang string").repartition(3)
+    rows = lambda: sorted(tuple(r) for r in perplexity.with_verdicts(docs).select("doc_id", "kept", "log_perplexity", "lower", "upper").collect())
+    whole = rows()
+    monkeypatch.setattr(perplexity, "ROUND_BYTES", 25_000)
+    monkeypatch.setattr(perplexity, "BUCKET_BYTES", 1_000)
+    counting, judging = perplexity.Rounds.of(50_000)
+    assert (counting.rounds, judging.rounds) == (2, 6) and counting.buckets == 25 and judging.buckets == 8
+    assert rows() == whole
+
+
+def test_shuffles_of_words_do_not_add_up_on_disk(spark):
+    """Successive queries over all words leave no shuffle files behind."""
+    importable(spark)
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(x)}" for x in rng.integers(0, 3000, 500)), "en") for k in range(100)], "doc_id int, text string, lang string")
+
+    def on_disk():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        found = []
+        while files.hasNext():
+            found.append(files.next())
+        return sum(f.length() for f in found if f.getName().startswith("shuffle_"))
+
+    before = on_disk()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    perplexity.with_perplexity(docs)
+    assert on_disk() - before < 100_000  # 50,000 words
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
