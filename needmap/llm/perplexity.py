@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, mix, slices, word_hashes
+from .common import cut, fresh, mix, slices
 
 #: Languages with a model of their own; all others share one.
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "tr", "zh")
@@ -54,6 +55,8 @@ ROUND_BYTES = 24 << 20
 #: The windows of about so many bytes of text make a bucket.
 BUCKET_BYTES = 4 << 20
 _START = b"\x02\x02"  # stands before each text
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first bytes of eight
 
 
 def _trigrams(text: bytes) -> np.ndarray:
@@ -182,25 +185,52 @@ def _of_language(hashes: np.ndarray, languages: np.ndarray) -> np.ndarray:
     return hashes & ~np.uint64(15) | languages.astype(np.uint64)
 
 
-def _windows(texts: list[bytes], languages: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First, middle and last word and the word before them of all trigrams of all texts (at their start with marks), and their text.
-
-    A text's last trigram ends beyond it: ``last`` is the number of the language alone.
-    """
-    words, sizes = word_hashes(texts)
-    sizes = np.asarray(sizes, dtype=np.int64) + 4
-    ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    of = languages[row]
-    padded = _marks()[of]
-    at = np.ones(len(row), dtype=bool)
-    for k in range(3):
-        at[ends - sizes + k] = False
-    last = np.flatnonzero(at)
-    at[ends - 1] = False
-    padded[at] = _of_language(mix(words ^ padded[at]), of[at])
-    padded[ends - 1] = languages.astype(np.uint64)
-    return padded[last - 2], padded[last - 1], padded[last], padded[last - 3], row[last]
+def _hashes(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and starts of the words of joined texts that end with nine blanks, eight bytes of a word at a time."""
+    space = _SPACE[joined]
+    before = np.empty_like(space)
+    before[0], before[1:] = True, space[:-1]
+    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined.data, strides=(1,))
+    sizes = ends - starts
+    hashes = mix((eight[starts] & _FIRST[np.minimum(sizes, 8)]) ^ mix(sizes.astype(np.uint64)))
+    rows, at = np.flatnonzero(sizes > 8), 8
+    while len(rows) and at < 256:
+        hashes[rows] = mix(hashes[rows] + (eight[starts[rows] + at] & _FIRST[np.minimum(sizes[rows] - at, 8)]))
+        at += 8
+        rows = rows[sizes[rows] > at]
+    for k in rows.tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(joined[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, starts
+
+
+class Words:
+    """The words of texts: ``hashes``, each text's after three marks, where words stand (``at``) and the ``row`` of their text."""
+
+    def __init__(self, texts: list[bytes], languages: np.ndarray):
+        words, starts = _hashes(np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8))
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+        sizes = np.diff(np.searchsorted(starts, ends), prepend=0) + 3
+        row = np.repeat(np.arange(len(texts)), sizes)
+        self.hashes = _marks()[languages[row]]
+        real = np.ones(len(row), dtype=bool)
+        for k in range(3):
+            real[np.cumsum(sizes) - sizes + k] = False
+        self.at = np.flatnonzero(real)
+        self.row = row[self.at]
+        self.hashes[self.at] = _of_language(mix(words ^ self.hashes[self.at]), languages[self.row])
+
+    def places(self) -> np.ndarray:
+        """For each place one that all places of the same word share."""
+        slots = 1 << max(10, (2 * len(self.hashes)).bit_length())
+        slot = (self.hashes >> np.uint64(4) & np.uint64(slots - 1)).astype(np.int64)
+        table = np.zeros(slots, dtype=np.int32)
+        table[slot] = np.arange(len(slot), dtype=np.int32)
+        out = table[slot]
+        other = np.flatnonzero(self.hashes[out] != self.hashes)
+        _, first, at = np.unique(self.hashes[other], return_index=True, return_inverse=True)
+        out[other] = other[first][at]
+        return out
 
 
 def _texts(df: DataFrame, text: str, lang: str, *more: Column) -> DataFrame:
@@ -222,23 +252,76 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first) + second)
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """The numbers byte by byte, lowest bytes first, compressed: small ones take one byte or less."""
+    planes = np.ascontiguousarray(numbers).reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, n: int, kind: type = np.uint64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _runs(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by bucket, and (bucket, from, to) of those that have rows."""
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    ends = np.bincount(bucket.astype(np.int64), minlength=buckets).cumsum().tolist()
+    return order, [(k, low, high) for k, (low, high) in enumerate(zip([0, *ends[:-1]], ends)) if high > low]
+
+
 def _deal(keys: np.ndarray, buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket of keys: its numbers (64 bits each), column after column."""
-    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    columns, ends = [c[order] for c in columns], np.bincount(bucket, minlength=buckets).cumsum()
-    rows = [(k, low, high) for k, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if high > low]
-    data = [b"".join(c[low:high].tobytes() for c in columns) for _, low, high in rows]
-    return pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+    order, runs = _runs(keys % np.uint64(buckets), buckets)
+    columns = [c[order] for c in columns]
+    data = [_squeezed(np.stack([c[low:high].view(np.uint64) for c in columns], axis=1)) for _, low, high in runs]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, *_ in runs], pa.int32()), pa.array([high - low for _, low, high in runs], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "size", "data"],
+    )
 
 
 def _dealt(table: pa.Table, columns: int) -> np.ndarray:
     """The numbers of a bucket, a row of the array for each column."""
-    parts = [np.frombuffer(x, dtype=np.uint64).reshape(columns, -1) for x in table.column("data").to_pylist()]
+    parts = [_numbers(x, n * columns).reshape(-1, columns).T for n, x in zip(table.column("size").to_pylist(), table.column("data").to_pylist())]
     return np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), dtype=np.uint64)
 
 
-_DEALT = "bucket int, data binary"
+_DEALT = "bucket int, size int, data binary"
+
+
+class Chunks:
+    """Rows of a bucket that name words by their number in ``words``, hashes that the row holds itself, and go to a shuffle squeezed."""
+
+    def __init__(self, n_words: int):
+        self.used, self.number, self.rows = np.zeros(n_words, dtype=bool), np.zeros(n_words, dtype=np.uint32), []
+
+    def add(self, bucket: int, hashes: np.ndarray, ids: np.ndarray, *more: np.ndarray, of_words: tuple[np.ndarray, ...] = ()) -> None:
+        """``ids`` (rows of an array) of ``hashes``; ``more`` numbers of the rows or of texts, ``of_words`` those of each word."""
+        self.used[ids] = True
+        words = np.flatnonzero(self.used)
+        self.used[words] = False
+        self.number[words] = np.arange(len(words), dtype=np.uint32)
+        more = [c.astype(np.uint64) if c.dtype != np.uint64 else c for c in (*(c[words] for c in of_words), *more)]
+        self.rows.append((bucket, hashes[words].tobytes(), ids.shape[1], _squeezed(self.number[ids]), [len(c) for c in more], [_squeezed(c) for c in more]))
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "words", "size", "ids", "sizes", "more"])
+
+
+_CHUNKS = "bucket int, words binary, size int, ids binary, sizes array<int>, more array<binary>"
+
+
+def _chunks(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[list[np.ndarray]]]:
+    """The different hashes of a bucket, rows of their numbers, the numbers of each chunk's words, and what else the chunks hold."""
+    rows = table.to_pylist()
+    hashes = [np.frombuffer(r["words"], dtype=np.uint64) for r in rows]
+    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    of_words = np.split(at, np.cumsum([len(h) for h in hashes])[:-1])
+    ids = [own[_numbers(r["ids"], columns * r["size"], np.uint32).reshape(columns, -1)] for own, r in zip(of_words, rows)]
+    more = [[_numbers(data, n) for n, data in zip(r["sizes"], r["more"])] for r in rows]
+    return words, np.concatenate(ids, axis=1), of_words, more
 
 
 class Rounds:
@@ -267,67 +350,139 @@ def _language(word: str) -> Column:
     return F.col(word).bitwiseAND(F.lit(15)).cast("int")
 
 
-def count_windows(df: DataFrame, text: str, lang: str, rounds: Rounds) -> tuple[list[DataFrame], DataFrame]:
-    """Stored (middle, last, kinds) of the pairs of words, by rounds of the first, and (lang, kind, number, total) of the trigrams, over all whole texts.
+class Hot:
+    """Words that stand so often that one task should not have all that is around them: their sorted hashes."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.sort(words)
+
+    def has(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), dtype=bool)
+        return self.words[np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)] == words
 
-    Copies of a passage count once, so they do not vouch for each other: ``kinds`` different words stand before a pair. ``number``
-    trigrams of a language have ``kind`` (5: or more) different words before them, ``total`` words together.
+    def bucket(self, words: np.ndarray, others: np.ndarray, buckets: int) -> np.ndarray:
+        """By the word, or by it and the other word if it is hot."""
+        keys, hot = mix(words), np.flatnonzero(self.has(words))
+        keys[hot] = _pair(words[hot], others[hot])
+        return keys % np.uint64(buckets)
+
+
+def _deal_windows(words: Words, hot: Hot, rounds: Rounds, k: int, keys: np.ndarray | None = None) -> pa.RecordBatch:
+    """The windows (word before, first, middle, last) whose middle word is of a round; with the keys of their texts, if given."""
+    own = rounds.has(words.hashes[words.at - 1], k)
+    at, row = words.at[own], words.row[own]
+    order, runs = _runs(hot.bucket(words.hashes[at - 1], words.hashes[at - 2], rounds.buckets), rounds.buckets)
+    places, out, at, row = words.places(), Chunks(len(words.hashes)), at[order], row[order]
+    for bucket, low, high in runs:
+        ids = np.stack([places[at[low:high] - k] for k in (3, 2, 1, 0)])
+        texts, n = np.unique(row[low:high], return_counts=True) if keys is not None else (row[:0], row[:0])
+        out.add(bucket, words.hashes, ids, *(() if keys is None else (keys[texts], n)))
+    return out.batch()
+
+
+def _trigram_counts(n_words: int, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the windows their trigram; of the trigrams the different words before, middle and last word, and number of the first two."""
+    before, first, middle, last = ids
+    context = middle * n_words + first
+    known = None
+    if n_words > 1 << 21:  # three numbers do not fit in 63 bits
+        known, context = np.unique(context, return_inverse=True)
+    trigrams, of = np.unique(context * n_words + last, return_inverse=True)
+    windows = np.sort(of * n_words + before)
+    n = np.bincount(windows[np.diff(windows, prepend=-1) > 0] // n_words, minlength=len(trigrams))
+    context, last = np.divmod(trigrams, n_words)
+    number = np.cumsum(np.diff(context, prepend=context[:1]) > 0)
+    return of, n, (context if known is None else known[context]) // n_words, last, number
+
+
+def _pair_counts(n_words: int, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Middle word, last word and number of trigrams of the pairs that these end with."""
+    pairs = np.sort(middle * n_words + last)
+    at = np.flatnonzero(np.diff(pairs, prepend=-1) > 0)
+    return *np.divmod(pairs[at], n_words), np.diff(at, append=len(pairs))
+
+
+def _sums(of: np.ndarray, n: np.ndarray, count: int) -> list[np.ndarray]:
+    """Sum of the counts of each context, and how many of them are 1, 2 and more."""
+    total = np.zeros(count, dtype=np.int64)
+    np.add.at(total, of, n)
+    return [total, *(np.bincount(of[own], minlength=count) for own in (n == 1, n == 2, n > 2))]
+
+
+#: What is summed up of the counts: trigrams and pairs by language and count, pairs by last word, counts of pairs of hot words, hot words by count.
+_TRIGRAMS, _PAIRS, _LAST, _OF_HOT, _HOT = range(5)
+
+
+def count_windows(df: DataFrame, text: str, lang: str, rounds: Rounds, hot: Hot) -> DataFrame:
+    """Stored (kind, a, b, n, total): ``n`` trigrams or pairs of language ``a`` have ``b`` (5: or more) different words before them, ``total``
+    together; ``n`` different words stand before the word ``a``; ``n`` pairs of the hot word ``a`` have ``b`` (3: or more), ``total`` together.
+
+    Copies of a passage count once, so they do not vouch for each other.
     """
 
     def find(k: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, texts, languages in _each_slice(batches):
-                *columns, _ = _windows(texts, languages)
-                own = rounds.has(columns[0], k)
-                columns = [c[own] for c in columns]
-                pair = _pair(*columns[:2])
-                _, at = np.unique(mix(mix(pair + columns[2]) + columns[3]), return_index=True)
-                yield _deal(pair[at], rounds.buckets, [c[at] for c in columns])
+                yield _deal_windows(Words(texts, languages), hot, rounds, k)
 
         return run
 
     def count(table: pa.Table) -> pa.Table:
-        first, middle, last, before = _dealt(table, 4)
-        pair = _pair(first, middle)
-        trigram = mix(pair + last)
-        _, at = np.unique(mix(trigram + before), return_index=True)
-        _, one = np.unique(mix(pair[at] + mix(before[at])), return_index=True)
-        one = at[one]
-        _, where, kinds = np.unique(pair[one], return_index=True, return_counts=True)
-        where = one[where]
-        real = middle[where] != _marks()[middle[where] & np.uint64(15)]
-        where, kinds = where[real], kinds[real]
-        at = at[last[at] > np.uint64(15)]
-        _, one, n = np.unique(trigram[at], return_index=True, return_counts=True)
-        cells = (last[at[one]] & np.uint64(15)).astype(np.int64) * 6 + np.minimum(n, 5)
-        number, total = np.bincount(cells, minlength=96), np.bincount(cells, weights=n, minlength=96).astype(np.int64)
-        cells = np.flatnonzero(number)
-        columns = [first[where].view(np.int64), cells // 6], [middle[where].view(np.int64), cells % 6], [kinds, number[cells]], [np.zeros(len(where), np.int64), total[cells]]
-        return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("middle", "last", "kinds", "total"), columns)})
-
+        words, ids, *_ = _chunks(table, 4)
+        _, n, middle, last, _ = _trigram_counts(len(words), ids)
+        out = []
+
+        def by_language(kind: int, last: np.ndarray, n: np.ndarray) -> None:
+            cells = (words[last] & np.uint64(15)).astype(np.int64) * 6 + np.minimum(n, 5)
+            number, total = np.bincount(cells, minlength=96), np.zeros(96, dtype=np.int64)
+            np.add.at(total, cells, n)
+            cells = np.flatnonzero(number)
+            out.append((np.full(len(cells), kind), cells // 6, cells % 6, number[cells], total[cells]))
+
+        by_language(_TRIGRAMS, last, n)
+        middle, last, n = _pair_counts(len(words), middle, last)
+        often = hot.has(words)[middle]
+        by_language(_PAIRS, last[~often], n[~often])
+        found = np.bincount(last[~often], minlength=len(words))
+        lasts = np.flatnonzero(found)
+        none = np.zeros(len(lasts), dtype=np.int64)
+        out.append((none + _LAST, words[lasts].view(np.int64), none, found[lasts], none))
+        middle, last, n = middle[often], last[often], n[often]
+        out.append((np.full(len(n), _OF_HOT), words[middle].view(np.int64), words[last].view(np.int64), n, n * 0))
+        return pa.table({name: np.concatenate(c).astype(np.int64) for name, c in zip(("kind", "a", "b", "n", "total"), zip(*out))})
+
+    def summed(df: DataFrame) -> DataFrame:
+        return df.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+    def row(kind: int, a: Column, b: Column, n: Column, total: Column) -> Column:
+        return F.struct(F.lit(kind).cast("long").alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), n.cast("long").alias("n"), total.cast("long").alias("total"))
+
+    a, b, n, one = F.col("a"), F.col("b"), F.col("n"), F.lit(1)
+    of_hot = F.array(row(_PAIRS, _language("b"), F.least(n, F.lit(5)), one, n), row(_LAST, b, F.lit(0), one, F.lit(0)), row(_HOT, a, F.least(n, F.lit(3)), one, n))
+    schema = "kind long, a long, b long, n long, total long"
     parts = []
     for k in range(rounds.rounds):
-        dealt = _texts(df, text, lang).mapInArrow(find(k), _DEALT)
-        parts.append(cut(dealt.groupBy("bucket").applyInArrow(count, "middle long, last long, kinds long, total long")))
-    out = functools.reduce(DataFrame.unionAll, parts)
-    of_trigrams = out.where("total > 0").groupBy(F.col("middle").alias("lang"), F.col("last").alias("kind")).agg(F.sum("kinds"), F.sum("total"))
-    return [part.where("total = 0").drop("total") for part in parts], of_trigrams
+        found = summed(_texts(df, text, lang).mapInArrow(find(k), _CHUNKS).groupBy("bucket").applyInArrow(count, schema))
+        if len(hot.words):
+            found = summed(found.select(F.explode(F.when(F.col("kind") == _OF_HOT, of_hot).otherwise(F.array(F.struct("kind", "a", "b", "n", "total")))).alias("x")).select("x.*"))
+        parts.append(cut(found))
+    return functools.reduce(DataFrame.unionAll, parts)
 
 
 def distinct_words(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, last, spelling) of every word, ``spelling`` ended by a blank."""
+    """(lang, last, spelling, n) of every word, ``spelling`` ended by a blank, ``n`` times in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts, languages in _each_slice(batches):
-            _, _, last, _, row = _windows(texts, languages)
-            last, row = last[last > np.uint64(15)], row[last > np.uint64(15)]
-            ids, at = np.unique(last, return_index=True)
+            found = Words(texts, languages)
+            ids, at, n = np.unique(found.hashes[found.at], return_index=True, return_counts=True)
             words = b" ".join(texts).split()
             spelled = pa.array([words[k] + b" " for k in at.tolist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([_named(languages[row[at]]), pa.array(ids.view(np.int64)), spelled], names=["lang", "last", "spelling"])
+            yield pa.RecordBatch.from_arrays([_named(languages[found.row[at]]), pa.array(ids.view(np.int64)), spelled, pa.array(n)], names=["lang", "last", "spelling", "n"])
 
-    found = _texts(df, text, lang).mapInArrow(run, "lang string, last long, spelling string")
-    return found.groupBy("last").agg(F.min("lang").alias("lang"), F.min("spelling").alias("spelling")).select("lang", "last", "spelling")
+    found = _texts(df, text, lang).mapInArrow(run, "lang string, last long, spelling string, n long")
+    return found.groupBy("last").agg(F.min("lang").alias("lang"), F.min("spelling").alias("spelling"), F.sum("n").alias("n")).select("lang", "last", "spelling", "n")
 
 
 def with_spelling(words: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
@@ -387,94 +542,96 @@ def without(gone: np.ndarray | int, n: np.ndarray, discounts: np.ndarray, total:
     return np.where(known, (own + left * sure) / over, sure), np.where(known, left * share / over, share)
 
 
-def pairs_with_counts(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(middle, last, kinds, total, one, two, more, before, spelled): pairs, the counts of their first word as a context, their last word."""
-    kinds = [F.count(F.when(F.col("kinds") == k, 1)) for k in (1, 2)] + [F.count(F.when(F.col("kinds") > 2, 1))]
-    contexts = pairs.groupBy("middle").agg(F.sum("kinds").alias("total"), *(n.alias(name) for n, name in zip(kinds, ("one", "two", "more"))))
-    return pairs.join(contexts, "middle").join(words, "last").select("middle", "last", "kinds", "total", "one", "two", "more", "before", "spelled")
-
-
-def shorter(columns: list[np.ndarray], two: Level, one: Level) -> list[np.ndarray]:
-    """The spelling and the probabilities (sure, share) of pairs with counts, interpolated down to it.
+class HotCounts:
+    """What a task needs of hot words: as first of a pair the sum of its counts and how many are 1, 2 and more; as last word ``before`` and ``spelled``."""
 
-    The second two are for a trigram that is seen once and left out: its pair has one kind less.
-    """
-    _, last, kinds, total, *held, before, spelled = columns
-    of = last & 15
-    d = two.discounts[of]
-    held = d[:, 1] * held[0] + d[:, 2] * held[1] + d[:, 3] * held[2]
-    out = [spelled]
-    for gone in (0, 1):  # without a trigram seen once its bigram has one kind less, without that kind its word one bigram less
-        lost = np.where(kinds == 1, gone, 0)
-        below = without(lost, before, one.discounts[of], one.total[of], one.held[of], 0.0, 1.0)
-        out += without(gone, kinds, d, total, held, *below)
-    return out
+    def __init__(self, hot: Hot, counted: DataFrame, words: DataFrame):
+        self.sums = np.zeros((4, len(hot.words)), dtype=np.int64)
+        self.known = np.zeros((3, 0), dtype=np.uint64)
+        if len(hot.words):
+            for word, kind, n, total in counted.where(F.col("kind") == _HOT).select("a", "b", "n", "total").collect():
+                at = np.searchsorted(hot.words, np.uint64(word % (1 << 64)))
+                self.sums[0, at] += total
+                self.sums[kind, at] += n
+            rows = words.join(words.sparkSession.createDataFrame(pd.DataFrame({"last": hot.words.view(np.int64)})), "last").select("last", "before", "spelled").toPandas()
+            self.known = np.stack([rows["last"].to_numpy(np.int64).view(np.uint64), rows["before"].to_numpy(np.int64).view(np.uint64), rows["spelled"].to_numpy(np.float64).view(np.uint64)])
 
 
-def text_logs(df: DataFrame, text: str, lang: str, key: Column, low: DataFrame, levels: tuple[Level, Level, Level], rounds: Rounds, k: int) -> DataFrame:
+def text_logs(
+    df: DataFrame, text: str, lang: str, key: Column, words: DataFrame, levels: tuple[Level, Level, Level], hot: Hot, counts: HotCounts, rounds: Rounds, k: int,
+) -> DataFrame:
     """(key, steps, n) of each text: the log probabilities of its words after middle words of a round, in ``UNIT``, and their number.
 
     Modified Kneser-Ney. The occurrence that is judged is left out of the counts (with its copies, which have the same word
-    before): else a trigram that the corpus has once would seem well known. Discounts are those of all counts. Windows meet twice,
-    packed as numbers: by first and middle word, where all counts of a context are, and by middle and last word with ``low``.
+    before): else a trigram that the corpus has once would seem well known. Discounts are those of all counts. Windows meet by their
+    middle word, where all counts of a context are, then each trigram with the keys of its texts by its last word, where all trigrams
+    that end with its bigram are, and ``words``. Hot words are dealt on by the first and the middle word.
     """
     buckets, (three, two, one) = rounds.buckets, levels
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts, languages in _each_slice(batches):
-            *columns, row = _windows(texts, languages)
-            own = rounds.has(columns[1], k) & (columns[2] > np.uint64(15))
-            keys = part.column(2).to_numpy().view(np.uint64)[row]
-            columns = [c[own] for c in (*columns, keys)]
-            yield _deal(_pair(*columns[:2]), buckets, columns)
+            yield _deal_windows(Words(texts, languages), hot, rounds, k, part.column(2).to_numpy().view(np.uint64))
 
     def weigh(table: pa.Table) -> pa.Table:
-        first, middle, last, before, keys = _dealt(table, 5)
-        pair = _pair(first, middle)
-        trigrams, at, of = np.unique(mix(pair + last), return_index=True, return_inverse=True)
-        _, one = np.unique(mix(mix(pair + last) + before), return_index=True)
-        n = np.bincount(of[one], minlength=len(trigrams))
-        _, context = np.unique(pair[at], return_inverse=True)
-        d = three.discounts[(last[at] & np.uint64(15)).astype(np.int64)]
-        total = np.bincount(context, weights=n)[context].astype(np.int64)
-        held = np.bincount(context, weights=np.take_along_axis(d, np.minimum(n, 3)[:, None], axis=1)[:, 0])[context]
-        own, share = without(1, n, d, total, held, 0.0, 1.0)
-        share = np.where(n == 1, -share, share)  # the sign tells which probability of the pair holds
-        pair = _pair(middle, last)
-        return pa.Table.from_batches([_deal(pair, buckets, [pair, own[of].view(np.uint64), share[of].view(np.uint64), keys])])
+        hashes, ids, _, more = _chunks(table, 4)
+        keys = np.concatenate([np.repeat(texts, n.astype(np.int64)) for texts, n in more])
+        of, n, middle, last, context = _trigram_counts(len(hashes), ids)
+        contexts = _sums(context, n, int(context[-1]) + 1)
+        pairs = _pair_counts(len(hashes), middle, last)
+        sums = _sums(pairs[0], pairs[2], len(hashes))
+        often = np.flatnonzero(hot.has(hashes))
+        at = np.searchsorted(hot.words, hashes[often])
+        for own, all_of in zip(sums, counts.sums):
+            own[often] = all_of[at]
+        order, runs = _runs(hot.bucket(hashes[last], hashes[middle], buckets), buckets)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        keys, found = keys[np.argsort(place[of])], np.bincount(of)[order]
+        ends = np.concatenate(([0], np.cumsum(found)))
+        middle, last, context, n, out = middle[order], last[order], context[order], n[order], Chunks(len(hashes))
+        for bucket, low, high in runs:
+            of_context = [c[context[low:high]] for c in contexts]
+            out.add(bucket, hashes, np.stack([middle[low:high], last[low:high]]), n[low:high], *of_context, found[low:high], keys[ends[low] : ends[high]], of_words=sums)
+        return pa.Table.from_batches([out.batch()])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def dealt() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            held.clear()
-            return _deal(columns[0], buckets, columns)
-
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            held.append([_pair(*(c.view(np.uint64) for c in columns[:2])), *(x.view(np.uint64) for x in shorter(columns, two, one))])
-            if sum(len(h[0]) for h in held) >= 500_000:
-                yield dealt()
-        if held:
-            yield dealt()
+            columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            cold = ~hot.has(columns[0])
+            columns = [c[cold] for c in columns]
+            yield _deal(mix(columns[0]), buckets, columns)
 
     def judge(windows: pa.Table, known: pa.Table) -> pa.Table:
-        pair, own, share, keys = _dealt(windows, 4)
-        low = _dealt(known, 6)
+        if not windows.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "size": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        hashes, (middle, last), of_words, more = _chunks(windows, 2)
+        sums = np.zeros((4, len(hashes)), dtype=np.int64)
+        for own, numbers in zip(of_words, more):
+            sums[:, own] = np.maximum(sums[:, own], np.stack(numbers[:4]).astype(np.int64))
+        n, total, *held, found, keys = (np.concatenate(c) for c in zip(*(numbers[4:] for numbers in more)))
+        n, total, found = n.astype(np.int64), total.astype(np.int64), found.astype(np.int64)
+        low = np.concatenate((counts.known, _dealt(known, 3)), axis=1)
         low = low[:, np.argsort(low[0])]
-        at = np.searchsorted(low[0], pair)
-        spelled, sure_0, share_0, sure_1, share_1 = (x[at] for x in low[1:].view(np.float64))
-        own, share = own.view(np.float64), share.view(np.float64)
-        lone, share = np.signbit(share), np.abs(share)
-        sure, share = own + share * np.where(lone, sure_1, sure_0), share * np.where(lone, share_1, share_0)
+        at = np.searchsorted(low[0], hashes[last])
+        before, spelled = low[1, at].view(np.int64), low[2, at].view(np.float64)
+        of = (hashes[last] & np.uint64(15)).astype(np.int64)
+        _, pair, kinds = np.unique(middle * len(hashes) + last, return_inverse=True, return_counts=True)
+        kinds, lone = kinds[pair], (n == 1).astype(np.int64)  # without a trigram seen once its bigram has one kind less
+        all_held = lambda d, counts: sum(d[:, k] * c for k, c in enumerate(counts, 1))
+        below = without(np.where(kinds == 1, lone, 0), before, one.discounts[of], one.total[of], one.held[of], 0.0, 1.0)  # and its word one bigram less
+        d = two.discounts[of]
+        below = without(lone, kinds, d, sums[0, middle], all_held(d, sums[1:, middle]), *below)
+        d = three.discounts[of]
+        sure, share = without(1, n, d, total, all_held(d, held), *below)
         # The spelling of a very long word is too small for a number: its logarithm is added where nothing else is known.
         with np.errstate(divide="ignore"):
             log = np.where(sure > 0, np.log(sure + share * np.exp(spelled)), np.log(share) + spelled)
+        steps = np.floor(np.abs(log) / UNIT + 0.5).astype(np.int64) * np.sign(log).astype(np.int64)
         keys, at = np.unique(keys, return_inverse=True)
-        steps = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(steps, at, np.floor(np.abs(log) / UNIT + 0.5).astype(np.int64) * np.sign(log).astype(np.int64))
-        return pa.Table.from_batches([_deal(keys, buckets, [keys, steps.view(np.uint64), np.bincount(at, minlength=len(keys)).view(np.uint64)])])
+        sums = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(sums, at, np.repeat(steps, found))
+        return pa.Table.from_batches([_deal(keys, buckets, [keys, sums.view(np.uint64), np.bincount(at, minlength=len(keys)).view(np.uint64)])])
 
     def add(table: pa.Table) -> pa.Table:
         keys, steps, n = _dealt(table, 3)
@@ -484,8 +641,9 @@ def text_logs(df: DataFrame, text: str, lang: str, key: Column, low: DataFrame,
         np.add.at(sums[1], at, n.view(np.int64))
         return pa.table({"key": keys.view(np.int64), "steps": sums[0], "n": sums[1]})
 
-    windows = _texts(df, text, lang, key).mapInArrow(find, _DEALT).groupBy("bucket").applyInArrow(weigh, _DEALT)
-    judged = windows.groupBy("bucket").cogroup(low.mapInArrow(pack, _DEALT).groupBy("bucket")).applyInArrow(judge, _DEALT)
+    dealt = _texts(df, text, lang, key).mapInArrow(find, _CHUNKS).groupBy("bucket").applyInArrow(weigh, _CHUNKS)
+    low = words.select("last", "before", "spelled").mapInArrow(pack, _DEALT)
+    judged = dealt.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(judge, _DEALT)
     return judged.groupBy("bucket").applyInArrow(add, "key long, steps long, n long")
 
 
@@ -562,20 +720,21 @@ def with_perplexity(df: DataFrame, text: str = "text", lang: str = "lang", keep_
     Texts are matched with their perplexity by a 64-bit hash of text and language, so repeated rows need no name of their own:
     equal texts have equal means, and all their words together the same one.
     """
-    of = F.xxhash64(F.col(f"`{text}`"), language_of(F.col(f"`{lang}`")))
+    place_of = F.xxhash64(F.col(f"`{text}`"), language_of(F.col(f"`{lang}`")))
     place, mean = fresh(df, "key_of_text", "mean_of_text")
     with shuffles_end(df.sparkSession):
         counting, judging = Rounds.of(df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
-        parts, of_trigrams = count_windows(df, text, lang, counting)
-        pairs = functools.reduce(DataFrame.unionAll, parts)
-        words = cut(pairs.groupBy("last").agg(F.count("*").alias("before")).join(with_spelling(cut(distinct_words(df, text, lang)), at_once), "last"))
-        levels = Level(of_trigrams), Level.of(pairs, "last", "kinds"), Level.of(words, "last", "before")
-        found = []
-        for k in range(judging.rounds):
-            low = pairs_with_counts(parts[k % counting.rounds].where(judging.has_column("middle", k)), words)
-            found.append(cut(text_logs(df, text, lang, of, low, levels, judging, k)))
+        spelled = cut(distinct_words(df, text, lang))
+        often = spelled.where(F.col("n") > BUCKET_BYTES // 16).select("last").toPandas()["last"]
+        hot = Hot(often.to_numpy(np.int64).view(np.uint64))
+        counted = count_windows(df, text, lang, counting, hot)
+        before = counted.where(F.col("kind") == _LAST).groupBy(F.col("a").alias("last")).agg(F.sum("n").alias("before"))
+        words = cut(before.join(with_spelling(spelled, at_once), "last"))
+        of = lambda kind: Level(counted.where(F.col("kind") == kind).groupBy("a", "b").agg(F.sum("n"), F.sum("total")))
+        levels, counts = (of(_TRIGRAMS), of(_PAIRS), Level.of(words, "last", "before")), HotCounts(hot, counted, words)
+        found = [cut(text_logs(df, text, lang, place_of, words, levels, hot, counts, judging, k)) for k in range(judging.rounds)]
     found = functools.reduce(DataFrame.unionAll, found).groupBy("key").agg((-F.sum("steps") * UNIT / F.sum("n")).alias(mean))
-    given = df.select(*(f"`{c}`" for c in df.columns if c.lower() != "log_perplexity")).withColumn(place, of)
+    given = df.select(*(f"`{c}`" for c in df.columns if c.lower() != "log_perplexity")).withColumn(place, place_of)
     judged = with_counts(given, text, keep_text).join(found.withColumnRenamed("key", place), place, "left")
     return judged.withColumnRenamed(mean, "log_perplexity").drop(place)
 

@@ -2,13 +2,14 @@
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from needmap.llm import classifier, perplexity
-from needmap.llm.common import importable
+from needmap.llm.common import importable, shared_folder
 from needmap.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.01"
@@ -238,3 +239,15 @@ def test_shuffles_of_words_do_not_add_up_on_disk(spark):
     perplexity.with_perplexity(docs)
     assert on_disk() - before < 100_000  # 50,000 words
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_judging_stores_words_not_pairs(spark):
+    """What is stored grows with the distinct words, not with the pairs of words in the texts."""
+    importable(spark)
+    rng = np.random.default_rng(10)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(x)}" for x in rng.integers(0, 3000, 500)), "en") for k in range(100)], "doc_id int, text string, lang string")
+    folder = shared_folder(spark)
+    size = lambda: sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+    before = size()
+    perplexity.with_perplexity(docs)
+    assert size() - before < 400_000  # 50,000 pairs
