@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, mix, slices
+from .common import cut, discard, fresh, mix, slices, stored
 
 #: Languages with a model of their own; all others share one.
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "tr", "zh")
@@ -54,6 +54,8 @@ ROUNDS, PARTS = 4, 3
 ROUND_BYTES = 24 << 20
 #: The windows of about so many bytes of text make a bucket.
 BUCKET_BYTES = 4 << 20
+#: So many windows are dealt together: a chunk for a bucket names each of its words once.
+WINDOWS = 1 << 20
 _START = b"\x02\x02"  # stands before each text
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first bytes of eight
@@ -65,6 +67,16 @@ def _trigrams(text: bytes) -> np.ndarray:
     return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
 
 
+def _all_trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of all texts, one text after the other, and their number in each."""
+    b = np.frombuffer(b"".join(_START + t for t in texts), dtype=np.uint8).astype(np.int32)
+    sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(sizes + 2)
+    own = np.ones(len(b), dtype=bool)
+    own[ends - 1] = own[ends - 2] = False
+    return (b[:-2] << 16 | b[1:-1] << 8 | b[2:])[own[:-2]], sizes
+
+
 def language_of(column: Column) -> Column:
     return F.when(F.lower(column).isin(*LANGUAGES), F.lower(column)).otherwise("other")
 
@@ -86,9 +98,9 @@ def count_trigrams(df: DataFrame, text: str, lang: str) -> DataFrame:
             for part in slices(batch):
                 texts, languages = part.column(0).to_pylist(), np.array(part.column(1).to_pylist())
                 for language in np.unique(languages):
-                    own = [_trigrams(texts[k].encode()) for k in np.flatnonzero(languages == language) if texts[k]]
+                    own = [texts[k].encode() for k in np.flatnonzero(languages == language) if texts[k]]
                     if own:
-                        codes, n = np.unique(np.concatenate(own), return_counts=True)
+                        codes, n = np.unique(_all_trigrams(own)[0], return_counts=True)
                         add(str(language), codes, n)
         for language, (codes, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(codes)), pa.array(codes, pa.int32()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
@@ -185,8 +197,8 @@ def _of_language(hashes: np.ndarray, languages: np.ndarray) -> np.ndarray:
     return hashes & ~np.uint64(15) | languages.astype(np.uint64)
 
 
-def _hashes(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes and starts of the words of joined texts that end with nine blanks, eight bytes of a word at a time."""
+def _hashes(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, starts and ends of the words of joined texts that end with nine blanks, eight bytes of a word at a time."""
     space = _SPACE[joined]
     before = np.empty_like(space)
     before[0], before[1:] = True, space[:-1]
@@ -201,16 +213,20 @@ def _hashes(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = rows[sizes[rows] > at]
     for k in rows.tolist():
         hashes[k] = int.from_bytes(hashlib.blake2b(joined[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
-    return hashes, starts
+    return hashes, starts, ends
 
 
 class Words:
-    """The words of texts: ``hashes``, each text's after three marks, where words stand (``at``) and the ``row`` of their text."""
+    """The words of texts: ``hashes``, each text's after three marks, where words stand (``at``) and the ``row`` of their text.
+
+    They are ``joined`` from ``starts`` to ``ends``.
+    """
 
     def __init__(self, texts: list[bytes], languages: np.ndarray):
-        words, starts = _hashes(np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8))
+        self.joined = b" ".join(texts) + b" " * 9
+        words, self.starts, self.ends = _hashes(np.frombuffer(self.joined, dtype=np.uint8))
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-        sizes = np.diff(np.searchsorted(starts, ends), prepend=0) + 3
+        sizes = np.diff(np.searchsorted(self.starts, ends), prepend=0) + 3
         row = np.repeat(np.arange(len(texts)), sizes)
         self.hashes = _marks()[languages[row]]
         real = np.ones(len(row), dtype=bool)
@@ -220,17 +236,18 @@ class Words:
         self.row = row[self.at]
         self.hashes[self.at] = _of_language(mix(words ^ self.hashes[self.at]), languages[self.row])
 
-    def places(self) -> np.ndarray:
-        """For each place one that all places of the same word share."""
-        slots = 1 << max(10, (2 * len(self.hashes)).bit_length())
-        slot = (self.hashes >> np.uint64(4) & np.uint64(slots - 1)).astype(np.int64)
-        table = np.zeros(slots, dtype=np.int32)
-        table[slot] = np.arange(len(slot), dtype=np.int32)
-        out = table[slot]
-        other = np.flatnonzero(self.hashes[out] != self.hashes)
-        _, first, at = np.unique(self.hashes[other], return_index=True, return_inverse=True)
-        out[other] = other[first][at]
-        return out
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    """For each place one that all places of the same hash share."""
+    slots = 1 << max(10, (2 * len(hashes)).bit_length())
+    slot = (hashes >> np.uint64(4) & np.uint64(slots - 1)).astype(np.int64)
+    table = np.zeros(slots, dtype=np.int32)
+    table[slot] = np.arange(len(slot), dtype=np.int32)
+    out = table[slot]
+    other = np.flatnonzero(hashes[out] != hashes)
+    _, first, at = np.unique(hashes[other], return_index=True, return_inverse=True)
+    out[other] = other[first][at]
+    return out
 
 
 def _texts(df: DataFrame, text: str, lang: str, *more: Column) -> DataFrame:
@@ -301,22 +318,23 @@ class Chunks:
         self.used[ids] = True
         words = np.flatnonzero(self.used)
         self.used[words] = False
+        words = words[np.argsort(hashes[words])]
         self.number[words] = np.arange(len(words), dtype=np.uint32)
         more = [c.astype(np.uint64) if c.dtype != np.uint64 else c for c in (*(c[words] for c in of_words), *more)]
-        self.rows.append((bucket, hashes[words].tobytes(), ids.shape[1], _squeezed(self.number[ids]), [len(c) for c in more], [_squeezed(c) for c in more]))
+        self.rows.append((bucket, len(words), _squeezed(np.diff(hashes[words], prepend=np.uint64(0))), ids.shape[1], _squeezed(self.number[ids]), [len(c) for c in more], [_squeezed(c) for c in more]))
 
     def batch(self) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "words", "size", "ids", "sizes", "more"])
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "n_words", "words", "size", "ids", "sizes", "more"])
 
 
-_CHUNKS = "bucket int, words binary, size int, ids binary, sizes array<int>, more array<binary>"
+_CHUNKS = "bucket int, n_words int, words binary, size int, ids binary, sizes array<int>, more array<binary>"
 
 
 def _chunks(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[list[np.ndarray]]]:
     """The different hashes of a bucket, rows of their numbers, the numbers of each chunk's words, and what else the chunks hold."""
     rows = table.to_pylist()
-    hashes = [np.frombuffer(r["words"], dtype=np.uint64) for r in rows]
+    hashes = [np.cumsum(_numbers(r["words"], r["n_words"]), dtype=np.uint64) for r in rows]
     words, at = np.unique(np.concatenate(hashes), return_inverse=True)
     of_words = np.split(at, np.cumsum([len(h) for h in hashes])[:-1])
     ids = [own[_numbers(r["ids"], columns * r["size"], np.uint32).reshape(columns, -1)] for own, r in zip(of_words, rows)]
@@ -330,7 +348,7 @@ class Rounds:
     def __init__(self, n_bytes: int, rounds: int):
         self.rounds = rounds
         share = n_bytes // rounds
-        self.buckets = max(1, min(16, share >> 20), share // BUCKET_BYTES)
+        self.buckets = max(1, min(6, share >> 20), share // BUCKET_BYTES)
 
     @classmethod
     def of(cls, n_bytes: int) -> tuple[Rounds, Rounds]:
@@ -368,17 +386,35 @@ class Hot:
         return keys % np.uint64(buckets)
 
 
-def _deal_windows(words: Words, hot: Hot, rounds: Rounds, k: int, keys: np.ndarray | None = None) -> pa.RecordBatch:
-    """The windows (word before, first, middle, last) whose middle word is of a round; with the keys of their texts, if given."""
-    own = rounds.has(words.hashes[words.at - 1], k)
-    at, row = words.at[own], words.row[own]
-    order, runs = _runs(hot.bucket(words.hashes[at - 1], words.hashes[at - 2], rounds.buckets), rounds.buckets)
-    places, out, at, row = words.places(), Chunks(len(words.hashes)), at[order], row[order]
-    for bucket, low, high in runs:
-        ids = np.stack([places[at[low:high] - k] for k in (3, 2, 1, 0)])
-        texts, n = np.unique(row[low:high], return_counts=True) if keys is not None else (row[:0], row[:0])
-        out.add(bucket, words.hashes, ids, *(() if keys is None else (keys[texts], n)))
-    return out.batch()
+def _deal_windows(batches: Iterator[pa.RecordBatch], hot: Hot, rounds: Rounds, k: int, keyed: bool = False) -> Iterator[pa.RecordBatch]:
+    """The windows (word before, first, middle, last) whose middle word is of a round; with the keys of their texts, if wanted."""
+
+    def dealt(windows: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        order, runs = _runs(hot.bucket(windows[2], windows[1], rounds.buckets), rounds.buckets)
+        windows, keys = windows[:, order], keys[order] if keyed else keys
+        places, hashes, out = _places(windows.reshape(-1)).reshape(windows.shape), windows.reshape(-1), Chunks(windows.size)
+        for bucket, low, high in runs:
+            of_texts = ()
+            if keyed:
+                own = keys[low:high]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                of_texts = own[first], np.diff(first, append=len(own))
+            out.add(bucket, hashes, places[:, low:high], *of_texts)
+        return out.batch()
+
+    held: list[np.ndarray] = []
+    held_keys: list[np.ndarray] = []
+    for part, texts, languages in _each_slice(batches):
+        words = Words(texts, languages)
+        own = rounds.has(words.hashes[words.at - 1], k)
+        at = words.at[own]
+        held.append(np.stack([words.hashes[at - k] for k in (3, 2, 1, 0)]))
+        held_keys.append(part.column(2).to_numpy().view(np.uint64)[words.row[own]] if keyed else at[:0].view(np.uint64))
+        if sum(w.shape[1] for w in held) >= WINDOWS:
+            yield dealt(np.concatenate(held, axis=1), np.concatenate(held_keys))
+            held, held_keys = [], []
+    if held:
+        yield dealt(np.concatenate(held, axis=1), np.concatenate(held_keys))
 
 
 def _trigram_counts(n_words: int, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -414,19 +450,15 @@ def _sums(of: np.ndarray, n: np.ndarray, count: int) -> list[np.ndarray]:
 _TRIGRAMS, _PAIRS, _LAST, _OF_HOT, _HOT = range(5)
 
 
-def count_windows(df: DataFrame, text: str, lang: str, rounds: Rounds, hot: Hot) -> DataFrame:
+def count_windows(df: DataFrame, text: str, lang: str, rounds: Rounds, hot: Hot) -> tuple[DataFrame, list[str]]:
     """Stored (kind, a, b, n, total): ``n`` trigrams or pairs of language ``a`` have ``b`` (5: or more) different words before them, ``total``
     together; ``n`` different words stand before the word ``a``; ``n`` pairs of the hot word ``a`` have ``b`` (3: or more), ``total`` together.
 
-    Copies of a passage count once, so they do not vouch for each other.
+    Copies of a passage count once, so they do not vouch for each other. The second value are the folders.
     """
 
     def find(k: int) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, texts, languages in _each_slice(batches):
-                yield _deal_windows(Words(texts, languages), hot, rounds, k)
-
-        return run
+        return lambda batches: _deal_windows(batches, hot, rounds, k)
 
     def count(table: pa.Table) -> pa.Table:
         words, ids, *_ = _chunks(table, 4)
@@ -466,23 +498,40 @@ def count_windows(df: DataFrame, text: str, lang: str, rounds: Rounds, hot: Hot)
         found = summed(_texts(df, text, lang).mapInArrow(find(k), _CHUNKS).groupBy("bucket").applyInArrow(count, schema))
         if len(hot.words):
             found = summed(found.select(F.explode(F.when(F.col("kind") == _OF_HOT, of_hot).otherwise(F.array(F.struct("kind", "a", "b", "n", "total")))).alias("x")).select("x.*"))
-        parts.append(cut(found))
-    return functools.reduce(DataFrame.unionAll, parts)
+        parts.append(stored(found))
+    return functools.reduce(DataFrame.unionAll, [part for part, _ in parts]), [path for _, path in parts]
 
 
-def distinct_words(df: DataFrame, text: str, lang: str) -> DataFrame:
+def distinct_words(df: DataFrame, text: str, lang: str, buckets: int) -> DataFrame:
     """(lang, last, spelling, n) of every word, ``spelling`` ended by a blank, ``n`` times in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts, languages in _each_slice(batches):
-            found = Words(texts, languages)
-            ids, at, n = np.unique(found.hashes[found.at], return_index=True, return_counts=True)
-            words = b" ".join(texts).split()
-            spelled = pa.array([words[k] + b" " for k in at.tolist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([_named(languages[found.row[at]]), pa.array(ids.view(np.int64)), spelled, pa.array(n)], names=["lang", "last", "spelling", "n"])
-
-    found = _texts(df, text, lang).mapInArrow(run, "lang string, last long, spelling string, n long")
-    return found.groupBy("last").agg(F.min("lang").alias("lang"), F.min("spelling").alias("spelling"), F.sum("n").alias("n")).select("lang", "last", "spelling", "n")
+            words = Words(texts, languages)
+            places = _places(words.hashes)
+            one = np.flatnonzero(places[words.at] == words.at)
+            ids, n = words.hashes[words.at[one]], np.bincount(places, minlength=1)[words.at[one]].astype(np.uint64)
+            order, runs = _runs(mix(ids) % np.uint64(buckets), buckets)
+            ids, n, at = ids[order], n[order], one[order]
+            starts, ends, rows = words.starts[at].tolist(), words.ends[at].tolist(), []
+            for bucket, low, high in runs:
+                spelled = b" ".join([words.joined[a:b] for a, b in zip(starts[low:high], ends[low:high])])
+                rows.append((bucket, high - low, _squeezed(np.stack((ids[low:high], n[low:high]))), len(spelled), pa.compress(spelled, codec="zstd", asbytes=True)))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "size", "data", "bytes", "spelled"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        ids, n = np.concatenate([_numbers(r["data"], 2 * r["size"]).reshape(2, -1) for r in rows], axis=1)
+        spelled = [w for r in rows for w in pa.decompress(r["spelled"], decompressed_size=r["bytes"], codec="zstd", asbytes=True).split(b" ")]
+        ids, at, of = np.unique(ids, return_index=True, return_inverse=True)
+        sums = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(sums, of, n.astype(np.int64))
+        spelled = pa.array([spelled[k] + b" " for k in at.tolist()], pa.binary()).cast(pa.string())
+        return pa.table({"lang": _named((ids & np.uint64(15)).astype(np.int64)), "last": ids.view(np.int64), "spelling": spelled, "n": sums})
+
+    found = _texts(df, text, lang).mapInArrow(run, "bucket int, size int, data binary, bytes long, spelled binary")
+    return found.groupBy("bucket").applyInArrow(merge, "lang string, last long, spelling string, n long")
 
 
 def with_spelling(words: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
@@ -498,10 +547,9 @@ def with_spelling(words: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
                 raw = batch.column(2).cast(pa.binary()).to_pylist()
                 for language in np.unique(names):
                     rows = np.flatnonzero(names == language)
-                    codes = [_trigrams(raw[k]) for k in rows]
-                    logs = model.value[str(language)].log_probabilities(np.concatenate(codes))
-                    ends = np.cumsum([len(c) for c in codes])
-                    spelled[rows] = np.add.reduceat(logs, ends - [len(c) for c in codes])
+                    codes, sizes = _all_trigrams([raw[k] for k in rows])
+                    logs = model.value[str(language)].log_probabilities(codes)
+                    spelled[rows] = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(spelled)], names=["last", "spelled"])
 
         parts.append(words.where(F.col("lang").isin(*languages)).select("lang", "last", "spelling").mapInArrow(run, "last long, spelled double"))
@@ -570,8 +618,7 @@ def text_logs(
     buckets, (three, two, one) = rounds.buckets, levels
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts, languages in _each_slice(batches):
-            yield _deal_windows(Words(texts, languages), hot, rounds, k, part.column(2).to_numpy().view(np.uint64))
+        yield from _deal_windows(batches, hot, rounds, k, keyed=True)
 
     def weigh(table: pa.Table) -> pa.Table:
         hashes, ids, _, more = _chunks(table, 4)
@@ -723,15 +770,17 @@ def with_perplexity(df: DataFrame, text: str = "text", lang: str = "lang", keep_
     place_of = F.xxhash64(F.col(f"`{text}`"), language_of(F.col(f"`{lang}`")))
     place, mean = fresh(df, "key_of_text", "mean_of_text")
     with shuffles_end(df.sparkSession):
-        counting, judging = Rounds.of(df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0)
-        spelled = cut(distinct_words(df, text, lang))
+        n_bytes = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+        counting, judging = Rounds.of(n_bytes)
+        spelled, *paths = stored(distinct_words(df, text, lang, Rounds(n_bytes // 4, 1).buckets))
         often = spelled.where(F.col("n") > BUCKET_BYTES // 16).select("last").toPandas()["last"]
         hot = Hot(often.to_numpy(np.int64).view(np.uint64))
-        counted = count_windows(df, text, lang, counting, hot)
+        counted, folders = count_windows(df, text, lang, counting, hot)
         before = counted.where(F.col("kind") == _LAST).groupBy(F.col("a").alias("last")).agg(F.sum("n").alias("before"))
         words = cut(before.join(with_spelling(spelled, at_once), "last"))
         of = lambda kind: Level(counted.where(F.col("kind") == kind).groupBy("a", "b").agg(F.sum("n"), F.sum("total")))
         levels, counts = (of(_TRIGRAMS), of(_PAIRS), Level.of(words, "last", "before")), HotCounts(hot, counted, words)
+        discard(df.sparkSession, [*paths, *folders])
         found = [cut(text_logs(df, text, lang, place_of, words, levels, hot, counts, judging, k)) for k in range(judging.rounds)]
     found = functools.reduce(DataFrame.unionAll, found).groupBy("key").agg((-F.sum("steps") * UNIT / F.sum("n")).alias(mean))
     given = df.select(*(f"`{c}`" for c in df.columns if c.lower() != "log_perplexity")).withColumn(place, place_of)
