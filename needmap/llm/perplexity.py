@@ -2,10 +2,11 @@
 
 Word trigrams of all documents are counted by Spark, language by language. All lengths are counted alike: trigrams and bigrams
 by the different words before them, words by the different bigrams that they end, so copies of a passage count once. Discounts
-come from the counts of counts, one small table a language. The counts are open-ended, so the model is never held as a whole: bigrams
-are stored as a table; the words of the documents are dealt, with the two words before, to where all counts of these two are,
-and on to where the bigram is that they end with. Both go round by round, over the whole texts each time, so that a round's
-share alone is on disk. No trigram is pruned, no word left out. Each occurrence is judged by all others: it is taken off the
+come from the counts of counts, one small table a language. The counts are open-ended, so the model is never held as a whole, nor
+stored: words alone are. The words of the documents are dealt, with those before, to where all windows with the same middle word
+are, and their trigrams on to where all with the same last word are; what stands around a hot word is dealt by the other word too.
+Both go round by round, over the whole texts each time, so that a round's share alone is on disk; a first set of rounds gives the
+counts of counts, a second judges. No trigram is pruned, no word left out. Each occurrence is judged by all others: it is taken off the
 counts that judge it. Words and pairs are named by 64-bit hashes; a word's hash takes in its language (lowest four bits).
 
 Below the single words stands their spelling: what they leave is shared out by a Kneser-Ney model of the byte trigrams of the
@@ -49,7 +50,7 @@ WIDTH = 1e-4
 UNIT = 1e-6
 #: Symbols that are counted (fixed value of the rules).
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
-#: Windows of words are counted in so many rounds at most, each over the whole texts, of so many bytes of text at least; each is judged in parts.
+#: Windows are counted in so many rounds at most, each over the whole texts, of so many bytes of text at least; they are judged in more, smaller rounds.
 ROUNDS, PARTS = 4, 3
 ROUND_BYTES = 24 << 20
 #: The windows of about so many bytes of text make a bucket.
@@ -343,7 +344,7 @@ def _chunks(table: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray, list
 
 
 class Rounds:
-    """How the windows are dealt: in rounds by one of their words, one after the other; in buckets by pairs of words within a round."""
+    """How the windows are dealt: in rounds by one of their words, one after the other; in buckets by that word, or a pair if it is hot, within a round."""
 
     def __init__(self, n_bytes: int, rounds: int):
         self.rounds = rounds
@@ -352,16 +353,13 @@ class Rounds:
 
     @classmethod
     def of(cls, n_bytes: int) -> tuple[Rounds, Rounds]:
-        """To count and to judge: the words of round ``k`` of the second are among those of round ``k % rounds`` of the first."""
+        """To count and to judge."""
         rounds = max(1, min(ROUNDS, n_bytes // ROUND_BYTES))
         return cls(n_bytes, rounds), cls(n_bytes, rounds * PARTS if n_bytes >= ROUND_BYTES else 1)
 
     def has(self, words: np.ndarray, k: int) -> np.ndarray:
         return (words >> np.uint64(4)) % np.uint64(self.rounds) == np.uint64(k)
 
-    def has_column(self, word: str, k: int) -> Column:
-        return F.pmod(F.shiftrightunsigned(F.col(word), 4), F.lit(self.rounds)) == k
-
 
 def _language(word: str) -> Column:
     """The number of a word's language."""
