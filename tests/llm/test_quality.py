@@ -250,4 +250,4 @@ def test_judging_stores_words_not_pairs(spark):
     size = lambda: sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
     before = size()
     perplexity.with_perplexity(docs)
-    assert size() - before < 400_000  # 50,000 pairs
+    assert size() - before < 100_000  # 50,000 pairs
